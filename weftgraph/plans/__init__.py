@@ -1,6 +1,7 @@
 """Query registry of the core: callables (spark, sf_dir) and the SQL they are checked with."""
 
 from weftgraph.plans import general
+from weftgraph.session import shipped
 
-QUERIES = {**general.QUERIES}
+QUERIES = shipped({**general.QUERIES})
 ORACLE = {**general.ORACLE}

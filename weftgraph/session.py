@@ -51,3 +51,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application.
+
+    Python functions refer to its modules by name, and executors need not have
+    the repository on their path.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_weftgraph_shipped", None) == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    name = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph_package.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(name))
+    sc._weftgraph_shipped = sc.applicationId
+
+
+def shipped(queries: dict) -> dict:
+    """Query callables (spark, sf_dir) that send the package along first."""
+    import functools
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(spark, sf):
+            ship_package(spark)
+            return f(spark, sf)
+
+        return run
+
+    return {k: wrap(f) for k, f in queries.items()}
