@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from weftgraph.session import checkpointed
 
 #: The centroids are fitted on at most so many vectors; every vector is indexed.
-SAMPLE = 40_000
+SAMPLE = 20_000
 #: Sample vectors for each centroid at least, and vectors wanted in a list.
-SAMPLE_PER_LIST, LIST_SIZE = 10, 256
+SAMPLE_PER_LIST, LIST_SIZE = 8, 256
 #: Rows of one side of a block; a list estimated above it is split.
 BLOCK = 8_192
 MEMBER_LISTS, MEMBER_RATIO = 4, 1.20
@@ -73,8 +73,12 @@ class CentroidGraph:
         self.near = np.concatenate(near).astype(np.int32) if n > 1 else np.zeros((1, 1), np.int32)
         self.entry = np.sort(np.random.default_rng(seed).permutation(n)[: min(n, max(entries, int(n**0.5)))]).astype(np.int32)
 
-    def search(self, q: np.ndarray, k: int, beam: int = 48, steps: int = 14, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, k: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of about the k nearest centroids of each row of q, best first."""
+        parts = [self._search(q[i : i + batch], k) for i in range(0, len(q), batch)]
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+    def _search(self, q: np.ndarray, k: int, beam: int = 48, steps: int = 14, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.c)
         k = min(k, n)
         s = q @ self.c[self.entry].T
@@ -115,8 +119,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    y = x.astype(np.float64)
-    return (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32)
+    out = np.empty_like(x, dtype=np.float32)
+    for i in range(0, len(x), 4096):
+        y = x[i : i + 4096].astype(np.float64)
+        out[i : i + 4096] = y / np.linalg.norm(y, axis=1, keepdims=True)
+    return out
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
