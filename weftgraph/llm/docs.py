@@ -171,6 +171,20 @@ _DOCSTRING = re.compile(r"\s*([rRuU]{0,2}(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|
 _LEADING = re.compile(r"\s*((?:(?://[^\n]*|#(?!\[)[^\n]*)(?:\n\s*|\Z))+|/\*.*?(?:\*/|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\s*(?:@[\w.]+(?:\([^)]*\))?|#\[[^\]]*\])", re.S)
 
+def function_start(body: str) -> int:
+    """Offset of a captured function behind its leading comments and attributes."""
+    at = 0
+    while m := _ATTRIBUTE.match(body, at) or _LEADING.match(body, at):
+        at = m.end()
+    return at
+
+
+def header_of(code: str) -> str:
+    """The header of a captured function."""
+    body = code[function_start(code) :]
+    return body[: header_end(body, False)]
+
+
 SPANS = "branch string, id string, at int, span string, text string"
 
 
@@ -270,7 +284,7 @@ def function_pairs(nodes: DataFrame) -> DataFrame:
             rows = []
             for r in pdf.itertuples(index=False):
                 for doc, where in ((r.before, "comment"), (r.after, "docstring")):
-                    if isinstance(doc, str) and informative(doc, r.name, r.def_signature or r.code[: header_end(r.code, False)]):
+                    if isinstance(doc, str) and informative(doc, r.name, r.def_signature or header_of(r.code)):
                         rows.append((r.branch, r.id, r.name, r.def_signature, r.code, comment_text(doc), where))
                         break
             yield pd.DataFrame(rows, columns=PAIRS.names)
