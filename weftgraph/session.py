@@ -44,9 +44,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage with a reliable checkpoint, which survives lost executors.
+
+    Constraints are not carried over: for a union of checkpointed frames Spark
+    looks them up by attributes that are gone and fails.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def shuffle_width(spark: SparkSession) -> int:
