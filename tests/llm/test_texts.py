@@ -68,7 +68,7 @@ def test_library_copies_and_operator(spark):
 
 DOCS = {
     1: ("JavaScript is disabled.", "script"), 2: ("Error 404: Not Found\nBack to the start page", "error"), 3: ("Text text text. More text to fill the page.", "filler"),
-    4: ("# {{ project_name }}\n\nMaintained by __OWNER__.", "slots"), 5: ("Title: <short title>\nDetails: <describe here>", "form"), 6: ("Span To go on, enable JS and reload! Try again in a few minutes.", "script"),
+    4: ("# {{ project_name }}\n\nMaintained by __OWNER__.", "slots"), 5: ("Title: <short title>\nComponent: <component>", "form"), 6: ("Span To go on, enable JS and reload! Try again in a few minutes.", "script"),
     7: ("The viewer shows a notice when JavaScript is disabled; we moved that notice below the span.", None), 8: ("Placeholders such as `{{ x }}` that remain after rendering now make the build fail.", None),
     9: ("```html\n<h1>[INSERT AUTHOR HERE]</h1>\n```\n\nThe block above is the default theme.", None), 10: ("Access denied errors went away once the span had its own token.", None), 11: ("", None), 12: (None, None), 13: ("   \n ", None),
     14: ("Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor.", "filler"), 15: ("The fixture holds 40 paragraphs of lorem ipsum so that the node has something to flush.", None), 16: ("页面不存在", "error"), 17: ("グラフを読み込むにはJavaScriptを有効にしてください。", "script"),
@@ -86,6 +86,7 @@ def test_residue(spark):
 
 def test_pseudo_latin_is_learned_from_other_documents(spark):
     a = "Nubrio lorem amet elit velorum tibus. Strami ipsum dolim amet lorem fanta elit. Tibus nubrio velorum strami fanta dolim lorem elit amet ipsum nubrio."
-    docs = [(i, a) for i in range(4)] + [(9, "Fanta strami tibus velorum nubrio dolim. Strami nubrio fanta tibus."), (10, "Please keep nubrio away from fanta when loading strami in tests.")]
+    words = a.replace(".", "").lower().split()
+    docs = [(i, " ".join(words[i:] + words[:i]).capitalize() + ".") for i in range(4)] + [(9, "Fanta strami tibus velorum nubrio dolim. Strami nubrio fanta tibus."), (10, "Please keep nubrio away from fanta when loading strami in tests.")]
     got = {r.doc_id for r in R.residue_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == {0, 1, 2, 3, 9}
