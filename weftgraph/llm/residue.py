@@ -224,7 +224,6 @@ def has_slot(line: str) -> bool:
     return bool(SLOTS.search(_INLINE.sub(" ", line)))
 
 
-_MASKS = [(re.compile(r"\b(?=\w*\d)[0-9a-fA-F]{8,}\b"), "<*>"), (re.compile(r"\d+(?:\.\d+)+"), "<*>"), (re.compile(r"\b\d+\b"), "<*>")]
 DEPTH = 3
 SIMILAR = 0.75
 
@@ -235,26 +234,47 @@ def tree_key(line: str) -> str:
     return f"{len(tokens)}\x01" + "\x01".join("<*>" if any(c.isdigit() for c in t) else t.lower() for t in tokens[:DEPTH])
 
 
+#: Templates of a leaf that a line is compared with, the latest first founded. Beyond these it is classified on its own.
+COMPARED = 64
+#: Lines of up to so many tokens must agree in all of them: a single word can turn a message into a sentence about it.
+EXACT = 12
+
+
+def _masked(token: str) -> str:
+    """Numbers are variable parts, but a status of an error is told from other numbers."""
+    if not any(c.isdigit() for c in token):
+        return token
+    return "<status>" if re.fullmatch(r"\W*[45]\d\d\W*", token) else "<*>"
+
+
 def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of a leaf, in order: each joins the first template of which it shares enough tokens, or founds one.
+    """Lines of a leaf, in order: each joins a template of which it shares enough tokens, or founds one.
 
     The template is classified when it is founded; lines that join take over
-    its verdict with their own lengths.
+    its verdict. A line that joins none is classified itself, so how many
+    templates are compared decides on the work and not on the verdicts found.
     """
-    leaf, templates = None, []
+    from collections import deque
+
+    leaf, known, recent = None, {}, deque(maxlen=COMPARED)
     for pdf in batches:
         out = []
         for key, line in zip(pdf["leaf"], pdf["line"], strict=True):
             if key != leaf:
-                leaf, templates = key, []
-            tokens = [t if not any(c.isdigit() for c in t) else "<*>" for t in line.lower().split()]
-            for known, verdict in templates:
-                same = sum(a == b for a, b in zip(tokens, known, strict=False))
-                if len(known) == len(tokens) and (same == len(tokens) or len(tokens) > 12 and same >= SIMILAR * len(tokens)):
-                    break
-            else:
+                leaf, known = key, {}
+                recent.clear()
+            tokens = tuple(_masked(t) for t in line.lower().split())
+            verdict = known.get(tokens)
+            if verdict is None and len(tokens) > EXACT:
+                for other, v in recent:
+                    if sum(a == b for a, b in zip(tokens, other, strict=False)) >= SIMILAR * len(tokens) and len(other) == len(tokens):
+                        verdict = v
+                        break
+            if verdict is None:
                 verdict = classify(line)
-                templates.append((tokens, verdict))
+                if len(tokens) > EXACT:
+                    recent.appendleft((tokens, verdict))
+            known[tokens] = verdict
             out.append((line, *verdict))
         yield pd.DataFrame(out, columns=["line", "verdict", "bad", "other"])
 
