@@ -101,11 +101,11 @@ _DECL = {
         r"(?:(?P<kw>fn|struct|enum|trait|mod|type|union)\s+(?P<name>\w+)|(?P<cst>const|static)\s+(?:mut\s+)?(?P<cname>\w+)\s*:|(?P<mac>macro_rules!)\s*(?P<mname>\w+)|(?P<impl>impl)\b(?P<ihead>[^{;]*))"
     ),
     "go": re.compile(
-        r"(?m)^(?:func\s*(?:\((?P<recv>[^)]*)\)\s*)?(?P<fname>\w+)|type\s+(?P<tname>\w+)(?:\[[^\]]*\])?\s+(?P<tkind>struct|interface|=?\s*[\w*\[\]().]+)|(?:const|var)\s+(?P<cname>\w+)|var\s+_\s+(?P<iface>[\w.]+)\s*=\s*&?(?P<impl>[\w.]+))"
+        r"(?m)^(?:func\s*(?:\((?P<recv>[^)]*)\)\s*)?(?P<fname>\w+)|type\s+(?P<tname>\w+)(?:\[[^\]]*\])?\s+(?P<tkind>struct|interface|=?\s*[\w*\[\]().]+)|var\s+_\s+(?P<iface>[\w.]+)\s*=\s*&?(?P<impl>[\w.]+)|(?:const|var)\s+(?P<cname>\w+))"
     ),
     "java": re.compile(
         r"(?m)^[ \t]*(?P<ann>(?:@\w[\w.]*(?:\([^)]*\))?\s+)*)(?P<mods>(?:(?:public|protected|private|static|final|abstract|native|synchronized|default|strictfp|sealed|non-sealed|transient|volatile)\s+)*)"
-        r"(?:(?P<kw>class|interface|enum|record|@interface)\s+(?P<name>\w+)|(?:<[^>]+>\s*)?(?P<type>[\w.<>\[\],?& ]+?)\s+(?P<mname>\w+)\s*\((?=[^;{}]*\)[^;{}]*[{;])|(?P<ctor>[A-Z]\w*)\s*\((?=[^;{}]*\)[^;{}]*\{))"
+        r"(?:(?P<kw>class|interface|enum|record|@interface)\s+(?P<name>\w+)|(?:<[^>]+>\s*)?(?P<type>[A-Za-z][\w.<>\[\],?& ]*?)\s+(?P<mname>\w+)\s*\((?=[^;{}]*\)[^;{}]*[{;])|(?P<ctor>[A-Z]\w*)\s*\((?=[^;{}]*\)[^;{}]*\{))"
     ),
     "script": re.compile(
         r"(?m)^[ \t]*(?P<exp>export\s+(?:default\s+)?)?(?P<mods>(?:(?:public|private|protected|static|readonly|abstract|override|declare|async|get|set)\s+)*)"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.resolve import apply_diff
-from weftgraph.schema import INDEX_STATE, SCHEMA_VERSION
+from weftgraph.schema import EDGES, INDEX_STATE, NODES, REFS, SCHEMA_VERSION
 from weftgraph.sources.graph import Graph
 
 
@@ -30,19 +30,24 @@ def last_indexed(spark: SparkSession, path: str, branch: str) -> str | None:
     return found[0]["last_indexed_sha"] if found else None
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Replaces a table: written beside it, then renamed, so a failed write leaves the old one."""
-    jvm = df.sparkSession._jvm
-    staged, old = f"{path}.staged", f"{path}.old"
-    df.write.mode("overwrite").parquet(staged)
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(conf)
-    fs.delete(p(old), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(staged), p(path))
-    fs.delete(p(old), True)
+def swap(tables: dict[str, DataFrame], partition: str | None = None) -> None:
+    """Replaces tables by path: all are written beside the old ones first, then renamed.
+
+    A failed write leaves the old tables, and frames that read an old table
+    are done with it before any is renamed.
+    """
+    for path, df in tables.items():
+        w = df.write.mode("overwrite")
+        (w.partitionBy(partition) if partition else w).parquet(f"{path}.staged")
+    for path, df in tables.items():
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        new, now, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.staged", path, f"{path}.old"))
+        fs = now.getFileSystem(conf)
+        fs.delete(old, True)
+        if fs.exists(now):
+            fs.rename(now, old)
+        fs.rename(new, now)
+        fs.delete(old, True)
 
 
 class GraphStore:
@@ -64,10 +69,10 @@ class GraphStore:
             refs.write.mode("overwrite").partitionBy("branch").parquet(self.path("refs"))
 
     def read(self) -> Graph:
-        return Graph(self.spark.read.parquet(self.path("nodes")), self.spark.read.parquet(self.path("edges")))
+        return Graph(self.spark.read.schema(NODES).parquet(self.path("nodes")), self.spark.read.schema(EDGES).parquet(self.path("edges")))
 
     def refs(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path("refs")) if os.path.exists(self.path("refs").replace("file://", "")) else None
+        return self.spark.read.schema(REFS).parquet(self.path("refs")) if os.path.exists(self.path("refs").replace("file://", "")) else None
 
     def apply(self, nodes: DataFrame, edges: DataFrame, files: DataFrame, refs: DataFrame | None = None) -> None:
         """Replaces all nodes of changed files (branch, file) and resolves references anew, then swaps the tables."""
@@ -77,16 +82,15 @@ class GraphStore:
             gone = files.select("branch", F.col("file").alias("src_file"))
             every = refs if old is None else old.join(gone, ["branch", "src_file"], "left_anti").select(refs.columns).unionByName(refs)
         g = apply_diff(self.read(), nodes, files, edges, every)
-        swap(g.nodes, self.path("nodes"))
-        swap(g.edges, self.path("edges"))
+        tables = {self.path("nodes"): g.nodes, self.path("edges"): g.edges}
         if every is not None and refs is not None:
-            swap(every, self.path("refs"))
+            tables[self.path("refs")] = every
+        swap(tables, "branch")
 
     def wipe(self, branch: str) -> None:
         """Drops one branch."""
-        for t in ("nodes", "edges"):
-            df = self.spark.read.parquet(self.path(t))
-            swap(df.where(F.col("branch") != branch), self.path(t))
+        keep = lambda t: self.spark.read.schema(NODES if t == "nodes" else EDGES).parquet(self.path(t)).where(F.col("branch") != branch)
+        swap({self.path(t): keep(t) for t in ("nodes", "edges")}, "branch")
 
 
 def index_stream(changes: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], store: GraphStore, checkpoint: str):
