@@ -29,7 +29,7 @@ def json_lines(g: Graph) -> DataFrame:
 
 def dot_lines(g: Graph) -> DataFrame:
     """A DOT digraph: seq, line."""
-    colour = C.case(F.col("kind"), {}, 0) if False else F.when(F.col("kind").isin("function", "method"), "lightblue").when(F.col("kind").isin("struct", "enum", "trait", "interface"), "lightgreen").otherwise("lightgrey")
+    colour = F.when(F.col("kind").isin("function", "method"), "lightblue").when(F.col("kind").isin("struct", "enum", "trait", "interface"), "lightgreen").otherwise("lightgrey")
     n = g.nodes.select(F.lit(1).alias("seq"), F.format_string('  "%s" [label="%s", fillcolor="%s"];', F.col("id"), C.escape_dot(F.coalesce("name", F.lit(""))), colour).alias("line"))
     e = g.edges.select(F.lit(2).alias("seq"), F.format_string('  "%s" -> "%s" [label="%s"];', F.col("src"), F.col("dst"), F.col("kind")).alias("line"))
     return _framed(g, "digraph code {", n.unionByName(e), "}")

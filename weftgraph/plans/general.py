@@ -109,6 +109,14 @@ from deg d left join own o on o.branch = d.branch and o.id = d.dst left join cor
 select branch, id, 'CYCLE' as root_id, cast(-1 as bigint) as node_depth from cyc
 union all select branch, id, 'BELOW', -1 from below
 union all select branch, id, root_id, d from tree where d >= 10""",
+    "p4_hierarchy": _P4_WALK + """, bad as (select branch, id from cyc union select branch, id from below),
+down as (
+  select branch, id, id as root_id, 0 as d, id as path from roots
+  union all select w.branch, l.dst, w.root_id, w.d + 1, w.path || '/' || l.dst from down w join links l on l.branch = w.branch and l.src = w.id
+  where not exists (select 1 from bad x where x.branch = l.branch and x.id = l.dst))
+select branch, id, 'cycle' as status, 'CYCLE' as root_id, cast(-1 as bigint) as node_depth, '' as node_path from cyc
+union all select branch, id, 'below', 'BELOW', -1, '' from below
+union all select branch, id, 'tree', root_id, d, path from (select *, row_number() over (partition by branch, id, root_id order by d desc, path) as rn from down) where rn = 1""",
     "p4_descendants": _P4_WALK + """
 select u.branch, u.anc as ancestor, u.id as descendant, cast(max(u.d) as bigint) as hops from up u
 where not exists (select 1 from cyc x where x.branch = u.branch and x.id = u.id)
