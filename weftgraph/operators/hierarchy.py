@@ -90,28 +90,24 @@ def hierarchy(edges: DataFrame, kind: str = "contains", with_path: bool = True)
             links["branch"], F.col("dst").alias("id"), "root_id", (F.col("node_depth") + 1).alias("node_depth"),
             *([F.concat("path", F.array("dst")).alias("path")] if with_path else []), "n_parents", F.col("p").alias("parent"),
         )
-        if not has_multi:
-            front = checkpointed(kids.select(*state))
-        else:
-            kids = checkpointed(kids)
-            ready = kids.where("n_parents = 1").select(*state)
-            new = kids.where("n_parents > 1")
-            if not new.isEmpty():
-                waiting = checkpointed(new if waiting is None else waiting.unionByName(new))
-                full = (
-                    waiting.groupBy("branch", "id").agg(F.count_distinct("parent").alias("got"), F.max("n_parents").alias("n_parents"))
-                    .where("got = n_parents").select("branch", "id")
-                )
-                full = checkpointed(full)
-                best = F.min(F.struct(-F.col("node_depth"), *([F.col("path")] if with_path else [F.lit(0)])))
-                took = waiting.join(full, ["branch", "id"], "left_semi").groupBy("branch", "id", "root_id").agg(best.alias("best"))
-                took = took.select(
-                    "branch", "id", "root_id", (-F.col("best")["col1"]).alias("node_depth"), *([F.col("best")["path"].alias("path")] if with_path else [])
-                )
-                ready = ready.unionByName(took)
-                waiting = checkpointed(waiting.join(full, ["branch", "id"], "left_anti"))
-            front = checkpointed(ready)
-        n = front.count()
+        kids = checkpointed(kids)
+        ready = kids.where("n_parents = 1").select(*state)
+        n, held = kids.agg(F.count_if(F.col("n_parents") == 1), F.count_if(F.col("n_parents") > 1)).first()
+        if held:
+            waiting = kids.where("n_parents > 1") if waiting is None else checkpointed(waiting.unionByName(kids.where("n_parents > 1")))
+            full = checkpointed(
+                waiting.groupBy("branch", "id").agg(F.count_distinct("parent").alias("got"), F.max("n_parents").alias("n_parents"))
+                .where("got = n_parents").select("branch", "id")
+            )
+            best = F.min(F.struct(-F.col("node_depth"), *([F.col("path")] if with_path else [F.lit(0)])))
+            took = waiting.join(full, ["branch", "id"], "left_semi").groupBy("branch", "id", "root_id").agg(best.alias("best"))
+            took = took.select(
+                "branch", "id", "root_id", (-F.col("best")["col1"]).alias("node_depth"), *([F.col("best")["path"].alias("path")] if with_path else [])
+            )
+            ready = checkpointed(ready.unionByName(took))
+            n = ready.count()
+            waiting = checkpointed(waiting.join(full, ["branch", "id"], "left_anti"))
+        front = ready
         settled.append(front)
 
     tree = reduce(DataFrame.unionByName, settled)
