@@ -22,8 +22,8 @@ SAMPLE = 20_000
 SAMPLE_PER_LIST, LIST_SIZE = 8, 256
 #: Rows of one side of a block; a list estimated above it is split.
 BLOCK = 8_192
-MEMBER_LISTS, MEMBER_RATIO = 4, 1.20
-SEARCH_LISTS, SEARCH_RATIO = 8, 1.35
+MEMBER_LISTS, MEMBER_RATIO = 3, 1.20
+SEARCH_LISTS, SEARCH_RATIO = 6, 1.30
 
 
 def balanced_centroids(x: np.ndarray, n_lists: int, seed: int = 7) -> np.ndarray:
@@ -138,15 +138,18 @@ def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def _copies(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors that are equal value for value: (key of the vector, its smallest id, v) and (key, the k + 1 smallest ids).
+    """Vectors that are equal value for value: (id, key of its vector) and (key, its k + 1 smallest ids with their place).
 
-    Both stages are top-k by salt, so a vector that a third of all ids share is no single task's work.
+    Both stages are top-k by salt, so a vector that a third of all ids share is
+    no single task's work. The first frame is checkpointed; the second and all
+    that follows read it instead of the vectors.
     """
-    keyed = base.select("id", F.concat_ws(":", F.xxhash64("v"), F.hash("v")).alias("vk"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    members = checkpointed(base.select("id", F.concat_ws(":", F.xxhash64("v"), F.hash("v")).alias("vk")))
     first = Window.partitionBy("vk", "salt").orderBy("id")
     then = Window.partitionBy("vk").orderBy("id")
-    top = keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(then)).where(F.col("r") <= k + 1)
-    return keyed.select("id", "vk"), top.select("vk", "id", "r")
+    top = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    top = top.withColumn("r", F.row_number().over(then)).where(F.col("r") <= k + 1).select("vk", "id", "r")
+    return members, checkpointed(top)
 
 
 def nearest(df: DataFrame, key: str = "node_id", vector: str = "vector", dim: int = 384, k: int = 5, min_cos: float | None = None) -> DataFrame:
@@ -160,7 +163,6 @@ def nearest(df: DataFrame, key: str = "node_id", vector: str = "vector", dim: in
     spark = df.sparkSession
     base = usable_vectors(df, key, vector, dim)
     members, smallest = _copies(base, k)
-    members, smallest = checkpointed(members), checkpointed(smallest)
     reps_ids = smallest.where("r = 1").select("id", "vk")
     reps = base.join(reps_ids, "id")
     n = reps_ids.count()
