@@ -168,8 +168,10 @@ def call_paths(g: Graph, pairs: DataFrame, max_hops: int = TRACE_MAX_HOPS) -> Da
     """Shortest call path by names for pairs (branch, from_name, to_name): branch, from_name, to_name, hops, path.
 
     Of several shortest paths the smallest by order of names stands. A pair of
-    equal names has a path only through a cycle. No path: no row. A frontier
-    keeps one path for each name, so it never outgrows the number of names.
+    equal names has a path only through a cycle. No path: no row. The search
+    runs once for each source, whatever the number of its targets, and keeps
+    one path for each source and name. A source ends when all its targets are
+    found; the last hop goes to targets only.
     """
     n = g.nodes.select("branch", "id", "name")
     e = g.kind("calls").select("branch", "src", "dst")
@@ -177,27 +179,31 @@ def call_paths(g: Graph, pairs: DataFrame, max_hops: int = TRACE_MAX_HOPS) -> Da
         e.join(n.select("branch", F.col("id").alias("src"), F.col("name").alias("a")), ["branch", "src"])
         .join(n.select("branch", F.col("id").alias("dst"), F.col("name").alias("b")), ["branch", "dst"]).select("branch", "a", "b").distinct()
     )
-    key = ["branch", "from_name", "to_name"]
+    source, key = ["branch", "from_name"], ["branch", "from_name", "to_name"]
     open_ = checkpointed(pairs.select(*key).distinct())
-    front = checkpointed(open_.select(*key, F.col("from_name").alias("at"), F.array("from_name").alias("path")))
-    seen = front.select(*key, "at").limit(0)
-    found = front.select(*key, F.lit(0).alias("hops"), "path").limit(0)
+    targets = open_.select("branch", F.col("to_name").alias("b")).distinct()
+    front = open_.select(*source).distinct().select(*source, F.col("from_name").alias("at"), F.array("from_name").alias("path"))
+    seen: DataFrame | None = None
+    found = open_.limit(0).select(*key, F.lit(0).alias("hops"), F.array("from_name").alias("path"))
     for hop in range(1, max_hops + 1):
         f = front.withColumnRenamed("branch", "fb")
+        s = step if hop < max_hops else step.join(targets, ["branch", "b"], "left_semi")
         nxt = (
-            step.join(f, (F.col("branch") == F.col("fb")) & (F.col("a") == F.col("at")))
-            .groupBy("branch", "from_name", "to_name", F.col("b").alias("at")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-            .join(seen, [*key, "at"], "left_anti")
+            s.join(f, (F.col("branch") == F.col("fb")) & (F.col("a") == F.col("at")))
+            .groupBy(*source, F.col("b").alias("at")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
         )
-        nxt = checkpointed(nxt)
+        nxt = checkpointed(nxt if seen is None else nxt.join(seen, [*source, "at"], "left_anti"))
         if nxt.isEmpty():
             break
-        hit = nxt.where(F.col("at") == F.col("to_name")).select(*key, F.lit(hop).alias("hops"), "path")
-        found = checkpointed(found.unionByName(hit))
-        seen = checkpointed(seen.unionByName(nxt.select(*key, "at")))
-        front = checkpointed(nxt.join(found.select(*key), key, "left_anti").select(*key, "at", "path"))
-        if front.isEmpty():
+        hit = nxt.withColumnRenamed("at", "to_name").join(open_, key, "left_semi").select(*key, F.lit(hop).alias("hops"), "path")
+        hit = checkpointed(hit)
+        found = found.unionByName(hit)
+        open_ = checkpointed(open_.join(hit.select(*key), key, "left_anti"))
+        if open_.isEmpty():
             break
+        at = nxt.select(*source, "at")
+        seen = at if seen is None else seen.unionByName(at)
+        front = nxt.join(open_.select(*source).distinct(), source, "left_semi")
     return found
 
 

@@ -376,10 +376,11 @@ walk as (select branch, from_name, to_name, from_name as at_name, [from_name] as
 hit as (select branch, from_name, to_name, path, len(path) - 1 as hops from walk where len(path) > 1 and at_name = to_name)
 select branch, from_name, to_name, cast(hops as int) as hops, array_to_string(path, ' ') as path from (select *, row_number() over (partition by branch, from_name, to_name order by hops, path) rn from hit) where rn = 1""")
 def trace_path(spark, sf):
+    """Shortest call paths of up to TRACE_MAX_HOPS hops for all pairs of hub names (10 callers and more) of a branch. The SQL holds those with equal first letters, up to 4 hops."""
     g = _g(spark, sf)
-    h = _hub_names(g).withColumn("first", F.substring("name", 1, 1))
-    pairs = h.select("branch", "first", F.col("name").alias("from_name")).join(h.select("branch", "first", F.col("name").alias("to_name")), ["branch", "first"])
-    p = T.call_paths(g, pairs, 4)
+    h = _hub_names(g)
+    pairs = h.select("branch", F.col("name").alias("from_name")).join(h.select("branch", F.col("name").alias("to_name")), "branch")
+    p = T.call_paths(g, pairs)
     return p.select("branch", "from_name", "to_name", "hops", F.concat_ws(" ", "path").alias("path"))
 
 
