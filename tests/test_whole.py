@@ -68,3 +68,20 @@ def test_trace_path_of_all_pairs_of_hub_names(spark):
     got = {(r.branch, r.from_name, r.to_name, r.hops, r.path) for r in QUERIES["trace_path"](spark, TABLES).collect()}
     assert got == want
     assert set(sql_rows(ORACLE["trace_path"])) == {r for r in got if r[1][:1] == r[2][:1] and r[3] <= 4} != got
+
+
+def test_source_changes_sees_every_row_of_the_last_snapshot(spark, tmp_path):
+    from weftgraph.plans import QUERIES
+
+    schema = "branch string, snap_no int, id string, name string, file string, annotations array<string>, loaded_at int"
+    both = {"same": ("k1", "a"), "content": ("k2", "a"), "others": ("k9", "a"), "moved": ("k4", "a")}
+    rows = [(b, n, i, v, f, ["x", "y"] if b == "main" else ["y", "x", "y"], 1) for b, n in (("release/3", 5), ("main", 7)) for f, (i, v) in both.items()]
+    rows += [
+        ("main", 7, "k2", "b", "content", None, 2),  # loaded later, so it stands
+        ("release/3", 5, "k8", "a", "others", None, 1), ("main", 7, "k7", "a", "others", None, 1),  # the greatest id stays
+        ("main", 6, "k99", "a", "same", None, 1), ("release/3", 4, "k5", "a", "gone", None, 1),  # older snapshots
+        ("main", 7, "k4", "a", "target", None, 2), ("main", 7, None, "a", "same", None, 1), ("main", 7, "k6", "a", None, None, 1), ("x", 9, "k3", "a", "same", None, 1),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/node_snapshots.parquet")
+    got = {(r.path, r.change) for r in QUERIES["source_changes"](spark, str(tmp_path)).collect()}
+    assert got == {("content", "Modified"), ("others", "Modified"), ("moved", "Deleted"), ("target", "Added")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import export as X
 from weftgraph.operators import search as S
+from weftgraph.operators.snapshots import row_digests
 from weftgraph.plans.graph import _BASE, _RANK
 from weftgraph.session import ensure_checkpoint_dir
 from weftgraph.sources import files as FS
@@ -59,9 +60,22 @@ def built_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Changes between the files of the branches 'release/3' and 'main' of the archived nodes, by digest of what they declare."""
-    s = spark.read.parquet(f"{sf}/node_snapshots.parquet").where("file is not null")
-    of = lambda b: s.where(F.col("branch") == b).groupBy(F.col("file").alias("path")).agg(F.max("id").alias("blob"))
+    """Changes between the files of the branches 'release/3' and 'main' of the archived nodes, by digest of all they declare in the last snapshot of each.
+
+    Of several rows for an id within the snapshot the one loaded last stands;
+    of several loaded at once, the one with the greatest digest. The SQL
+    compares the greatest id over all snapshots instead.
+    """
+    s = spark.read.parquet(f"{sf}/node_snapshots.parquet").where("id is not null")
+    s = s.withColumn("digest", row_digests(s, ["branch", "snap_no"], ["annotations"], ["loaded_at"]))
+    half = lambda i: F.conv(F.substring("digest", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")
+
+    def of(b: str) -> DataFrame:
+        rows = s.where(F.col("branch") == b)
+        last = rows.join(rows.agg(F.max("snap_no").alias("snap_no")), "snap_no")
+        one = last.groupBy("id").agg(F.max(F.struct("loaded_at", "digest", "file")).alias("r")).select("r.digest", F.col("r.file").alias("path")).where("path is not null")
+        return one.groupBy("path").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(half(0)).alias("a"), F.sum(half(1)).alias("b")).alias("blob"))
+
     return FS.manifest_changes(of("release/3"), of("main"))
 
 
