@@ -85,3 +85,33 @@ def test_source_changes_sees_every_row_of_the_last_snapshot(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/node_snapshots.parquet")
     got = {(r.path, r.change) for r in QUERIES["source_changes"](spark, str(tmp_path)).collect()}
     assert got == {("content", "Modified"), ("others", "Modified"), ("moved", "Deleted"), ("target", "Added")}
+
+
+def longest(links):
+    """{(ancestor, descendant): most hops} among ids that are neither on a cycle nor below one."""
+    up = defaultdict(set)
+    for a, b in links:
+        up[b].add(a)
+    out, ids = {}, {x for p in links for x in p}
+    for i in ids:
+        front, k, pairs = {i}, 0, {}
+        while front and k <= len(ids):
+            front, k = {p for x in front for p in up[x]}, k + 1
+            pairs |= {(p, i): k for p in front}
+        if not front:
+            out |= pairs
+    return out
+
+
+def test_descendants_through_every_parent(spark):
+    import random
+
+    from weftgraph.operators.hierarchy import descendants
+
+    diamond = [("r", "a"), ("r", "b"), ("a", "k"), ("b", "k"), ("k", "m"), ("m", "o"), ("r", "o"), ("q", "b"), ("z", "y"), ("y", "w"), ("c", "c"), ("c", "d"), ("a", "d")]
+    rng = random.Random(5)
+    dag = [(f"n{min(p)}", f"n{max(p)}") for p in (rng.sample(range(14), 2) for _ in range(24))]
+    for links in (diamond, dag, [("r", "a"), ("a", "b")]):
+        df = spark.createDataFrame([("b", x, y, "contains") for x, y in links], "branch string, src string, dst string, kind string")
+        got = [((r.ancestor, r.descendant), r.hops) for r in descendants(df).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == longest(links)

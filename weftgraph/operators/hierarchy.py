@@ -131,16 +131,38 @@ def hierarchy(edges: DataFrame, kind: str = "contains", with_path: bool = True)
 
 
 def descendants(edges: DataFrame, kind: str = "contains") -> DataFrame:
-    """All pairs of ancestor and descendant in the trees. Columns: branch, ancestor, descendant, hops.
+    """All pairs of ancestor and descendant in the trees, with the most hops between them. Columns: branch, ancestor, descendant, hops.
 
-    Each path yields its id's ancestors, so the pairs need no further join and
-    are as many as the depths add up to. Ids on or below a cycle have no pairs;
-    an id with several parents has those of the path that ``hierarchy`` keeps.
+    Where each id up to the root has one parent, its path is all its ancestors,
+    and the pairs need no further join. From ids with several parents and those
+    below them the links are walked up level by level, through every parent.
+    Ids on or below a cycle have no pairs.
     """
-    h = hierarchy(edges, kind, with_path=True).where("status = 'tree' and node_depth > 0")
-    return h.select(
+    h = checkpointed(hierarchy(edges, kind, with_path=True).where("status = 'tree' and node_depth > 0"))
+    links = checkpointed(_links(edges, kind).join(h.select("branch", F.col("id").alias("dst")).distinct(), ["branch", "dst"], "left_semi"))
+    several = checkpointed(links.groupBy("branch", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("branch", F.col("dst").alias("at_id")))
+    key = ["branch", "ancestor", "descendant"]
+    some = not several.isEmpty()
+    if some:
+        on_path = h.select("branch", "id", F.explode("path").alias("at_id")).join(several, ["branch", "at_id"], "left_semi")
+        mixed = checkpointed(on_path.select("branch", "id").distinct())
+        h = h.join(mixed, ["branch", "id"], "left_anti")
+    pairs = h.select(
         "branch", F.col("id").alias("descendant"), "node_depth", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("at", "ancestor")
-    ).select("branch", "ancestor", "descendant", (F.col("node_depth") - F.col("at")).cast("bigint").alias("hops")).distinct()
+    ).select(*key, (F.col("node_depth") - F.col("at")).cast("bigint").alias("hops"))
+    if not some:
+        return pairs
+    up = links.select("branch", F.col("dst").alias("ancestor"), F.col("src").alias("parent"))
+    front = mixed.select("branch", F.col("id").alias("ancestor"), F.col("id").alias("descendant"))
+    walked = []
+    while True:
+        front = front.join(up, ["branch", "ancestor"]).select("branch", F.col("parent").alias("ancestor"), "descendant").distinct()
+        front = checkpointed(front)
+        if front.isEmpty():
+            break
+        walked.append(front.withColumn("hops", F.lit(len(walked) + 1).cast("bigint")))
+    most = reduce(DataFrame.unionByName, walked).groupBy(*key).agg(F.max("hops").alias("hops"))
+    return pairs.unionByName(most)
 
 
 def deep_or_cyclic(edges: DataFrame, kind: str = "contains", min_depth: int = 10) -> DataFrame:
