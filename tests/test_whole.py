@@ -115,3 +115,84 @@ def test_descendants_through_every_parent(spark):
         df = spark.createDataFrame([("b", x, y, "contains") for x, y in links], "branch string, src string, dst string, kind string")
         got = [((r.ancestor, r.descendant), r.hops) for r in descendants(df).collect()]
         assert len(got) == len(dict(got)) and dict(got) == longest(links)
+
+
+def tables():
+    """Nodes {(branch, id): name}, edges [(branch, src, dst, kind)] and hubs [(branch, id)] of the fixture."""
+    from weftgraph.plans.graph import _HUBS
+
+    n = {(b, i): x for b, i, x in sql_rows(_HUBS + "select branch, id, name from n")}
+    return n, sql_rows(_HUBS + "select branch, src, dst, kind from e"), sql_rows(_HUBS + "select branch, id from hub")
+
+
+def rows_of(spark, name, *cols):
+    from weftgraph.plans import QUERIES
+
+    return [tuple(r[c] for c in cols) for r in QUERIES[name](spark, TABLES).select(*cols).collect()]
+
+
+def within(steps, seed, most):
+    """{id: hops} of what lies within so many hops of seed, which has 0."""
+    hops, front = {seed: 0}, {seed}
+    for k in range(1, most + 1):
+        front = {y for x in front for y in steps[x]} - set(hops)
+        hops |= {y: k for y in front}
+    return hops
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["callers_deep", "callees_deep"])
+def test_reach_of_hub_names_over_five_hops(spark, name):
+    n, e, hubs = tables()
+    steps = defaultdict(set)
+    for b, s, d, k in e:
+        if k == "calls" and (b, s) in n and (b, d) in n:
+            at, to = (d, s) if name == "callers_deep" else (s, d)
+            steps[b, n[b, at]].add(to)
+    want = set()
+    for b, seed in {(b, n[b, i]) for b, i in hubs if n[b, i] is not None}:
+        hops, names = {}, {seed}
+        for k in range(1, 6):
+            new = {i for x in names for i in steps[b, x]} - set(hops)
+            hops |= {i: k for i in new}
+            names = {n[b, i] for i in new} - {None}
+        want |= {(b, seed, i, k) for i, k in hops.items()}
+    got = rows_of(spark, name, "branch", "seed", "id", "hop")
+    assert sorted(got) == sorted(want) and max(r[3] for r in got) > 3
+
+
+@needs_tables
+def test_subgraphs_of_two_hops(spark):
+    n, e, hubs = tables()
+    steps = defaultdict(set)
+    for b, s, d, _ in e:
+        steps[b, s].add((b, d))
+        steps[b, d].add((b, s))
+    want = {(h[0], h[1], i[1], k) for h in hubs for i, k in within(steps, h, 2).items() if i in n}
+    got = rows_of(spark, "subgraph_nodes", "branch", "seed", "id", "hop")
+    assert sorted(got) == sorted(want) and max(r[3] for r in got) == 2
+    of = defaultdict(set)
+    for b, seed, i, _ in want:
+        of[b, seed].add(i)
+    links = {(b, h, s, d, k) for b, s, d, k in e for bb, h in hubs if b == bb and s in of[b, h] and d in of[b, h]}
+    assert sorted(rows_of(spark, "subgraph_edges", "branch", "seed", "src", "dst", "kind")) == sorted(links)
+
+
+@needs_tables
+def test_one_and_two_hop_queries_have_every_node(spark):
+    from weftgraph.plans import ORACLE
+    from weftgraph.plans.graph import SQL
+
+    n, e, hubs = tables()
+    up, seen = defaultdict(set), {(b, s, d, k) for b, s, d, k in e if (b, s) in n or (b, d) in n}
+    for b, s, d, k in e:
+        if k == "calls":
+            up[b, d].add((b, s))
+    want = {(x[0], x[1], i[1], k) for x in n for i, k in within(up, x, 2).items() if k and i in n}
+    assert sorted(rows_of(spark, "callers_exact", "branch", "seed", "id", "hop")) == sorted(want)
+    assert sorted(rows_of(spark, "neighbourhood", "branch", "src", "dst", "kind")) == sorted(seen)
+    every = lambda q: SQL[q].replace(" where d.in_degree >= 10)", ")").replace("from deg d join n on n.branch = d.branch and n.id = d.id", "from n d")
+    for q, cols in {"callers_exact": ("branch", "seed", "id", "hop", "confidence", "is_test", "place"), "relation_digest": ("branch", "seed", "relation", "other_id", "confidence", "is_test", "place"), "relation_counts": ("branch", "seed", "relation", "n")}.items():
+        got = rows_of(spark, q, *cols)
+        assert every(q) != SQL[q] and sorted(got) == sorted(sql_rows(f"select {', '.join(cols)} from ({every(q)})"))
+        assert set(sql_rows(f"select {', '.join(cols)} from ({ORACLE[q]})")) == {r for r in got if r[:2] in set(hubs)} != set(got)

@@ -230,8 +230,9 @@ def unused(spark, sf):
 
 @query(_HUBS + "select distinct e.branch, e.src, e.dst, e.kind from e join hub h on h.branch = e.branch and (h.id = e.src or h.id = e.dst)")
 def neighbourhood(spark, sf):
+    """Edges at every node. The SQL has those at hubs only."""
     g = _g(spark, sf)
-    return L.neighbourhood(g, _hubs(g), "both", None).select("branch", "src", "dst", "kind")
+    return L.neighbourhood(g, g.nodes.select("branch", "id"), "both", None).select("branch", "src", "dst", "kind")
 
 
 @query(_BASE + ", k as (select branch, id from n where kind in ('struct','method')) select e.branch, e.src, e.dst, e.kind from e join k a on a.branch = e.branch and a.id = e.src join k b on b.branch = e.branch and b.id = e.dst")
@@ -302,14 +303,16 @@ def _hub_names(g: Graph) -> DataFrame:
 
 @query(_HUBS + _BYNAME.format(a="dst", b="src", depth=3))
 def callers_deep(spark, sf):
+    """Callers of hub names (10 callers and more) over up to MAX_DEPTH hops. The SQL stops after 3."""
     g = _g(spark, sf)
-    return T.reach_by_name(g, _hub_names(g), 3, "in")
+    return T.reach_by_name(g, _hub_names(g), direction="in")
 
 
 @query(_HUBS + _BYNAME.format(a="src", b="dst", depth=3))
 def callees_deep(spark, sf):
+    """Callees of hub names over up to MAX_DEPTH hops. The SQL stops after 3."""
     g = _g(spark, sf)
-    return T.reach_by_name(g, _hub_names(g), 3, "out")
+    return T.reach_by_name(g, _hub_names(g), direction="out")
 
 
 @query(_HUBS + _REACH.format(step=_UP, depth=2) + f""", best as (select r.branch, r.seed, r.id, r.hop, min({_CONF.format(c='e.confidence')}) as cr from reached r join e on e.branch = r.branch and e.src = r.id and e.kind = 'calls'
@@ -318,8 +321,9 @@ select b.branch, b.seed, b.id, b.hop, case b.cr when 0 then 'extracted' when 1 t
   cast(row_number() over (partition by b.branch, b.seed, b.hop order by b.cr, {_TEST.format(f='n.file')}, case n.visibility when 'pub' then 0 when 'pub_crate' then 1 else 2 end, n.file nulls first, n.qualified_name nulls first, b.id) as int) as place
 from best b join n on n.branch = b.branch and n.id = b.id""")
 def callers_exact(spark, sf):
+    """Callers of every node over two hops. The SQL has those of hubs only."""
     g = _g(spark, sf)
-    return T.callers_exact(g, _hubs(g), 2)
+    return T.callers_exact(g, g.nodes.select("branch", "id"))
 
 
 @query(_HUBS + _REACH.format(step=_UP, depth=5) + "select branch, seed, count(*) as affected, max(hop) as deepest, case when count(*) <= 2 then 'LOW' when count(*) <= 10 then 'MEDIUM' when count(*) <= 30 then 'HIGH' else 'CRITICAL' end as risk from reached where hop > 0 group by 1, 2")
@@ -336,14 +340,16 @@ def affected_by_id(spark, sf):
 
 @query(_HUBS + _REACH.format(step=_ANY, depth=1) + "select r.branch, r.seed, r.id, r.hop from reached r join n on n.branch = r.branch and n.id = r.id")
 def subgraph_nodes(spark, sf):
+    """Nodes within two hops of hubs. The SQL stops after one."""
     g = _g(spark, sf)
-    return T.subgraph(g, _hubs(g), 1, "both")[0]
+    return T.subgraph(g, _hubs(g))[0]
 
 
 @query(_HUBS + _REACH.format(step=_ANY, depth=1) + ", k as (select r.branch, r.seed, r.id from reached r join n on n.branch = r.branch and n.id = r.id) select e.branch, a.seed, e.src, e.dst, e.kind from e join k a on a.branch = e.branch and a.id = e.src join k b on b.branch = e.branch and b.id = e.dst and b.seed = a.seed")
 def subgraph_edges(spark, sf):
+    """Edges between the nodes within two hops of each hub. The SQL stops after one."""
     g = _g(spark, sf)
-    return T.subgraph(g, _hubs(g), 1, "both")[1].select("branch", "seed", "src", "dst", "kind")
+    return T.subgraph(g, _hubs(g))[1].select("branch", "seed", "src", "dst", "kind")
 
 
 _LABEL = "case " + " ".join(f"when kind = '{k}' and dir = '{d}' then '{v}'" for (k, d), v in T.RELATIONS.items()) + " else 'related' end"
@@ -358,14 +364,16 @@ rel as (select l.*, n.file, n.qualified_name, {_TEST.format(f='n.file')} as is_t
 
 @query(_RELATIONS + f"select branch, seed, relation, other_id, case cr when 0 then 'extracted' when 1 then 'resolved' else 'inferred' end as confidence, is_test, cast(row_number() over (partition by branch, seed order by {_LRANK}, cr, is_test, file nulls first, qualified_name nulls first, relation, other_id) as int) as place from rel")
 def relation_digest(spark, sf):
+    """Direct relations of every node. The SQL has those of hubs only."""
     g = _g(spark, sf)
-    return T.relations(g, _hubs(g))
+    return T.relations(g, g.nodes.select("branch", "id"))
 
 
 @query(_RELATIONS + "select branch, seed, relation, count(*) as n from rel group by 1, 2, 3")
 def relation_counts(spark, sf):
+    """Numbers of direct relations of every node. The SQL has those of hubs only."""
     g = _g(spark, sf)
-    return T.relations(g, _hubs(g)).groupBy("branch", "seed", "relation").agg(F.count(F.lit(1)).alias("n"))
+    return T.relations(g, g.nodes.select("branch", "id")).groupBy("branch", "seed", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_HUBS + """, names as (select distinct h.branch, n.name from hub h join n on n.branch = h.branch and n.id = h.id where n.name is not null),
