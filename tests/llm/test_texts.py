@@ -90,3 +90,10 @@ def test_pseudo_latin_is_learned_from_other_documents(spark):
     docs = [(i, " ".join(words[i:] + words[:i]).capitalize() + ".") for i in range(4)] + [(9, "Fanta strami tibus velorum nubrio dolim. Strami nubrio fanta tibus."), (10, "Please keep nubrio away from fanta when loading strami in tests.")]
     got = {r.doc_id for r in R.residue_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == {0, 1, 2, 3, 9}
+
+
+def test_generation_notice_after_a_long_licence():
+    auto = P.automaton()
+    licence = "".join(f"// line {i} of the licence\n" for i in range(60))
+    assert P.generation_notice(licence + "// Code generated by protoc. DO NOT EDIT.\npackage x\n", auto)
+    assert not P.generation_notice(licence + "package x\nfunc f() {}\n// Code generated by protoc. DO NOT EDIT.\n", auto)

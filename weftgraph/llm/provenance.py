@@ -44,8 +44,6 @@ GENERATED_NAME = re.compile(
 MINIFIED_NAME = re.compile(r"(?:[.-](?:min|bundle|pack(?:ed)?|prod)\.(?:js|mjs|cjs|jsx|css|ts)|\.chunk\.js|-min\.js)$", re.I)
 LOCK_NAME = re.compile(r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|go\.sum|composer\.lock|gemfile\.lock|uv\.lock|pipfile\.lock)$", re.I)
 
-HEADER_LINES = 40
-
 
 def automaton():
     """One automaton for notices and vetoes; it is built once in each worker."""
@@ -66,7 +64,7 @@ _PREAMBLE = re.compile(r"^\s*(?:package [\w.]+;?|#!.*|['\"]use strict['\"];?|\"\
 def header(text: str) -> list[str]:
     """Comment lines at the head of a file, up to the first code."""
     out, block = [], ""
-    for line in text.lstrip("﻿").splitlines()[:HEADER_LINES]:
+    for line in text.lstrip("﻿").splitlines():
         s = line.strip()
         if block:
             out.append(s)
