@@ -97,3 +97,15 @@ def test_generation_notice_after_a_long_licence():
     licence = "".join(f"// line {i} of the licence\n" for i in range(60))
     assert P.generation_notice(licence + "// Code generated by protoc. DO NOT EDIT.\npackage x\n", auto)
     assert not P.generation_notice(licence + "package x\nfunc f() {}\n// Code generated by protoc. DO NOT EDIT.\n", auto)
+
+
+def test_residue_in_indented_lines_and_behind_an_open_fence(spark):
+    from weftgraph.llm.residue import residue_documents
+
+    page = "<html>\n<body>\n\t<h1>404 Not Found</h1>\n</body>\n</html>"
+    docs = [
+        (1, page), (2, "```\n404 Not Found"), (3, "Steps to take:\n\n    404 Not Found"), (4, "```\n404 Not Found\n```"),
+        (5, "    404 Not Found"), (6, "~~~\nx = 1\n~~~\n```\n404 Not Found"),
+    ]
+    got = {r.doc_id: r.residue for r in residue_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == dict.fromkeys((1, 2, 5, 6), "error")

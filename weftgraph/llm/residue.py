@@ -279,52 +279,75 @@ def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["line", "verdict", "bad", "other"])
 
 
+def prose_lines(text: str) -> list[str]:
+    """Lines without fenced code, and without indented code where unindented prose stands beside it; markup is no prose.
+
+    A fence that is never closed is none: what follows it counts.
+    """
+    flush, indented, prose = [], [], False
+    raws = text.replace("\r\n", "\n").split("\n")
+    fences = [i for i, raw in enumerate(raws) if raw.lstrip().startswith(("```", "~~~"))]
+    last = fences[-1] if len(fences) % 2 else None
+    inside = False
+    for i, raw in enumerate(raws):
+        if raw.lstrip().startswith(("```", "~~~")):
+            inside = not inside and i != last
+            continue
+        line = raw.strip()
+        if inside or not line:
+            continue
+        if raw.startswith(("    ", "\t")):
+            indented.append((i, line))
+        else:
+            flush.append((i, line))
+            prose = prose or (not line.startswith("<") and any(c.isalpha() for c in line))
+    return [line for _, line in (flush if prose else sorted(flush + indented))]
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, slots: the lines of texts without fenced and indented code.
+    """doc_id, line, slots: the lines of texts without code, as ``prose_lines`` tells it.
 
     slots tells whether an unresolved field stands in the line.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                fence = False
-                for raw in (text or "").replace("\r\n", "\n").split("\n"):
-                    if raw.lstrip().startswith(("```", "~~~")):
-                        fence = not fence
-                        continue
-                    line = raw.strip()
-                    if fence or not line or raw.startswith(("    ", "\t")):
-                        continue
-                    rows.append((doc, line, tree_key(line), has_slot(line)))
+            rows = [
+                (doc, line, tree_key(line), has_slot(line)) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for line in prose_lines(text or "")
+            ]
             yield pd.DataFrame(rows, columns=["doc_id", "line", "leaf", "slots"])
 
     return docs.select("doc_id", "text").where("trim(text) <> ''").mapInPandas(run, "doc_id bigint, line string, leaf string, slots boolean")
 
 
-def _with_vocabulary(judged: DataFrame, most: int) -> DataFrame:
+def _with_vocabulary(judged: DataFrame) -> DataFrame:
     """Turns content lines that are made of pseudo-Latin words alone into filler."""
     words = F.explode(F.split(F.lower(F.regexp_replace("line", r"[^A-Za-z]+", " ")), " "))
     classic = F.size(F.array_intersect(F.split(F.lower(F.regexp_replace("line", r"[^A-Za-z]+", " ")), " "), F.array(*[F.lit(w) for w in sorted(LOREM)])))
     latin = judged.where((F.col("verdict") == "filler") & (classic >= 3)).select(words.alias("w")).where("length(w) > 2")
-    known = {r[0] for r in latin.groupBy("w").count().where("count >= 3").orderBy(F.desc("count"), "w").limit(most).collect()}
-    if not known:
-        return judged
+    known = latin.groupBy("w").count().where("count >= 3").select("w")
     plain = (F.col("verdict").isin("content", "label")) & F.col("line").rlike(r"^[A-Za-z .,;:!?#*-]+$") & ~F.lower("line").rlike(r"\b(the|is|of|and|to|in|that|der|die|und|le|la|les|el|los|que|de|um)\b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, line in enumerate(pdf["line"]):
+            rows = []
+            for line in pdf["line"]:
                 found = [w.lower() for w in _WORD.findall(line)]
-                if len(found) >= 4 and sum(w in known for w in found) >= 0.9 * len(found):
-                    pdf.loc[pdf.index[i], ["verdict", "bad", "other"]] = ["filler", len(found), 0]
-            yield pdf
+                if len(found) >= 4:
+                    rows += [(line, w, len(found)) for w in found]
+            yield pd.DataFrame(rows, columns=["line", "w", "n"])
 
-    return judged.where(~plain | F.col("verdict").isNull()).unionByName(judged.where(plain).mapInPandas(run, judged.schema))
+    told = (
+        judged.where(plain).select("line").mapInPandas(run, "line string, w string, n int").join(known, "w")
+        .groupBy("line").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n")).where("hits >= 0.9 * n").select("line", "n")
+    )
+    new = F.col("n").isNotNull()
+    return judged.join(told, "line", "left").select(
+        "line", F.when(new, "filler").otherwise(F.col("verdict")).alias("verdict"), F.coalesce("n", "bad").alias("bad"), F.when(new, 0).otherwise(F.col("other")).alias("other")
+    )
 
 
-def residue_documents(docs: DataFrame, most_other: int = 12, most_before_form: int = 40, vocabulary: int = 5000) -> DataFrame:
+def residue_documents(docs: DataFrame, most_other: int = 12, most_before_form: int = 40) -> DataFrame:
     """Documents that are, or hold in place of content, residue: doc_id and why.
 
     Columns: doc_id, residue ('slots', 'error', 'script', 'filler', 'form').
@@ -333,10 +356,11 @@ def residue_documents(docs: DataFrame, most_other: int = 12, most_before_form: i
     and at most ``most_other`` other words besides navigation and labels; or
     if at least two lines of an unfilled form follow a short introduction.
     Pseudo-Latin is known by its customary words; the other words of such
-    paragraphs are gathered from all documents, at most ``vocabulary`` of them
-    by frequency, and tell the paragraphs that happen to lack the former.
+    paragraphs are gathered from all documents where they come at least three
+    times, and tell the paragraphs that happen to lack the former.
     Null and blank texts never are, nor are documents that consist of code.
-    Repeated doc_ids are judged together. Every line of the whole text counts.
+    Repeated doc_ids are judged together. Every line of the whole text that is no
+    code counts.
     """
     from weftgraph.session import checkpointed, shuffle_width
 
@@ -349,7 +373,7 @@ def residue_documents(docs: DataFrame, most_other: int = 12, most_before_form: i
         .select(F.concat_ws("\x01", "leaf", "part").alias("leaf"), "line")
         .mapInPandas(mine, "line string, verdict string, bad int, other int")
     )
-    judged = _with_vocabulary(checkpointed(judged), vocabulary)
+    judged = _with_vocabulary(checkpointed(judged))
     # lines that say something decide; of a content line only its number of words matters
     per = lines.join(judged, "line").groupBy("doc_id").agg(
         F.max("slots").alias("slots"),
