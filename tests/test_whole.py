@@ -111,7 +111,8 @@ def test_descendants_through_every_parent(spark):
     diamond = [("r", "a"), ("r", "b"), ("a", "k"), ("b", "k"), ("k", "m"), ("m", "o"), ("r", "o"), ("q", "b"), ("z", "y"), ("y", "w"), ("c", "c"), ("c", "d"), ("a", "d")]
     rng = random.Random(5)
     dag = [(f"n{min(p)}", f"n{max(p)}") for p in (rng.sample(range(14), 2) for _ in range(24))]
-    for links in (diamond, dag, [("r", "a"), ("a", "b")]):
+    plain = [("r", "a"), ("r", "b"), ("a", "k"), ("b", "k")]
+    for links in (plain, diamond, dag, [("r", "a"), ("a", "b")]):
         df = spark.createDataFrame([("b", x, y, "contains") for x, y in links], "branch string, src string, dst string, kind string")
         got = [((r.ancestor, r.descendant), r.hops) for r in descendants(df).collect()]
         assert len(got) == len(dict(got)) and dict(got) == longest(links)
