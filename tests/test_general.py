@@ -96,6 +96,24 @@ def test_snapshot_edge_cases(spark):
     assert got == {(2, "i", "removed"), (2, "j", "added"), (3, "i", "added"), (3, "j", "changed")}
 
 
+def test_snapshot_renamed_and_exchanged_keys(spark):
+    rng = random.Random(4)
+    rows = [("b", 1, f"k{i}", f"n{i}", None, 1) for i in range(60)]
+    rows += [("b", 2, f"k{i}z" if i in (3, 40) else f"k{i}", f"n{({8: 9, 9: 8}).get(i, i)}", None, 1) for i in range(60)]
+    for s in (3, 4, 5):  # random renames and swaps among keys that sort next to each other
+        last = [r for r in rows if r[1] == s - 1]
+        names = [r[3] for r in last]
+        for _ in range(6):
+            i, j = rng.randrange(60), rng.randrange(60)
+            names[i], names[j] = names[j], names[i]
+        rows += [("b", s, r[2] + ("y" if rng.random() < 0.1 else ""), n, None, 1) for r, n in zip(last, names, strict=True)]
+    df = spark.createDataFrame(rows, SNAP)
+    for size in (1, 4, 64, 10_000):
+        got = {(r.branch, r.snap_no, r.id, r.delta_kind) for r in snapshot_changes(df, mean_chunk=size).collect()}
+        assert got == brute_changes(rows)
+        assert {("b", 2, "k3", "removed"), ("b", 2, "k3z", "added"), ("b", 2, "k8", "changed"), ("b", 2, "k9", "changed")} <= got
+
+
 def brute_hierarchy(links):
     """{id: set of (status, root, depth)} for links (a, b) of one branch."""
     links = set(links)

@@ -91,19 +91,20 @@ def in_degree(edges: DataFrame, kind: str = "calls", min_degree: int = 0, per_ta
     return out.where(F.col("in_degree") >= min_degree) if min_degree > 0 else out
 
 
-def grouped_rank(df: DataFrame, group: list[str], tie: str, buckets: int = 256, out: str = "rank") -> DataFrame:
+def grouped_rank(df: DataFrame, group: list[str], tie: str, buckets: int = 256, out: str = "rank", stable: bool = False) -> DataFrame:
     """A 0-based rank inside each group, by a hash of ``tie`` and then ``tie``, without one task per group.
 
     ``tie`` must be unique in its group. Rows fall into hash buckets; the
     counts of (group, bucket) are added up to offsets, and the rank inside a
     bucket is added to its offset. A group of any size is so spread over
-    ``buckets`` tasks. The rows are checkpointed first: both passes then read
+    ``buckets`` tasks. The rows are checkpointed first unless they are
+    ``stable`` already (checkpointed or a written table): both passes then read
     the same bytes. Null groups are groups; ties cannot occur.
     """
     from pyspark.sql import Window as W
 
     h = F.xxhash64(F.col(tie))
-    base = checkpointed(df.withColumn("__h", h).withColumn("__b", F.pmod(F.shiftrightunsigned(h, 17), F.lit(buckets)).cast("int")))
+    base = (df if stable else checkpointed(df)).withColumn("__h", h).withColumn("__b", F.pmod(F.shiftrightunsigned(h, 17), F.lit(buckets)).cast("int"))
     counts = base.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
     # at most `buckets` rows for each group
     before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)

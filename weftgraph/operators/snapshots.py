@@ -69,8 +69,9 @@ def snapshot_changes(
        and sorted. A chunk begins wherever the hash of a key is divisible by
        ``mean_chunk``: its bounds depend on content, so a row that comes or
        goes disturbs its own chunk only.
-    3. Chunks of consecutive snapshots whose digests agree are discarded. Only
-       the rows of the other chunks are joined and classified.
+    3. Chunks of consecutive snapshots whose digests agree are discarded. A
+       chunk's digest is its count and 128 bits over the keys and contents of
+       its rows. Only the rows of the other chunks are joined and classified.
 
     A snapshot without a predecessor gives no rows. A key that returns after a
     gap is added. Null keys and null groups are left out. A branch with any
@@ -110,10 +111,10 @@ def snapshot_changes(
     )
     roles = checkpointed(prev.unionByName(cur))  # two rows for each snapshot
 
-    half = lambda i: F.conv(F.substring("__digest", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    # the key is part of what is summed: a key renamed, or two that swap their contents, change the chunk's digest
     chunk_key = ["__group", "__part", "__chunk"]
     sums = labelled.groupBy(*chunk_key, "__snap").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(half(0)).alias("a"), F.sum(half(1)).alias("b")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("__key", "__digest")).alias("a"), F.bit_xor(F.xxhash64("__digest", F.lit(1), "__key")).alias("b")
     )
     sided = sums.join(roles, ["__group", "__snap"])
     side = lambda k: F.max(F.when(F.col("__new") == k, F.struct("n", "a", "b")))
