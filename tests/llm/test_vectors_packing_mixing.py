@@ -83,18 +83,41 @@ def test_packs_hold_every_item_once_and_waste_little(hist):
 
 
 def test_pack(spark):
-    rows = [(i, n) for i, n in enumerate([5] * 40 + [60, 100, 205, 0, 33, 67, 1, 99, 50, 50])] + [(99, 7)]
-    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").selectExpr("*", "1 as piece_no", "2 as container_id")
-    got = K.pack(df, 100).collect()
-    fill = defaultdict(int)
-    per = defaultdict(int)
-    for r in got:
-        fill[r.container_id] += r.n_tokens
-        per[r.doc_id] += r.n_tokens
-    assert max(fill.values()) <= 100 and dict(per) == {i: n for i, n in rows if n}
-    assert {r.doc_id for r in got if r.piece_no > 0} == {i for i, n in rows if n > 100}
-    assert sorted(fill) == list(range(len(fill))) and len(fill) <= 1 + sum(n for _, n in rows) // 100 + 1
-    assert K.pack(df.limit(0), 100).count() == 0
+    rows = [(i, n) for i, n in enumerate([5] * 40 + [60, 100, 205, 0, 33, 67, 1, 99, 50, 50, 205, 305, 300, 200])] + [(99, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").selectExpr("*", "1 as piece_no", "2 as container_id", "3 as box_name")
+    boxes = {"a": 100, "b": 64, "c": 7}
+    out = K.pack(df, boxes).collect()
+    for name, cap in boxes.items():
+        got = [r for r in out if r.box_name == name]
+        fill = defaultdict(int)
+        per = defaultdict(int)
+        for r in got:
+            fill[r.container_id] += r.n_tokens
+            per[r.doc_id] += r.n_tokens
+        assert max(fill.values()) <= cap and dict(per) == {i: n for i, n in rows if n}
+        assert {r.doc_id for r in got if r.piece_no > 0} == {i for i, n in rows if n > cap}
+        assert len({(r.doc_id, r.piece_no) for r in got}) == len(got) and all(r.n_tokens == cap for r in got if r.piece_no + 1 < -(-dict(rows)[r.doc_id] // cap))
+        assert sorted(fill) == list(range(len(fill)))
+        if cap > 7:
+            assert len(fill) <= 1 + sum(n for _, n in rows) // cap + 2
+    assert K.pack(df.limit(0), boxes).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 90), st.integers(1, 5), min_size=1, max_size=12), st.integers(1, 40))
+def test_offsets_number_every_piece_once(hist, cap):
+    pieces, first = K.offsets(hist, cap)
+    seen = defaultdict(list)
+    for k, n in hist.items():
+        for rank in range(n):
+            if k <= cap:
+                seen[k].append(rank)
+                continue
+            full, at_full, at_rest = first[k]
+            seen[cap] += [at_full + rank * full + j for j in range(full)]
+            if k % cap:
+                seen[k % cap].append(at_rest + rank)
+    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(v)) for k, v in pieces.items()}
 
 
 @settings(max_examples=80, deadline=None)
@@ -109,24 +132,40 @@ def test_fit_is_the_best_subset_sum(counts, budget):
     assert got == max(s for s in sums if s <= budget)
 
 
-def test_fit_with_a_small_window_stays_below_the_budget():
+def test_fit_takes_all_lengths_in_proportion():
     counts = {k: 1000 for k in range(3, 900, 7)}
-    for budget in (10, 999, 123_457, 5_000_001):
-        got = sum(k * v for k, v in M.fit(counts, budget, window=2048).items())
+    total = sum(k * v for k, v in counts.items())
+    for budget in (10, 999, 123_457, 5_000_001, 40_000_000):
+        take = M.fit(counts, budget)
+        got = sum(k * v for k, v in take.items())
         assert got <= budget and budget - got <= 2
+        if budget > 1_000_000:
+            assert abs(sum(take.values()) / sum(counts.values()) - budget / total) < 0.01
+
+
+def test_budgets_fill_what_small_sources_cannot_give():
+    got = M.budgets({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1000, "b": 100, "c": 1000}, 1000)
+    assert got == {"a": 642, "b": 100, "c": 257}
+    assert M.budgets({"a": 0.5, "b": 0.5}, {"a": 10, "b": 0}, 1000) == {"a": 10, "b": 0}
+    assert M.budgets({}, {}, 5) == {}
 
 
 def test_mix(spark):
     rows = [(i, "a", 10 + i % 7) for i in range(400)] + [(1000 + i, "b", 5) for i in range(40)] + [(2000, "c", 50), (2001, None, 3), (2002, "a", 0), (2003, "other", 9)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint").selectExpr("*", "1 as uses", "2 as passes")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("none", 0.2, 4)], "source string, target_share double, max_repeats int")
-    used, report = M.mix(df, targets)
+    a = sum(n for _, s, n in rows if s == "a")
+    used, report = M.mix(df, targets)  # b cannot give its share of all tokens and enters three times; a makes up for it
+    rep = {r.source: r for r in report.collect()}
+    assert rep["none"].actual_share == 0 and rep["b"].tokens == 600 and rep["b"].most_uses == 3 and rep["a"].tokens == a + 200 - 600
+    used, report = M.mix(df, targets, total=1600)  # small enough for the shares among the sources that have documents
     rep = {r.source: r for r in report.collect()}
-    assert rep["none"].actual_share == 0 and rep["b"].tokens == 600 and rep["b"].most_uses == 3
-    assert abs(rep["a"].actual_share - 0.625) < 0.002 and abs(rep["b"].actual_share - 0.375) < 0.002
+    assert abs(rep["a"].actual_share - 0.625) < 0.002 and abs(rep["b"].actual_share - 0.375) < 0.002 and rep["a"].target_share == 0.5
     got = used.collect()
     assert all(r.uses <= {"a": 1, "b": 3}[r.source] for r in got) and {r.source for r in got} == {"a", "b"}
-    assert sorted((r.doc_id, r.uses) for r in got) == sorted((r.doc_id, r.uses) for r in M.mix(df, targets)[0].collect())
+    for s in ("a", "b"):
+        assert rep[s].tokens == sum(r.n_tokens * r.uses for r in got if r.source == s) and rep[s].documents == sum(r.source == s for r in got) and rep[s].most_uses == max(r.uses for r in got if r.source == s)
+    assert sorted((r.doc_id, r.uses) for r in got) == sorted((r.doc_id, r.uses) for r in M.mix(df, targets, total=1600)[0].collect())
     used, report = M.mix(df.limit(0), targets)
     assert used.count() == 0 and report.count() == 3
 

@@ -7,30 +7,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import grouped_rank
-from weftgraph.session import checkpointed
 
-#: Tokens that the exact fit covers; what the budget has beyond is filled in proportion.
-WINDOW = 65_536
+#: The exact fit takes on the last so many times the longest length; what the budget has beyond is filled in proportion.
+LAST = 2
 
 
-def fit(counts: dict[int, int], budget: int, window: int = WINDOW) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, last: int = LAST) -> dict[int, int]:
     """How many items of each length to take so that their lengths add up to ``budget`` or as little below as possible.
 
-    The bulk is taken in proportion to the counts; the rest, at most about
-    ``window``, is fitted exactly by bounded knapsack over what is left.
+    All but the last few lengths of the budget are taken in proportion to the
+    counts: going from short to long, the tokens left over by rounding carry on
+    to the next length. So the items taken look like those there are, whatever
+    the size. The rest is fitted exactly by bounded knapsack over what is left.
     """
+    counts = {k: v for k, v in counts.items() if k > 0 and v > 0}
     total = sum(k * v for k, v in counts.items())
     if budget >= total:
         return dict(counts)
     if budget <= 0:
         return {}
-    share = max(0, budget - window) / total
-    take = {k: int(v * share) for k, v in counts.items()}
-    left = budget - sum(k * v for k, v in take.items())
-    for k in sorted(counts, reverse=True):
-        more = min(counts[k] - take[k], max(0, left - window) // k)
-        take[k] += more
-        left -= more * k
+    bulk = max(0, budget - last * max(counts))
+    take, seen, took = {}, 0, 0
+    for k in sorted(counts):
+        seen += k * counts[k]
+        take[k] = max(0, min(counts[k], (bulk * seen // total - took) // k))
+        took += k * take[k]
+    left = budget - took
     mask = (1 << (left + 1)) - 1
     reach, history = 1, []
     for k in sorted(counts, reverse=True):
@@ -58,50 +60,75 @@ def fit(counts: dict[int, int], budget: int, window: int = WINDOW) -> dict[int,
     return {k: v for k, v in take.items() if v}
 
 
+def budgets(shares: dict[str, float], most: dict[str, int], total: int) -> dict[str, int]:
+    """Tokens of each source: its share of ``total``, or ``most`` where that is less.
+
+    What a source cannot give goes to the others in proportion to their
+    shares, until the total is reached or every source gives its most.
+    """
+    out, free, left = dict.fromkeys(shares, 0), {s for s, w in shares.items() if w > 0 and most[s] > 0}, total
+    while free:
+        weight = sum(shares[s] for s in free)
+        full = {s for s in free if most[s] <= left * shares[s] / weight}
+        if not full:
+            out |= {s: int(left * shares[s] / weight + 1e-6) for s in free}
+            break
+        out |= {s: most[s] for s in full}
+        left -= sum(most[s] for s in full)
+        free -= full
+    return out
+
+
 def plan_mix(histogram: pd.DataFrame, targets: pd.DataFrame, total: int | None = None) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(per source: target_share, planned share, budget, available, passes; per source and length: extra).
+    """(per source: target_share, planned_share, max_repeats, available, budget, passes, tokens, documents, most_uses, actual_share; per source and length: extra).
 
-    Shares of sources without tokens go to the others in proportion. The total
-    is given or the largest that every source can fill within its repeats.
+    The total is given, or all tokens that the sources have. A source that
+    cannot reach its share of it within its repeats gives what it can.
     """
     avail = (histogram["n_tokens"] * histogram["n"]).groupby(histogram["source"]).sum()
     t = targets.groupby("source", as_index=False).agg(target_share=("target_share", "sum"), max_repeats=("max_repeats", "max"))
     t["available"] = t["source"].map(avail).fillna(0).astype("int64")
-    live = (t["available"] > 0) & (t["target_share"] > 0) & (t["max_repeats"] > 0)
-    weight = t["target_share"].where(live, 0.0)
-    t["planned_share"] = weight / weight.sum() if weight.sum() > 0 else 0.0
-    most = [a * r / s for a, r, s, ok in zip(t["available"], t["max_repeats"], t["planned_share"], live, strict=True) if ok]
-    top = int(min(most)) if most else 0
-    whole = top if total is None else min(total, top)
-    t["budget"] = [min(int(s * whole + 1e-6), a * r) for s, a, r in zip(t["planned_share"], t["available"], t["max_repeats"], strict=True)]
+    shares = dict(zip(t["source"], t["target_share"].fillna(0.0).clip(lower=0.0), strict=True))
+    most = {s: int(a) * max(0, int(r)) for s, a, r in zip(t["source"], t["available"], t["max_repeats"].fillna(0), strict=True)}
+    whole = int(t.loc[t["target_share"] > 0, "available"].sum()) if total is None else total
+    plan = budgets(shares, most, whole)
+    t["budget"] = [plan[s] for s in t["source"]]
+    t["planned_share"] = t["budget"] / max(1, t["budget"].sum())
     t["passes"] = [b // a if a else 0 for b, a in zip(t["budget"], t["available"], strict=True)]
-    extras = []
+    extras, tokens, documents, uses = [], [], [], []
     for s, b, a, p in zip(t["source"], t["budget"], t["available"], t["passes"], strict=True):
-        if not a:
-            continue
         h = histogram[histogram["source"] == s]
-        for k, v in fit(dict(zip(h["n_tokens"].astype(int), h["n"].astype(int), strict=True)), int(b - p * a)).items():
-            extras.append((s, k, v))
+        more = fit(dict(zip(h["n_tokens"].astype(int), h["n"].astype(int), strict=True)), int(b - p * a)) if a else {}
+        extras += [(s, k, v) for k, v in more.items()]
+        tokens.append(int(p * a + sum(k * v for k, v in more.items())))
+        documents.append(int(h["n"].sum()) if p else sum(more.values()))
+        uses.append(int(p + bool(more)))
+    t["tokens"], t["documents"], t["most_uses"] = tokens, documents, uses
+    t["actual_share"] = t["tokens"] / max(1, sum(tokens))
     return t, pd.DataFrame(extras, columns=["source", "n_tokens", "extra"])
 
 
 def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(collection, report).
 
-    counts: doc_id, source, n_tokens. The collection has doc_id, source,
-    n_tokens and uses: how often a document enters, at most the max_repeats of
-    its source. The report has the share reached by each target. Documents
-    without tokens, without a source or of a source without target stay out.
-    Only the numbers of documents by source and exact length come to the
-    driver; which documents of a length enter once more is drawn by a seeded
-    hash, in buckets, so a source or length of any size is spread.
+    counts: doc_id, source, n_tokens, checkpointed or a written table. The
+    collection has doc_id, source, n_tokens and uses: how often a document
+    enters, at most the max_repeats of its source. Its size is ``total``, by
+    default that of all documents of the sources with a target; a source that
+    is too small for its share even when repeated falls short, and the others
+    make up for it in proportion. The report has the share wanted and reached
+    by each source. Documents without tokens, without a source or of a source
+    without target stay out. Only the numbers of documents by source and exact
+    length come to the driver; which documents of a length enter once more is
+    drawn by a seeded hash, in buckets, so a source or length of any size is
+    spread. The report follows from the plan and needs no further job.
     """
     spark = counts.sparkSession
     wanted = [r[0] for r in targets.select("source").distinct().collect()]
-    live = checkpointed(counts.where(F.col("source").isin(wanted) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens"))
+    live = counts.where(F.col("source").isin(wanted) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens")
     histogram = live.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")).toPandas()
     per_source, extras = plan_mix(histogram, targets.toPandas(), total)
-    ranked = grouped_rank(live.withColumn("__tie", F.concat_ws(":", F.lit(seed), F.col("doc_id"))), ["source", "n_tokens"], "__tie", out="__rank")
+    ranked = grouped_rank(live.withColumn("__tie", F.concat_ws(":", F.lit(seed), F.col("doc_id"))), ["source", "n_tokens"], "__tie", out="__rank", stable=True)
     passes = spark.createDataFrame([(s, int(p)) for s, p in zip(per_source["source"], per_source["passes"], strict=True)], "source string, passes int")
     extra = spark.createDataFrame([(s, int(k), int(v)) for s, k, v in extras.itertuples(index=False)], "source string, n_tokens bigint, extra bigint")
     used = (
@@ -109,17 +136,9 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, seed: i
         .withColumn("uses", (F.col("passes") + F.when(F.col("__rank") < F.coalesce("extra", F.lit(0)), 1).otherwise(0)).cast("int"))
         .where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
     )
-    reached = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
-    plan = spark.createDataFrame(
-        [(s, float(a), float(b), int(c), int(d), int(e)) for s, a, b, c, d, e in per_source[["source", "target_share", "planned_share", "max_repeats", "available", "budget"]].itertuples(index=False)],
-        "source string, target_share double, planned_share double, max_repeats int, available bigint, budget bigint",
-    )
-    whole = reached.agg(F.sum("tokens").alias("w"))
-    w = whole.first()[0] or 0
-    report = plan.join(reached, "source", "left").select(
-        "source", "target_share", F.round("planned_share", 9).alias("planned_share"), "max_repeats", "available", "budget",
-        F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"),
-        F.coalesce("most_uses", F.lit(0)).cast("int").alias("most_uses"),
-        F.round(F.coalesce("tokens", F.lit(0)) / F.lit(float(max(1, w))), 9).alias("actual_share"),
-    )
+    columns = {"source": str, "target_share": float, "planned_share": float, "max_repeats": int, "available": int, "budget": int, "tokens": int, "documents": int, "most_uses": int, "actual_share": float}
+    report = spark.createDataFrame(
+        [tuple(None if v is None or v != v else f(v) for f, v in zip(columns.values(), row, strict=True)) for row in per_source[list(columns)].itertuples(index=False)],
+        "source string, target_share double, planned_share double, max_repeats int, available bigint, budget bigint, tokens bigint, documents bigint, most_uses int, actual_share double",
+    ).select(*[F.round(c, 9).alias(c) if c.endswith("_share") else c for c in columns])
     return used, report

@@ -81,38 +81,70 @@ def placements(packs: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "start", "times", "base"]).sort_values(["length", "start"], ignore_index=True)
 
 
-def pack(items: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
-    """Containers of ``capacity`` tokens: key, piece_no, n_tokens, container_id.
-
-    items: key, n_tokens. An item longer than the capacity is cut into full
-    pieces, each a container of its own, and a rest that is packed like an
-    item. Items without tokens go to no container. The histogram of lengths on
-    the driver has at most ``capacity`` rows and the plan not many more; items
-    of one length, however many, are ranked in hash buckets and find their
-    container by rank.
+def offsets(histogram: dict[int, int], capacity: int) -> tuple[dict[int, int], dict[int, tuple[int, int, int]]]:
+    """(numbers of pieces by length, and per length above the capacity: full pieces of an item, first full piece, first rest).
+
+    Items longer than the capacity are cut into full pieces and a rest. Full
+    pieces and rests are ranked behind the whole items of their length, in the
+    order of the lengths they come from; so a single rank within each length
+    of items is enough for every capacity.
+    """
+    pieces = {k: v for k, v in histogram.items() if k <= capacity}
+    first = {}
+    for k in sorted(x for x in histogram if x > capacity):
+        full, rest = divmod(k, capacity)
+        first[k] = (full, pieces.get(capacity, 0), pieces.get(rest, 0))
+        pieces[capacity] = pieces.get(capacity, 0) + full * histogram[k]
+        if rest:
+            pieces[rest] = pieces.get(rest, 0) + histogram[k]
+    return pieces, first
+
+
+def pack(items: DataFrame, capacities: dict[str, int], key: str = "doc_id", stable: bool = False) -> DataFrame:
+    """Containers of each capacity: box_name, container_id, key, piece_no, n_tokens.
+
+    items: key (unique), n_tokens; ``stable`` if checkpointed or a written
+    table. An item longer than a capacity is cut into full pieces, each a
+    container of its own, and a rest that is packed like an item. Items without
+    tokens go to no container; an empty table gives no rows. Items are ranked
+    once within their exact length, in hash buckets, so a length of any number
+    of items is spread; the plans of all capacities are then looked up by
+    length and rank in one pass without further shuffles. What comes to the
+    driver and is broadcast has a row for each distinct length, and the plans
+    not many more.
     """
     spark = items.sparkSession
-    live = items.where("n_tokens > 0")
-    long = live.where(F.col("n_tokens") > capacity).select(key, "n_tokens", F.expr(f"n_tokens div {capacity}").alias("full"), (F.col("n_tokens") % capacity).alias("rest"))
-    whole = long.select(key, F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("piece_no"), F.lit(capacity).cast("bigint").alias("n_tokens"))
-    rest = long.where("rest > 0").select(key, F.col("full").cast("int").alias("piece_no"), F.col("rest").cast("bigint").alias("n_tokens"))
-    short = live.where(F.col("n_tokens") <= capacity).select(key, F.lit(0).alias("piece_no"), "n_tokens").unionByName(rest).unionByName(whole)
-    tied = short.withColumn("__tie", F.concat_ws(":", F.col(key).cast("string"), F.col("piece_no").cast("string")))
-    ranked = grouped_rank(tied, ["n_tokens"], "__tie", out="__rank")
-    histogram = {r[0]: r[1] for r in ranked.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()}
-    plan = placements(plan_packs(histogram, capacity))
-    shared = spark.sparkContext.broadcast(plan)
+    live = items.where("n_tokens > 0").select(key, "n_tokens").withColumn("__tie", F.col(key).cast("string"))
+    histogram = {int(r[0]): int(r[1]) for r in live.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()}
+    plans = []
+    for name, capacity in sorted(capacities.items()):
+        pieces, first = offsets(histogram, capacity)
+        plans.append((name, capacity, placements(plan_packs(pieces, capacity)), first))
+    shared = spark.sparkContext.broadcast(plans)
+    kind = items.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
         wide = np.int64(1) << 40
-        edge = p["length"].to_numpy(np.int64) * wide + p["start"].to_numpy(np.int64)
-        start, times, base = p["start"].to_numpy(np.int64), p["times"].to_numpy(np.int64), p["base"].to_numpy(np.int64)
+        tables = []
+        for name, capacity, p, first in shared.value:
+            p = p.astype(np.int64)
+            tables.append((name, capacity, p["length"].to_numpy() * wide + p["start"].to_numpy(), p["start"].to_numpy(), p["times"].to_numpy(), p["base"].to_numpy(), first))
         for pdf in batches:
-            rank = pdf["__rank"].to_numpy(np.int64)
-            at = np.searchsorted(edge, pdf["n_tokens"].to_numpy(np.int64) * wide + rank, side="right") - 1
-            pdf["container_id"] = base[at] + (rank - start[at]) // times[at]
-            yield pdf[[key, "piece_no", "n_tokens", "container_id"]]
-
-    kind = items.schema[key].dataType.simpleString()
-    return ranked.select(key, "piece_no", "n_tokens", "__rank").mapInPandas(place, f"`{key}` {kind}, piece_no int, n_tokens bigint, container_id bigint")
+            keys, size, rank = pdf[key].to_numpy(), pdf["n_tokens"].to_numpy(np.int64), pdf["__rank"].to_numpy(np.int64)
+            for name, capacity, edge, start, times, base, first in tables:
+                long = np.nonzero(size > capacity)[0]
+                short = np.nonzero(size <= capacity)[0]
+                full, at_full, at_rest = (np.array([first[int(s)] for s in size[long]], np.int64).reshape(-1, 3)).T
+                nth = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full)
+                rest = size[long] % capacity
+                some = rest > 0
+                # whole items, full pieces, rests
+                which = np.concatenate([short, np.repeat(long, full), long[some]])
+                piece = np.concatenate([np.zeros(len(short), np.int64), nth, full[some]])
+                length = np.concatenate([size[short], np.full(len(nth), capacity, np.int64), rest[some]])
+                place_ = np.concatenate([rank[short], np.repeat(at_full + rank[long] * full, full) + nth, (at_rest + rank[long])[some]])
+                at = np.searchsorted(edge, length * wide + place_, side="right") - 1
+                yield pd.DataFrame({"box_name": name, "container_id": base[at] + (place_ - start[at]) // times[at], key: keys[which], "piece_no": piece.astype(np.int32), "n_tokens": length})
+
+    ranked = grouped_rank(live, ["n_tokens"], "__tie", out="__rank", stable=stable)
+    return ranked.select(key, "n_tokens", "__rank").mapInPandas(place, f"box_name string, container_id bigint, `{key}` {kind}, piece_no int, n_tokens bigint")

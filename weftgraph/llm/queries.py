@@ -62,12 +62,8 @@ def _counts(spark: SparkSession, sf: str, keep: tuple[str, ...]) -> DataFrame:
 
 def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document in a container of each capacity."""
-    counts = _counts(spark, sf, ("doc_id",))
-    out = None
-    for box in sorted(_t(spark, sf, "pack_limits").collect(), key=lambda r: r["box_name"]):
-        packed = packing.pack(counts, int(box["capacity"])).select(F.lit(box["box_name"]).alias("box_name"), "container_id", "doc_id", "piece_no", "n_tokens")
-        out = packed if out is None else out.unionByName(packed)
-    return out
+    boxes = {r["box_name"]: int(r["capacity"]) for r in _t(spark, sf, "pack_limits").collect()}
+    return packing.pack(_counts(spark, sf, ("doc_id",)), boxes, stable=True)
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
