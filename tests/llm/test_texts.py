@@ -109,3 +109,40 @@ def test_residue_in_indented_lines_and_behind_an_open_fence(spark):
     ]
     got = {r.doc_id: r.residue for r in residue_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == dict.fromkeys((1, 2, 5, 6), "error")
+
+
+# Wordings that the lexicon was not written from: what a reader would take for a notice, and what tells about one.
+NOTICES = {
+    "error": [
+        "The requested page could not be located on this host", "You have been blocked by the firewall", "Error 1020 Ray ID: 7a8b", "Sorry, we could not find that page.", "This content is no longer available.", "503 Backend fetch failed", "Your connection was interrupted",
+        "We're sorry, but something went wrong.", "Oops! That page can't be found.", "The server encountered an internal error and was unable to complete your request.", "You don't have permission to access this resource.", "Your access to this site has been limited by the site owner",
+        "The page you are looking for might have been removed or is temporarily unavailable", "Access to this resource on the server is denied!", "This site is under maintenance", "La página solicitada no existe", "Le serveur est momentanément indisponible", "Die angeforderte Seite existiert nicht", "无法访问此页面", "The service is currently down for scheduled maintenance. Please try again later.",
+        "HTTP Error 429: Too Many Requests", "Verify you are human", "Proxy error: upstream connection refused",
+    ],
+    "script": [
+        "You need to enable JavaScript to run this app.", "Please turn JavaScript on and reload the page.", "Your browser does not support JavaScript!", "This site requires JavaScript to work properly.", "JavaScript must be enabled in your browser to view this page", "We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue.",
+        "Bitte aktiviere JavaScript in deinem Browser.", "您需要启用 JavaScript", "Please switch on scripts and cookies",
+    ],
+    None: [
+        "Handle the error that the parser raises for a missing header.", "We serve a 404 page from the cache when the upstream has gone away, which saved 40 percent of the load last week.", "JavaScript files above 500 KiB are skipped by the extractor and listed in a report.", "The message that scripts are required was translated into three languages.",
+        "Forbidden names are listed in the appendix together with the rules that forbid them.", "Fix crash in the proxy when the session token is empty", "Retries a lost connection five times before the queue gives up.", "We use lorem ipsum dolor sit amet as the sample text in the tests of the layout.", "In Vue templates the braces in {{ message }} are filled in by the component.",
+        "Run `make docs` to expand {{ version }} in the template.", "Set ${HOME}/bin as the first entry of the path, then run the installer again.", "export CACHE=${HOME}/.cache/node", 'The text "Page not found" is shown by the router and was translated in this release.', "The reader answers 503 Service Unavailable while the lease is cold, so the client has to warm it again.",
+        "スナップショットがない場合は直近94件からインデックスを作り直します。", "如果缺少索引，就用最近157条记录重建目录。",
+    ],
+}
+
+
+def test_residue_of_other_wordings(spark):
+    rows = [(i, t, want) for i, (t, want) in enumerate((t, w) for w, ts in NOTICES.items() for t in ts)]
+    got = {r.doc_id: r.residue for r in R.residue_documents(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    wrong = [(t, want, got.get(i)) for i, t, want in rows if got.get(i) != want]
+    assert not wrong
+    long = "Nothing in the ledger is written until every session of the batch has been checked, which takes a while on large trees. "
+    told = spark.createDataFrame([(i, long + t) for i, t, want in rows if want], "doc_id bigint, text string")
+    assert R.residue_documents(told).count() == 0
+
+
+def test_templates_join_sentences_that_differ_in_free_words(spark):
+    docs = [(i, f"The {w} waits as long as the server has failed.") for i, w in enumerate(("lexer", "ledger", "digest"))] + [(9, "This page could not be loaded.")]
+    got = {r.template: (r.verdict, r.n_sentences) for r in R.templates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {"the <*> <*> as long as the server has failed": ("content", 3), "this page could not be loaded": ("error", 1)}

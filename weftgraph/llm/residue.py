@@ -1,9 +1,12 @@
 """Template residue, filler, error pages and script notices in documents.
 
-Lines are masked and mined into message templates with a fixed-depth prefix
-tree; each template is classified once and its verdict goes back to all lines
-it stands for. Unresolved slots are looked for separately, inside ordinary
-lines. A document's verdict then weighs its lines.
+Lines are cut into sentences, and those that hold a word of notices at all are
+mined into message templates with a prefix tree of fixed depth: length, then
+the first three words. In a template the words of the lexicon below stand
+fixed, numbers, code and quotations are masked, and other words become
+variable where they differ. Each template is classified once and its verdict
+goes back to all sentences it stands for. Unresolved slots are looked for
+separately, inside ordinary lines. A document's verdict then weighs its parts.
 """
 
 from __future__ import annotations
@@ -15,72 +18,98 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Status phrases of error pages, in several languages.
-STATUS = (
-    "bad request|unauthori[sz]ed|payment required|forbidden|not found|page not found|file not found|method not allowed|not acceptable|request time-?out|conflict|gone|"
-    "too many requests|internal server error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access (?:is )?denied|permission denied|authentication required|"
-    "página no encontrada|acceso denegado|error interno del servidor|(?:el )?servicio no (?:está )?disponible(?: en este momento)?|(?:su|tu) sesión ha (?:caducado|expirado|terminado)|"
-    "página não encontrada|acesso negado|erro interno do servidor|(?:o )?serviço (?:está )?indisponível(?: no momento)?|(?:a )?sua sessão (?:expirou|terminou)|"
-    "page (?:introuvable|non trouvée)|accès (?:refusé|interdit)|erreur interne du serveur|(?:le )?service (?:est )?(?:momentanément |temporairement )?indisponible|votre session (?:a expiré|est terminée|a pris fin)|"
-    "seite nicht gefunden|zugriff verweigert|interner serverfehler|(?:der )?dienst (?:ist )?(?:derzeit |zurzeit |gerade |momentan |vorübergehend )?nicht (?:verfügbar|erreichbar)|(?:ihre|deine) sitzung ist abgelaufen|"
-    "页面不存在|找不到页面|访问被拒绝|拒绝访问|服务器内部错误|(?:您的)?会话已(?:过期|结束|失效)|(?:服务|网站)(?:暂时|当前)?不可用|"
-    "ページが(?:見つかりません|存在しません)|アクセスが拒否されました|サーバー(?:の)?(?:内部)?エラー(?:が発生しました)?|セッション(?:が|の).{0,8}(?:切れました|終了しました|期限切れです)|(?:現在)?サービス(?:は|を|が)(?:現在|一時的に)?(?:ご?利用できません|停止中です)"
+# The lexicon of notices, by what a word does in them.
+#: What a reader asked for, or what serves it.
+THINGS = """
+page pages site website webpage web url uri link address path document documents file files resource resources repository repo project content contents item article view viewer
+dashboard image service services server servers host hostname domain gateway proxy upstream backend database network connection request requests session login account access firewall cloudflare
+application app system client response dns ip location permission permissions authorization authentication rights area section entity user users members subscribers staff side process operation
+method media type thing things ray requested
+página pagina página archivo arquivo sitio recurso servicio serviço servidor sesión sessão acceso acesso usuario conexión conexão pedido solicitud sistema enlace sua seite datei dienst server sitzung zugriff verbindung
+anfrage adresse inhalt ressource accès serveur fichier connexion site lien requête demande contenu navegador navigateur
+""".split()
+#: What went wrong.
+FAILS = """
+forbidden unauthorized unauthorised denied refused rejected blocked banned restricted limited prohibited unavailable unreachable inaccessible missing gone expired ended timeout timedout invalid lost
+closed broken busy down offline overloaded maintenance moved deleted removed disabled suspended crashed failed fails failing wrong bad conflict unexpected unknown fatal internal found404 nonexistent
+toolong toomany reset interrupted unsupported unacceptable required exceeded unimplemented unprocessable notfound dropped aborted malfunctioned exhausted stopped corrupted lack lacking insufficient
+no_longer serverfehler dead unresponsive construction parked unable
+denegado denegada negado interno interna expirado expirada caducado caducada terminado terminou expirou prohibido proibido incorrecto incorrecta interdit refusé indisponible indisponível introuvable interne expiré terminée
+terminé verweigert abgelaufen verboten interner unerreichbar gesperrt fehlgeschlagen
+""".split()
+NOTS = "not cannot cant can't couldn't couldnt could_not didn't doesn't isn't wasn't won't don't unable never neither no nor without nothing nicht kein keine non pas aucun nunca não ningún ninguna ne n'a".split()
+DOES = """
+found find shown show displayed display loaded load opened open reached reach located locate accessed retrieved retrieve fetched fetch resolved resolve processed process completed complete exist exists existed
+existe existiert respond responded responding answer answered available accessible reachable work worked working continue connect connected establish established serve served serving render rendering rendered implemented
+allowed permitted supported acceptable process handled handle fulfill fulfilled view viewed perform loading opening processing handling
+encontrada encontrado encontró encontrou disponible disponível gefunden erreichbar verfügbar trouvée trouvé geladen cargar carregar charger angezeigt
+""".split()
+ERRORS = "error errors failure exception fault problem trouble http https status code oops whoops uh uhoh issue erro fehler erreur interruption outage snag hiccup".split()
+#: What a reader is told to do.
+ASKS = """
+try again retry reload refresh back later soon shortly wait hold moment minute minutes seconds moments sign log signing logging contact check come return administrator admin webmaster owner support
+slow tarde nuevo novo plus tard später erneut réessayer réessayez inténtelo intente tente versuchen bitte keeps happening persists continues write verify confirm prove human robot captcha complete
+""".split()
+SCRIPTS = "javascript js script scripts scripting ecmascript javascripts noscript client-side".split()
+SWITCHES = """
+enable enabled enables activate activated allow allowed permit permitted turn turned switch switched on off unblock unblocked required requires require needed needs need necessary must should disabled disable blocked missing
+supported support inactive deactivated unavailable without works work runs run loads available active only has have
+activer activez active activa ative autoriser autorisez autorise habilite habilita habilitar permita permitir permite activar ativar aktivieren aktiviere erlauben erlaube einschalten schalten ein benötigt erforderlich nécessaire
+necesario necesita precisa requer requis désactivé deactivé desactivado desativado deaktiviert
+""".split()
+#: Words that notices are made of besides; they count for nothing.
+PLAIN = """
+kindly wiki forum docs help readme graph graphs the a an this that these those it its it's that's there here to of in on at by from for with and or as is are was were be been being has have had do does did can could will would may might must shall should i
+you your yours we our ours us we're you're they them me my please sorry hmm hey hello welcome dear just now right currently temporarily momentarily presently still yet ever any more anymore some something anything everything all
+too very so also then than before after while during into within over under out up off again first next new old other another one two few many much long went go goes going gone getting get got seems seem looks look like appears appear has
+asked asking requested looking trying tried visit visiting visited want wanted use used using see seeing know knew took take takes taken make made due because reason cause occurred occur happened happen encountered
+encounter experienced generated returned reported server's browser browsers cookies cookie settings feature features full version properly correctly fully normally interactive device computer region country ip
+continuing proceed proceeding progress our's side maintained scheduled planned soon short time times moment maybe perhaps might've may've either believe think mistake help assistance details information more
+too exists anywhere elsewhere somewhere nowhere where what whatever who how why which mistyped typed
+el la los las un una unos de del en y o que por para con su sus se no está esta este estamos momento favor antes seguir continuar ver abrir cargar usar ahora actualmente grafo gráfico sitio
+le la les un une des du de dans et ou que qui pour par avec votre vos notre est sont a été ce cette momentanément actuellement temporairement veuillez merci d'activer il faut afin continuer afficher voir graphe navigateur votre vous
+der die das den dem ein eine einen und oder ist sind wird wurde wurden in im auf an zu zum um damit für mit von ihre ihr ihrem ihren sie wir uns derzeit zurzeit gerade momentan vorübergehend leider fortzufahren anzuzeigen laden browser konnte
+kann diese dieser dieses graphen
+o os as um uma do da dos das no na nos nas e ou que por para com seu sua não está este esta momento abrir ver continuar agora carregar pode foi
+""".split()
+#: Words by which a sentence tells about something instead of giving notice; they count double.
+TELLS = "when because once until since whose whenever although whereas unless returns returned marks fixed fix fixes caused causes handles handled tests tested covered shows showed receives received answers answered added adds".split()
+#: Words of a story or a condition, which no error message has.
+STORY = frozenset("i he she they before after if as than its whether since although".split())
+# The same in scripts without spaces, longest first in matching.
+CJK = {
+    "thing": "页面 网页 网站 页 站点 文件 资源 服务器 服务 访问 会话 请求 连接 网关 地址 链接 内容 您的 ページ サイト ファイル リソース サーバー サービス アクセス セッション リクエスト 接続 権限 内部 权限 本页".split(),
+    "fail": "不存在 找不到 未找到 无法 被拒绝 拒绝 已过期 过期 结束 失效 不可用 超时 禁止 错误 失败 维护中 维护 出错 断开 繁忙 已失效 見つかりません 存在しません 拒否されました エラーが発生しました エラー 切れました 終了しました 期限切れ 利用できません 停止中 タイムアウト 禁止されています ありません 失敗しました できません".split(),
+    "script": "脚本 スクリプト".split(),
+    "switch": "启用 打开 开启 允许 啟用 開啟 禁用 阻止 关闭 需要 許可 有効化 有効 オン 無効 ブロック 必要".split(),
+    "plain": "请 請 先 后再 后 再 的 了 在 已 被 暂时 当前 您 浏览器 加载 图形 继续 查看 使用 以 内部 状态 稍后 重试 を に が の は で も て から この その 現在 一時的に ご お 表示 する して ください 読み込む グラフ 続行 閲覧 には ために です ます ました されて いる います ブラウザ ブラウザー".split(),
+}
+
+NAV = "home docs blog explore topics help products pricing team contact menu search about features support login logout register imprint privacy terms sitemap wiki forum status news careers faq".split()
+_NAV = "|".join([*(w.capitalize() for w in NAV), "Sign in", "Sign up", "Log in", "Skip to (?:main )?content"])
+#: What surrounds a page and is content of neither kind: navigation, ids, server signatures.
+CHROME = re.compile(
+    rf"(?<![\w'])(?:{_NAV})(?:(?:\s*[|/·•»>-]\s*|\s+)(?:{_NAV}))+(?![\w'])|^\s*(?:{_NAV})\s*$|(?:(?<=\s\s)|^)(?:{_NAV})(?=\s\s|$)|(?i:skip to (?:main )?content)|"
+    r"(?i:\b(?:request|ray|incident|reference|trace|error|event|ticket)(?: id)?[ :#]+(?=\w*\d)[\w-]{5,}(?: has been (?:logged|reported|recorded))?)|(?i:\b(?:request|ray|incident|reference|trace) id:? [\w-]{4,})|"
+    r"(?i:\b(?:httpd|nginx|apache|caddy|iis|openresty|varnish)[/ ][\d.]+)|(?i:\b(?:edge|proxy|cache|cdn) (?:node )?\w*\d+)|"
+    r"(?i:\b(?:back|return|go) to (?:the |our )?(?:start|home|main|front|previous) ?page)|(?i:\b(?:contact|write to|tell) (?:the |our )?(?:site owner|support|administrator|webmaster))|(?i:\bif (?:this|the problem|it) (?:keeps happening|persists|continues))|[©(]c?\)? ?\d{4}[\w ,.]{0,40}",
 )
-_ERROR_LINES = [
-    r"(?:\d{3}\. ?)?that(?:'s| is) an error",
-    r"(?:sorry,? |oops!? ?|hmm,? )?(?:(?:the|this|that|your) (?:[\w-]+ ){1,5}?|/[\w./-]+ )(?:(?:could|can)(?:not| not) be (?:found|shown|displayed|loaded|opened|reached)|does not exist(?: any ?more)?|no longer exists|was (?:moved|deleted|removed)(?: or (?:moved|deleted|removed))?|took too long to (?:load|respond|answer)|is (?:temporarily |currently )?(?:unavailable|not available|out of service)|is (?:restricted|limited) to (?:members|staff|subscribers|registered users)|can(?:'t|not) be (?:reached|shown|found)|has (?:ended|expired|timed out)|is (?:forbidden|blocked))(?: (?:from your network|without signing in|without (?:a |an )?(?:login|account)|in your (?:region|country)|on this server|right now|at the moment))?",
-    r"(?:the )?connection (?:to the [\w ]{1,30} )?was (?:lost|reset|refused|closed)(?: while [\w ]{1,40})?",
-    r"(?:hmm|oops|sorry|uh oh|whoops)[,!.:]* ?(?:that|this|it|something|we)[\w ']{2,40}",
-    r"our side, not yours",
-    r"something went wrong(?: on our (?:side|end))?",
-    r"(?:an? |the )?(?:application|server|fatal|unknown|unexpected|internal|client-side) (?:error|failure|exception)(?: (?:has occurred|occurred|while (?:rendering|loading|processing|handling|opening) (?:this|the|your) (?:page|request|site|document|file|view)))?(?:, (?:reload|retry|please)[\w ]{0,20}?(?:again)?)?",
-    r"we(?:'re| are) (?:busy|down|offline|closed)(?: (?:with|for) [\w ]{2,30})?",
-    r"(?:please )?(?:come|check) back (?:soon|later|shortly)",
-    r"(?:please )?(?:sign|log) in(?: again)?(?: to (?:continue|go on|see this page))?",
-    r"you (?:lack|(?:do not|don't) have|need)(?: the)? (?:permission|access|rights)[\w ]{0,30}",
-    r"upstream (?:server )?(?:did not|didn't|failed to) (?:answer|respond)(?: in time)?",
-    rf"(?:{STATUS})(?: from your (?:address|network|ip))?,? (?:slow down|try again[\w ]*|reload[\w ]*|sign in[\w ]*)",
-    rf"(?:(?:http|error|status|code)[ :#-]*)*[45]\d{{2}}(?:\.|[ |:–-]+)*(?:{STATUS})",
-    rf"(?:(?:error|http|status)[ :#-]*)?(?:{STATUS})(?:[ ,:|–-]*(?:\(?[45]\d{{2}}\)?|error))?",
-    r"(?:(?:http|error|status|code)[ :#-]*)*[45]\d{2}",
-    r"(?:verify|confirm|prove) (?:that )?you are (?:a )?human|are you a (?:robot|human)\??|(?:please )?complete the captcha[\w ]*",
-    r"(?:this )?(?:site|page|domain) (?:is )?(?:under (?:construction|maintenance)|coming soon|for sale|parked)",
-]
-ERROR = re.compile("(?:" + "|".join(f"(?:{x})" for x in _ERROR_LINES) + r")", re.I)
-
-_S = r"(?:(?:client-side |browser )?(?:java ?scripts?|scripting|scripts?|js)\b)"
-_ON = r"(?:enable|activate|allow|permit|turn on|switch on|unblock)"
-_SCRIPT_LINES = [
-    rf"(?:it (?:looks|seems) like )?(?:your )?{_S} (?:is|are|has been|must be|needs? to be|should be) (?:(?:currently |required to be )?(?:disabled|blocked|missing|off|turned off|switched off|inactive|deactivated|unavailable|required|needed|necessary|on|enabled|activated|turned on|allowed)|not (?:supported|enabled|available|active|allowed))(?: (?:by|in|on|for|from) (?:your|this|the) (?:[\w-]+ ?){{1,3}})?(?:[;,:] [\w ,']{{3,60}})?",
-    rf"{_S} (?:needed|required|off|disabled|blocked)(?:[;,:] [\w ,']{{3,60}})?",
-    rf"(?:(?:please|kindly|you (?:have to|must|need to|should)|to (?:go on|continue|proceed|use [\w ]{{2,30}}|see [\w ]{{2,30}}|view [\w ]{{2,30}}),?(?: you (?:must|need to|have to))?(?: please)?) )*{_ON} {_S}(?: (?:and|or|in|to|before|for|first|then|so)\b[\w ,']{{2,60}})?(?:,? (?:please|first))?",
-    rf"without {_S}(?:,)? (?:there is |this |the |nothing |you |we )[\w ,']{{2,60}}",
-    rf"(?:this|the|our|your) (?:[\w-]+ ){{1,3}}(?:works?|runs?|loads?|needs|requires)(?: only)?(?: with| on)? {_S}(?: (?:on|enabled|to (?:work|run|load|be on)))?(?:[\w ]{{0,30}})",
-    rf"(?:hold on|wait|just a moment|one moment)[\w ,']{{0,40}};? ?{_S} must be (?:on|enabled)",
-    r"(?:(?:veuillez|merci d'|il faut) ?)?(?:activ(?:er|ez)|autoris(?:er|ez)) (?:le )?javascript(?: (?:pour|afin|dans)[\w' ]{2,50})?",
-    r"(?:por favor,? )?(?:habilite|ative|permita|active|activa|habilita|autorize)(?: el| o)? javascript(?: (?:para|en|no|antes)[\w' ]{2,50})?",
-    r"(?:bitte )?(?:aktivieren|erlauben|schalten)(?: sie)? javascript(?: (?:ein|an|frei))?(?:,? (?:um|damit|in)[\w' ]{2,50})?",
-    r"(?:请|請)?(?:先)?(?:启用|打开|开启|允许|啟用|開啟)\s*javascript.{0,20}",
-    r".{0,24}javascript\s*を(?:許可|有効に?|オンに?|有効化).{0,12}",
-    r"javascript\s*(?:已(?:被)?(?:禁用|阻止|关闭)|が(?:無効|ブロック).{0,10})",
-]
-SCRIPT = re.compile("(?:" + "|".join(f"(?:{x})" for x in _SCRIPT_LINES) + r")", re.I)
-
-# What surrounds a page and is content of neither kind.
-_CHROME = [
-    r"skip to (?:main )?content", r"(?:home|docs?|blog|explore|topics|help|products|pricing|team|contact|menu|search|about|features|support|login|logout|sign in|sign up|register|log in|imprint|privacy|terms|sitemap|wiki|forum|status|news|careers|faq)(?:[ |/·•»>-]+(?:home|docs?|blog|explore|topics|help|products|pricing|team|contact|menu|search|about|features|support|login|logout|sign in|sign up|register|log in|imprint|privacy|terms|sitemap|wiki|forum|status|news|careers|faq))*",
-    r"(?:request|ray|incident|reference|trace|error|event|ticket)(?: id)?[ :#]+(?=\w*\d)[\w-]{5,}(?: has been (?:logged|reported|recorded))?", r"(?:httpd|nginx|apache|caddy|iis|server|openresty|varnish)[/ ][\d.]+", r"(?:edge|proxy|cache|cdn)(?: node)? \w*\d+", r"try again (?:in (?:a few|\w+) (?:minutes|seconds|moments)|later|soon)",
-    r"if this keeps happening,? [\w ]{5,50}", r"(?:back|return|go) to the (?:start|home|main|front|previous) ?page|(?:contact|write to) (?:the )?(?:site owner|support|administrator)", r"[©(]c?\)? ?\d{4}[\w ,.]{0,40}",
-]
-CHROME = re.compile("(?:" + "|".join(_CHROME) + r")", re.I)
+_NAV_AT_END = re.compile(rf"(?:(?<=\s)|^)(?:{_NAV})$|^(?:{_NAV})(?=\s)")
 
-# The words of the customary pseudo-Latin filler that its variants keep.
-LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
+# The words of the customary pseudo-Latin filler.
+LOREM = set(
+    "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat "
+    "duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum".split()
+)
 FILLER_WORDS = set(
-    "text texts textes texte texto sample samples dummy placeholder placeholders filler blindtext fülltext platzhaltertext platzhalter beispieltext lorem ipsum asdf qwerty foo bar baz test testing bla blah "
-    "more fill page the to here goes some example content this is just a an and for your words paragraph another yet still only write insert add replace xxx".split()
+    "text texts textes texte texto sample samples dummy placeholder placeholders filler blindtext fülltext platzhaltertext platzhalter beispieltext lorem ipsum asdf qwerty foo bar baz qux test testing bla blah blub "
+    "more fill page the to here goes some example content this is just a an and for your words paragraph another yet still only write insert add replace xxx hier steht texto de relleno ejemplo".split()
+)
+FILLER_CORE = set("text texts texte texto sample dummy placeholder filler blindtext fülltext platzhaltertext platzhalter beispieltext asdf qwerty bla blah blub xxx lorem ipsum foo bar baz relleno".split())
+#: Words that no sentence of these languages lacks for long; filler has none.
+FUNCTION = set(
+    "the of and is to that for with was are we you this it as on by from be not its which when if has have can der die das und ist nicht ein eine mit von wird le la les des une dans pour sur est pas el los las una con por para uma com não".split()
 )
-FILLER_CORE = set("text texts texte texto sample dummy placeholder filler blindtext fülltext platzhaltertext platzhalter beispieltext asdf qwerty bla blah xxx lorem ipsum".split())
 
 # Notations of template fields.
 _SLOT_NAME = r"(?:cookie(?:cutter)?\.|project\.|config\.|site\.|page\.|user\.)?(?:your[_ ])?(?:project|repo|repository|package|module|app|author|owner|maintainer|version|title|summary|description|name|user|username|email|date|year|slug|license|organi[sz]ation|company|url|link|component|feature|product|team|branch|release)(?:[_ -]?(?:name|slug|id|url|title|version|email|description|date|here))*"
@@ -99,184 +128,168 @@ FORM = re.compile(
 )
 LABEL = re.compile(r"(?:\*\*)?[\w ]{2,40}(?:\*\*)?:?(?:\*\*)?|[-*] \[ ?\] [\w ]{1,40}|#+ .{1,60}")
 
-_TAGS = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|hr|br|div|span|center|noscript|b|i|em|strong|main|section|pre|a)(?:\s[^<>]*)?/?>|<!doctype[^>]*>", re.I)
+#: Words by which a line speaks of slots instead of holding one.
+SPEAKS = re.compile(
+    r"\b(?:templates?|templating|placeholders?|variables?|interpolat\w+|substitut\w+|replaced|replaces|replacing|expanded|expansion|syntax|mustaches?|jinja2?|vue|angular|handlebars|liquid|erb|django|escap(?:e|es|ed|ing)|"
+    r"braces|brackets|literal(?:ly)?|notation|unresolved|unfilled|unrendered|evaluates?|evaluated|such as|e\.g\.|for example|stands for|written as|looks like|delimiters?|binding|bindings|shell|environment|regex|pattern|patterns)\b|"
+    r"\b(?:Platzhalter|Vorlagen?|Variablen?|gabarits?|modèles?|plantillas?|marcadores?)\b|模板|占位符|变量|テンプレート|プレースホルダー|変数",
+    re.I,
+)
+#: A line of code or of a command with variables in it.
+CODE_LINE = re.compile(
+    r"^\s*(?:\$ |> |export |set |cd |echo |run:|env:|docker |git |make |npm |npx |yarn |pip |cargo |go |curl |wget |kubectl |helm |terraform |sudo |mkdir |cp |mv |rm |source |python\d? |node |bash |sh )|"
+    r"[;{]\s*$|\w\s*=\s*[\"'$\w]|=>|\w\(.*\)\s*;?\s*$|^\s*[\w.-]+:\s*[\"']?\$\{|&&|\|\||^\s*(?:if|for|while|return|const|let|var|def|fn|func)\b.*[:;{)]\s*$|\$\{\w+\}/|/\$\{"
+)
+
+_TAGS = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|hr|br|div|span|center|noscript|b|i|em|strong|main|section|pre|a|ul|li|footer|header|nav)(?:\s[^<>]*)?/?>|<!doctype[^>]*>", re.I)
 _INLINE = re.compile(r"``.+?``|`[^`\n]*`")
-_QUOTED = re.compile(r"\"[^\"\n]{3,160}\"|“[^”\n]{3,160}”|„[^“”\n]{3,160}[“”]|「[^」\n]{2,160}」")
+_QUOTED = re.compile(r"\"[^\"\n]{2,160}\"|“[^”\n]{2,160}”|„[^“”\n]{2,160}[“”]|«[^»\n]{2,160}»|「[^」\n]{2,160}」|『[^』\n]{2,160}』|(?<!\w)'[^'\n]{2,160}'(?!\w)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", re.U)
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\s*\n\s*|\s{3,}| \| ")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\s*\n\s*|\s{2,}| \| |(?<=\S) [-–—] (?=\S)|[;:] (?=\S)")
+_PHRASES = [
+    (re.compile(a, re.I), b)
+    for a, b in (
+        (r"(?<![\w/])/[\w.-]+(?:/[\w.-]*)*", " url "), (r"\bhttps?://\S+", " url "), (r"\btoo (?:long|slow)\b", "toolong"), (r"\btoo many\b", "toomany"), (r"\btim(?:ed|e|ing)[ -]?out\b", "timeout"), (r"\bno longer\b", "no_longer"), (r"\bnot found\b", "notfound"), (r"\bout of (?:service|order)\b", "unavailable"),
+        (r"\bunder (?:construction|maintenance)\b", "construction"), (r"\bdoes(?:n't| not) exist\b", "nonexistent"), (r"\bbranch view\b", "view"), (r"[’]", "'"), (r"\bclient-side\b", "client-side"), (r"\b(?:file|page) not found\b", "page notfound"),
+    )
+]
+_CJK_OF = {w: k for k, ws in CJK.items() for w in ws}
+_TOKEN = re.compile("|".join(sorted(map(re.escape, _CJK_OF), key=len, reverse=True)) + r"|[぀-ヿ一-鿿]|[\ue000\ue001]|[^\W\d぀-ヿ一-鿿]+(?:['-][^\W\d]+)*|\d[\w.,]*", re.U)
+
+_THINGS, _FAILS, _NOTS, _DOES, _ERRORS, _ASKS, _SCRIPTS, _SWITCHES, _PLAIN, _TELLS = map(frozenset, (THINGS, FAILS, NOTS, DOES, ERRORS, ASKS, SCRIPTS, SWITCHES, PLAIN, TELLS))
+LEXICON = _THINGS | _FAILS | _NOTS | _DOES | _ERRORS | _ASKS | _SCRIPTS | _SWITCHES | _PLAIN | _TELLS | STORY | frozenset(_CJK_OF)
+_LOOSE = STORY - _PLAIN
+#: A sentence with none of these can be no notice, filler or form.
+CORE = _FAILS | _NOTS | _ERRORS | _SCRIPTS | FILLER_CORE | LOREM | frozenset("long many time timed out longer human captcha goes here todo tbd fixme tba wip xxx soon describe replace insert enter put type write fill add delete ausfüllen done human robot parked sale test testing".split())
+_CJK_CORE = re.compile("|".join(sorted(map(re.escape, CJK["fail"] + CJK["switch"] + CJK["script"]), key=len, reverse=True)))
+_FORM_SIGN = re.compile(r"[<\[(_]|\.{4}|!--")
+_SPACED = str.maketrans({c: " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~–—•·“”„«»…。！？、，；："})
 
 
 def n_words(text: str) -> int:
     """Words of a text; of scripts without spaces every third character counts as one."""
-    cjk = len(_CJK.findall(text))
-    return len(_WORD.findall(_CJK.sub(" ", text))) + (cjk + 2) // 3
+    cjk = len(_CJK.findall(text)) if not text.isascii() else 0
+    return len(_WORD.findall(_CJK.sub(" ", text) if cjk else text)) + (cjk + 2) // 3
 
 
-def _filler(words: list[str]) -> bool:
-    if not words:
-        return False
+def is_filler(words: list[str]) -> bool:
+    """Whether a line's words are filler: placeholder phrases, words over and over, or pseudo-Latin."""
     low = [w.lower() for w in words]
-    lorem = [w for w in low if w in LOREM]
-    if len(low) >= 5 and len(set(lorem)) >= 3 and len(lorem) >= 0.08 * len(low):
-        return True
-    if len(low) >= 5 and len(lorem) >= 0.25 * len(low):
+    n, kinds = len(low), set(low)
+    if not n:
+        return False
+    core = kinds & FILLER_CORE
+    if core and len(kinds - FILLER_WORDS) <= 0.1 * n and (n >= 3 or kinds <= FILLER_CORE and n >= 2 or kinds <= {"platzhaltertext", "blindtext", "fülltext"}):
         return True
-    kinds = set(low)
-    if len(low) >= 8 and len(kinds) <= 4 and len(kinds) <= len(low) // 3:
+    if n >= 8 and len(kinds) <= 4 and len(kinds) <= n // 3 or n >= 4 and kinds <= {"test", "testing", "blah", "bla"}:
         return True
-    if len(low) >= 5 and all(re.fullmatch(r"(\w)\1{1,6}", w) for w in kinds):
+    if n >= 3 and all(re.fullmatch(r"(\w)\1{1,6}", w) for w in kinds):
         return True
-    return bool(kinds & FILLER_CORE) and len(kinds - FILLER_WORDS) <= 0.1 * len(low) and (len(low) >= 3 or kinds <= FILLER_CORE and len(low) >= 2 or kinds <= {"platzhaltertext", "blindtext", "fülltext"})
-
-
-def classify(template: str) -> tuple[str, int, int]:
-    """Verdict on one line: (class, bad words, other words).
-
-    Classes: 'error', 'script', 'filler', 'form', 'chrome', 'label', 'content'.
-    A sentence counts as bad only if it is one from end to end; a page's title
-    or navigation may stand around it in the same line.
-    """
-    line = _TAGS.sub("\n", template.replace("<noscript>", "\n").replace("</noscript>", "\n"))
-    line = _QUOTED.sub(" quoted ", _INLINE.sub(" code ", line)).strip()
-    if not line:
-        return "chrome", 0, 0
-    if _filler(_WORD.findall(line)):
-        return "filler", n_words(line), 0
-    bad = other = 0
-    kind = ""
-    seen_form = False
-    for part in _SENTENCE.split(line):
-        s = part.strip().strip("*#>-–|•· ").rstrip(".!…。！:; ").strip()
-        if not _WORD.search(s) and not re.fullmatch(r"\d{3}", s):
-            continue
-        if SCRIPT.fullmatch(s):
-            kind, bad = "script", bad + n_words(s)
-        elif ERROR.fullmatch(s):
-            kind, bad = kind or "error", bad + n_words(s) + 1
-        elif CHROME.fullmatch(s):
-            continue
-        elif any(FORM.fullmatch(x) for x in (part.strip(), part.strip().strip("*#> "), s)):
-            seen_form, bad = True, bad + n_words(s)
-        else:
-            b, o, k = _embedded(s)
-            bad, other, kind = bad + b, other + o, kind or k
-    if kind:
-        return kind, bad, other
-    if seen_form:
-        return "form", bad, other
-    if not other:
-        return "chrome", 0, 0
-    if LABEL.fullmatch(template.strip()) and other <= 4:
-        return "label", 0, other
-    return "content", 0, other
+    latin = [w for w in low if w in LOREM]
+    return n >= 4 and len(set(latin)) >= 2 and len(latin) >= 0.08 * n and sum(w in FUNCTION for w in low) <= 0.05 * n
 
 
-_NAV = "Home|Docs|Blog|Explore|Topics|Help|Products|Pricing|Team|Contact|Menu|Search|About|Login|Logout|Register|Sign in|Skip to content"
-_CHROME_IN = re.compile(r"(?<!\w)(?i:" + "|".join(_CHROME[:1] + _CHROME[2:]) + rf")(?!\w)|(?<!\w)(?:{_NAV})(?:[ |/·•»>-]+(?:{_NAV}))*(?!\w)")
-_TITLE_END = re.compile(r"(?:[|:–—-]|\s{2}|\b(?:docs|wiki|forum|issues?|blog|readme))\s*$|^(?:[A-Z][\w-]*\s*){1,4}$")
-_BREAK = re.compile(r"\s*$|\s{2,}|\s*[|:;.!–-]|\s+[A-Z0-9/]")
-_STARTS = re.compile(r"(?<!\S)(?=\S)")
+def masked(sentence: str) -> list[str]:
+    """Tokens of a sentence, lower case: statuses and other numbers masked, customary phrases as one word."""
+    for rx, to in _PHRASES:
+        sentence = rx.sub(to, sentence)
+    return [("<status>" if re.fullmatch(r"[45]\d\d\W*", t) else "<n>") if t[0].isdigit() else {"\ue000": "<code>", "\ue001": "<quoted>"}.get(t, t) for t in _TOKEN.findall(sentence.lower())]
 
 
-def _embedded(s: str) -> tuple[int, int, str]:
-    """A line flattened from a page: title, notices and footer in one. Bad words, other words and class.
+def notice(tokens: list[str]) -> str:
+    """'script', 'error', 'ask', 'chrome' or '' for the tokens of a template; '<*>' is any word.
 
-    Notices are taken one after the other, from the line's start or behind a
-    short title; where the next one begins must look like a break.
+    A notice consists of the lexicon's words nearly throughout: one in five may
+    be another, none in the shortest. A script notice names scripts and what is
+    to be done or wrong with them; an error names a status, or a thing and what
+    is wrong with it, or hardly more than what is wrong.
     """
-    core = _CHROME_IN.sub("  ", s).strip(" |-–:;,.")
-    if not _WORD.search(core):
-        return 0, 0, ""
-    bad, other, kind, at = 0, 0, "", 0
-    while at < len(core):
-        found = None
-        for m in _STARTS.finditer(core, at):
-            title = core[at : m.start()]
-            if n_words(title) > 6:
-                break
-            if title.strip() and not _TITLE_END.search(title):
-                continue
-            tail = core[m.start() :]
-            for k, rx in (("script", SCRIPT), ("error", ERROR)):
-                hit = rx.match(tail)
-                if hit and hit.end() > 2 and _BREAK.match(tail[hit.end() :]) and (n_words(hit[0]) > 1 or hit.end() == len(tail) or re.match(r"\s{2,}", tail[hit.end() :])):
-                    found = (k, m.start(), m.start() + hit.end())
-                    break
-            if found:
-                break
-        if not found:
-            break
-        kind = kind or found[0]
-        other += n_words(core[at : found[1]])
-        bad += n_words(core[found[1] : found[2]]) + 1
-        at = found[2]
-        while at < len(core) and core[at] in " |-–:;,.!":
-            at += 1
-    rest = n_words(core[at:])
-    if kind and rest > 8:  # the sentence goes on: it tells about a notice
-        return 0, bad + other + rest, ""
-    return bad, other + rest, kind
-
-
-def has_slot(line: str) -> bool:
-    """An unresolved template field in a line, outside of inline code."""
-    return bool(SLOTS.search(_INLINE.sub(" ", line)))
-
-
-DEPTH = 3
-SIMILAR = 0.75
-
-
-def tree_key(line: str) -> str:
-    """Path of a line in the prefix tree: its number of tokens and its first tokens, numbers masked."""
-    tokens = line.split()
-    return f"{len(tokens)}\x01" + "\x01".join("<*>" if any(c.isdigit() for c in t) else t.lower() for t in tokens[:DEPTH])
-
-
-#: Templates of a leaf that a line is compared with, the latest first founded. Beyond these it is classified on its own.
-COMPARED = 64
-#: Lines of up to so many tokens must agree in all of them: a single word can turn a message into a sentence about it.
-EXACT = 12
+    cjk = [t for t in tokens if t in _CJK_OF or _CJK.match(t)]
+    if cjk:
+        kinds = {_CJK_OF[t] for t in cjk if t in _CJK_OF}
+        loose = sum(t not in _CJK_OF for t in cjk) + sum(t not in LEXICON and t[0] != "<" for t in tokens if t not in cjk)
+        if loose > 0.2 * len(tokens):
+            return ""
+        if ("script" in kinds or any(t in _SCRIPTS for t in tokens)) and kinds & {"switch", "fail"}:
+            return "script"
+        return "error" if "fail" in kinds and ("thing" in kinds or len(tokens) <= 3) else ""
+    n = len(tokens)
+    status = "<status>" in tokens
+    words = [t for t in tokens if t[0] != "<" or t == "<*>"]
+    loose = sum(t not in LEXICON or t in _LOOSE for t in words) + 2 * sum(t in _TELLS and i > 0 for i, t in enumerate(tokens)) + sum(t in ("<code>", "<quoted>") for t in tokens)
+    if loose > (0 if n <= 4 else max(1, 0.2 * n)) or tokens[:2] == ["do", "not"] or tokens and tokens[-1] == "<n>" and n > 3:
+        return ""
+    has = set(words)
+    if has & _SCRIPTS:
+        return "script" if has & _SWITCHES or has & _NOTS else ""
+    if has & STORY:
+        return ""
+    fail, no, thing, does, error = has & _FAILS, has & _NOTS, has & _THINGS, has & _DOES, has & _ERRORS
+    if status and (fail or no or error or n <= 2) or "error" in has and "<n>" in tokens and n <= 2:
+        return "error"
+    if thing and (fail or no and (does or len(has) <= 8) or error):
+        return "error"
+    if error and (fail or has & {"that", "that's", "went", "occurred"} or has <= _ERRORS | _FAILS | _PLAIN and n <= 3 and (fail or len(has & _ERRORS) > 1)):
+        return "error"
+    if "wrong" in has or "we" in has and fail or no and does and has & {"that", "hmm", "we", "this", "it", "sorry", "oops"}:
+        return "error"
+    if fail and has & _ASKS and not loose or fail and n <= 3 and not has - _FAILS - _PLAIN - _THINGS - _ERRORS:
+        return "error"
+    if "you" in has and (fail or no) and (has & _THINGS or "human" in has):
+        return "error"
+    if has & {"human", "robot", "captcha"} and has & {"verify", "confirm", "prove", "complete", "are"}:
+        return "error"
+    return "ask" if has and has <= _ASKS | _PLAIN | _THINGS and has & _ASKS and n <= 10 else ""
+
+
+def classify(tokens: list[str], sentence: str) -> tuple[str, int, int]:
+    """Verdict on a template: (class, bad words, other words). ``sentence`` is one that founded it, for the signs of forms.
+
+    Classes: 'error', 'script', 'form', 'chrome', 'label', 'content'.
+    """
+    n = max(1, n_words(sentence))
+    s = sentence.strip()
+    bare = s.strip("*#>-–|•· ").rstrip(".!…。！:; ").strip()
+    if any(FORM.fullmatch(x) for x in (s, s.strip("*#> "), bare)):
+        return "form", n, 0
+    kind = notice(tokens)
+    if kind in ("error", "script"):
+        return kind, n + 1, 0
+    if kind == "ask" or not any(c.isalpha() for c in bare):
+        return "chrome", 0, 0
+    if LABEL.fullmatch(s) and n <= 4:
+        return "label", 0, n
+    return "content", 0, n
 
 
-def _masked(token: str) -> str:
-    """Numbers are variable parts, but a status of an error is told from other numbers."""
-    if not any(c.isdigit() for c in token):
-        return token
-    return "<status>" if re.fullmatch(r"\W*[45]\d\d\W*", token) else "<*>"
+def slot_lines(line: str) -> bool:
+    """Whether an unresolved template field stands in a line: not in inline code or quotes, not in a line of code, and not in one that speaks of slots."""
+    if not _SLOT_SIGN.search(line):
+        return False
+    plain = _QUOTED.sub(lambda m: m[0] if m[0][0] == "«" else " ", _INLINE.sub(" ", line))
+    rest, n = SLOTS.subn(" ", plain)
+    return bool(n) and not SPEAKS.search(rest) and not CODE_LINE.search(plain if "${" in plain else rest)
 
 
-def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of a leaf, in order: each joins a template of which it shares enough tokens, or founds one.
+#: Subjects of commits are content; only slots are looked for in them.
+_COMMIT = re.compile(r"(?:feat|fix|docs|chore|perf|refactor|tests?|build|ci|style|revert)(?:\([^)]*\))?!?: ")
+_SLOT_SIGN = re.compile(r"[{<$%@_«\[]|REPLACE|CHANGE|FILL", re.I)
 
-    The template is classified when it is founded; lines that join take over
-    its verdict. A line that joins none is classified itself, so how many
-    templates are compared decides on the work and not on the verdicts found.
-    """
-    from collections import deque
 
-    leaf, known, recent = None, {}, deque(maxlen=COMPARED)
-    for pdf in batches:
-        out = []
-        for key, line in zip(pdf["leaf"], pdf["line"], strict=True):
-            if key != leaf:
-                leaf, known = key, {}
-                recent.clear()
-            tokens = tuple(_masked(t) for t in line.lower().split())
-            verdict = known.get(tokens)
-            if verdict is None and len(tokens) > EXACT:
-                for other, v in recent:
-                    if sum(a == b for a, b in zip(tokens, other, strict=False)) >= SIMILAR * len(tokens) and len(other) == len(tokens):
-                        verdict = v
-                        break
-            if verdict is None:
-                verdict = classify(line)
-                if len(tokens) > EXACT:
-                    recent.appendleft((tokens, verdict))
-            known[tokens] = verdict
-            out.append((line, *verdict))
-        yield pd.DataFrame(out, columns=["line", "verdict", "bad", "other"])
+def sentences(line: str) -> list[str]:
+    """Sentences of a line without markup, navigation and ids; quotations and inline code are masked."""
+    line = _TAGS.sub("\n", line)
+    line = CHROME.sub("\n", _QUOTED.sub("\ue001", _INLINE.sub("\ue000", line)))
+    out = []
+    for part in _SENTENCE.split(line):
+        part = part.strip()
+        if "  " not in part and n_words(part) > 1:  # a page flattened into a line: navigation before and behind
+            while (cut := _NAV_AT_END.sub("", part).strip()) != part:
+                part = cut
+        if part:
+            out.append(part)
+    return out
 
 
 def prose_lines(text: str) -> list[str]:
@@ -304,47 +317,121 @@ def prose_lines(text: str) -> list[str]:
     return [line for _, line in (flush if prose else sorted(flush + indented))]
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, slots: the lines of texts without code, as ``prose_lines`` tells it.
+def candidate(low: str) -> bool:
+    """Whether a line, in lower case, can hold a notice, a form, filler or a slot at all."""
+    if not low.isascii() and _CJK.search(low):
+        return bool(_CJK_CORE.search(low)) or any(w in low for w in _SCRIPTS)
+    words = set(low.translate(_SPACED).split())
+    return not words.isdisjoint(CORE) or words.isdisjoint(FUNCTION) or any(len(w) == 3 and w[0] in "45" and w.isdigit() for w in words)
+
+
+def document_parts(docs: DataFrame) -> DataFrame:
+    """doc_id, leaf, part, kind, words, times: what of each text can be residue, and the number of all its other words.
 
-    slots tells whether an unresolved field stands in the line.
+    Parts of kind 'sentence' are to be mined, with the path of the prefix tree
+    that they belong to; 'filler' and 'bare' are whole lines of filler words,
+    and without function words; 'slot' is a line with an unresolved field;
+    'plain' stands for all other words of the text. A text in which nothing can
+    be residue gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (doc, line, tree_key(line), has_slot(line)) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for line in prose_lines(text or "")
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "leaf", "slots"])
+            rows = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                plain, found = 0, {}
+                for line in prose_lines(text or ""):
+                    slot = slot_lines(line)
+                    if slot:
+                        found["", "", "slot", 0] = 1
+                    low = line.lower()
+                    if not slot and not candidate(low) and not _FORM_SIGN.match(line):
+                        plain += (len(low.split()) if low.isascii() else n_words(low)) if len(low) > 80 else n_words(CHROME.sub(" ", line))
+                        continue
+                    if _COMMIT.match(line) and not slot:
+                        plain += n_words(line)
+                        continue
+                    text_line = _QUOTED.sub(" ", _INLINE.sub(" ", _TAGS.sub(" ", line)))
+                    words = _WORD.findall(text_line)
+                    if is_filler(words):
+                        key = ("", " ".join(sorted({w.lower() for w in words} if any(w.lower() in LOREM for w in words) else ())), "filler", len(words))
+                        found[key] = found.get(key, 0) + 1
+                        continue
+                    if len(words) >= 4 and text_line.isascii() and FUNCTION.isdisjoint(w.lower() for w in words):
+                        key = ("", " ".join(w.lower() for w in words), "bare", len(words))
+                        found[key] = found.get(key, 0) + 1
+                    for s in sentences(line):
+                        if candidate(s.lower()) or _FORM_SIGN.search(s) or LABEL.fullmatch(s):
+                            key = (tree_path(masked(s)), s, "sentence", 0)
+                            found[key] = found.get(key, 0) + 1
+                        else:
+                            plain += n_words(s)
+                if found:
+                    rows += [(doc, *k, n) for k, n in found.items()]
+                    rows.append((doc, "", "", "plain", plain, 1))
+            yield pd.DataFrame(rows, columns=["doc_id", "leaf", "part", "kind", "words", "times"])
+
+    return docs.select("doc_id", "text").where("trim(text) <> ''").mapInPandas(run, "doc_id bigint, leaf string, part string, kind string, words int, times int")
 
-    return docs.select("doc_id", "text").where("trim(text) <> ''").mapInPandas(run, "doc_id bigint, line string, leaf string, slots boolean")
 
+DEPTH = 3
 
-def _with_vocabulary(judged: DataFrame) -> DataFrame:
-    """Turns content lines that are made of pseudo-Latin words alone into filler."""
-    words = F.explode(F.split(F.lower(F.regexp_replace("line", r"[^A-Za-z]+", " ")), " "))
-    classic = F.size(F.array_intersect(F.split(F.lower(F.regexp_replace("line", r"[^A-Za-z]+", " ")), " "), F.array(*[F.lit(w) for w in sorted(LOREM)])))
-    latin = judged.where((F.col("verdict") == "filler") & (classic >= 3)).select(words.alias("w")).where("length(w) > 2")
-    known = latin.groupBy("w").count().where("count >= 3").select("w")
-    plain = (F.col("verdict").isin("content", "label")) & F.col("line").rlike(r"^[A-Za-z .,;:!?#*-]+$") & ~F.lower("line").rlike(r"\b(the|is|of|and|to|in|that|der|die|und|le|la|les|el|los|que|de|um)\b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for line in pdf["line"]:
-                found = [w.lower() for w in _WORD.findall(line)]
-                if len(found) >= 4:
-                    rows += [(line, w, len(found)) for w in found]
-            yield pd.DataFrame(rows, columns=["line", "w", "n"])
-
-    told = (
-        judged.where(plain).select("line").mapInPandas(run, "line string, w string, n int").join(known, "w")
-        .groupBy("line").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n")).where("hits >= 0.9 * n").select("line", "n")
-    )
-    new = F.col("n").isNotNull()
-    return judged.join(told, "line", "left").select(
-        "line", F.when(new, "filler").otherwise(F.col("verdict")).alias("verdict"), F.coalesce("n", "bad").alias("bad"), F.when(new, 0).otherwise(F.col("other")).alias("other")
-    )
+def tree_path(tokens: list[str]) -> str:
+    """Path in the prefix tree: the number of tokens and the first of them; words outside the lexicon are variable."""
+    return f"{len(tokens)}\x01" + "\x01".join(t if t in LEXICON or t[0] == "<" else "<*>" for t in tokens[:DEPTH])
+
+
+def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sentences of a leaf, in order, to templates and their verdicts.
+
+    A sentence joins the template with which it shares every fixed word in its
+    place; words outside the lexicon become variable. No two sentences of a
+    template can differ in the verdict, which reads fixed words only, so a
+    template is classified when it is founded, wherever its leaf is mined.
+    """
+    known: dict[tuple, tuple] = {}
+    leaf = None
+    for pdf in batches:
+        out = []
+        for path, sentence in zip(pdf["leaf"], pdf["part"], strict=True):
+            if path != leaf:
+                leaf, known = path, {}
+            tokens = masked(sentence)
+            template = tuple(t if t in LEXICON or t[0] == "<" else "<*>" for t in tokens)
+            signs = bool(_FORM_SIGN.search(sentence)) or not CORE.isdisjoint(tokens)
+            key = (template, sentence if signs and len(tokens) <= 12 and _FORMISH.search(sentence) else LABEL.fullmatch(sentence) is not None)
+            verdict = known.get(key)
+            if verdict is None:
+                verdict = known[key] = classify(list(template), sentence)
+            kind, bad, other = verdict
+            n = max(1, n_words(sentence))
+            out.append((sentence, " ".join(template), kind, bad and n + (kind != "form"), other and n))
+        yield pd.DataFrame(out, columns=["part", "template", "verdict", "bad", "other"])
+
+
+#: A sentence that a form's sign or verb may begin: it is judged by itself, as the signs are no words.
+_FORMISH = re.compile(r"[<\[(_]|\.{4}|(?i:\b(?:to ?do|tbd|fixme|tba|wip|xxx|goes here|coming soon|to be|describe|explain|insert|add|write|replace|fill|put|type|enter)\b)")
+
+
+def judged_sentences(parts: DataFrame) -> DataFrame:
+    """part, template, verdict, bad, other: each distinct sentence, mined in its leaf of the tree.
+
+    A leaf of any size is spread by the sentences' hash; verdicts do not depend on it.
+    """
+    from weftgraph.session import shuffle_width
+
+    width = shuffle_width(parts.sparkSession)
+    distinct = parts.where("kind = 'sentence'").select("leaf", "part").distinct().withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(16)))
+    return distinct.repartition(width, "leaf", "salt").sortWithinPartitions("leaf", "salt", "part").select("leaf", "part").mapInPandas(mine, "part string, template string, verdict string, bad int, other int")
+
+
+def _bare_filler(parts: DataFrame) -> DataFrame:
+    """doc_id, words: lines without function words of which nine in ten words stand in lines known as pseudo-Latin."""
+    known = parts.where("kind = 'filler' and part <> ''").select(F.explode(F.split("part", " ")).alias("w")).where("length(w) > 2").distinct()
+    bare = parts.where("kind = 'bare'").select("part", F.col("words").alias("n")).distinct()
+    hits = bare.select("part", "n", F.explode(F.split("part", " ")).alias("w")).join(known, "w").groupBy("part").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n")).where("hits >= 0.9 * n").select("part")
+    return parts.where("kind = 'bare'").join(hits, "part", "left_semi").select("doc_id", (F.col("words") * F.col("times")).alias("bad"))
 
 
 def residue_documents(docs: DataFrame, most_other: int = 12, most_before_form: int = 40) -> DataFrame:
@@ -356,37 +443,41 @@ def residue_documents(docs: DataFrame, most_other: int = 12, most_before_form: i
     and at most ``most_other`` other words besides navigation and labels; or
     if at least two lines of an unfilled form follow a short introduction.
     Pseudo-Latin is known by its customary words; the other words of such
-    paragraphs are gathered from all documents where they come at least three
-    times, and tell the paragraphs that happen to lack the former.
-    Null and blank texts never are, nor are documents that consist of code.
-    Repeated doc_ids are judged together. Every line of the whole text that is no
-    code counts.
+    paragraphs, gathered from all documents, tell the paragraphs that happen
+    to lack the former. Null and blank texts never are residue, nor are
+    documents that consist of code. Repeated doc_ids are judged together. All
+    of a text that is no code counts; lines without any word of notices, slots,
+    filler or forms are only counted.
     """
-    from weftgraph.session import checkpointed, shuffle_width
-
-    lines = checkpointed(document_lines(docs).groupBy("doc_id", "line", "leaf").agg(F.max("slots").alias("slots"), F.count(F.lit(1)).alias("times")))
-    width = shuffle_width(docs.sparkSession)
-    # a leaf of any size is spread by its first letters' hash: templates found twice get the same verdict
-    distinct = lines.select("leaf", "line").distinct().withColumn("part", F.pmod(F.xxhash64("line"), F.lit(16)))
-    judged = (
-        distinct.repartition(width, "leaf", "part").sortWithinPartitions("leaf", "part", "line")
-        .select(F.concat_ws("\x01", "leaf", "part").alias("leaf"), "line")
-        .mapInPandas(mine, "line string, verdict string, bad int, other int")
-    )
-    judged = _with_vocabulary(checkpointed(judged))
-    # lines that say something decide; of a content line only its number of words matters
-    per = lines.join(judged, "line").groupBy("doc_id").agg(
-        F.max("slots").alias("slots"),
-        *[F.sum(F.when(F.col("verdict") == k, F.col("bad") * F.col("times")).otherwise(0)).alias(k) for k in ("error", "script", "filler", "form")],
-        F.sum(F.when(F.col("verdict") == "form", F.col("times")).otherwise(0)).alias("form_lines"),
-        F.sum(F.when(F.col("verdict").isin("content"), F.col("other") * F.col("times")).otherwise(0)).alias("content"),
-        F.sum(F.when(F.col("verdict").isin("error", "script", "form"), F.col("other") * F.col("times")).otherwise(0)).alias("aside"),
+    from weftgraph.session import checkpointed
+
+    parts = checkpointed(document_parts(docs))
+    sentences_ = parts.where("kind = 'sentence'").select("doc_id", "part", "times").join(judged_sentences(parts), "part").select(
+        "doc_id", "verdict", (F.col("bad") * F.col("times")).alias("bad"), (F.col("other") * F.col("times")).alias("other"), "times"
     )
+    rest = parts.where("kind in ('plain', 'filler', 'slot')").select("doc_id", F.col("kind").alias("verdict"), (F.col("words") * F.col("times")).alias("bad"), F.lit(0).alias("other"), "times")
+    bare = _bare_filler(parts).select("doc_id", F.lit("filler").alias("verdict"), "bad", F.lit(0).alias("other"), F.lit(1).alias("times"))
+    v = F.col("verdict")
+    total = lambda of, *kinds: F.sum(F.when(v.isin(*kinds), F.col(of)).otherwise(0))
+    per = sentences_.unionByName(rest).unionByName(bare).groupBy("doc_id").agg(
+        total("times", "slot").alias("slots"), *[total("bad", k).alias(k) for k in ("error", "script", "filler", "form")],
+        total("times", "form").alias("form_lines"), (total("bad", "plain") + total("other", "content")).alias("content"),
+    )
+    small = F.col("content") <= most_other
     why = (
-        F.when(F.col("slots"), "slots").when(F.col("filler") >= 2, "filler")
-        .when((F.col("content") + F.col("aside") <= most_other) & (F.col("script") > 0), "script")
-        .when((F.col("content") + F.col("aside") <= most_other) & (F.col("error") > 0), "error")
-        .when((F.col("content") <= most_other) & (F.col("form") > 0), "form")
+        F.when(F.col("slots") > 0, "slots").when((F.col("filler") >= 4) | (F.col("filler") >= 2) & small, "filler").when(small & (F.col("script") > 0), "script")
+        .when(small & (F.col("error") > 0), "error").when(small & (F.col("form") > 0), "form")
         .when((F.col("content") <= most_before_form) & (F.col("form_lines") >= 2), "form")
     )
     return per.select("doc_id", why.alias("residue")).where(F.col("residue").isNotNull())
+
+
+def templates(docs: DataFrame) -> DataFrame:
+    """The message templates mined: template, verdict, n_sentences, n_documents."""
+    from weftgraph.session import checkpointed
+
+    parts = checkpointed(document_parts(docs))
+    return (
+        parts.where("kind = 'sentence'").select("doc_id", "part").join(judged_sentences(parts), "part")
+        .groupBy("template", "verdict").agg(F.count_distinct("part").alias("n_sentences"), F.count_distinct("doc_id").alias("n_documents"))
+    )
