@@ -42,6 +42,28 @@ def test_nearest_equals_brute_force_on_few_and_recalls_on_many(spark):
     assert dict(got) == brute(few, 5)
 
 
+def test_nearest_with_lists_below_lists(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(150, 384))
+    rows = {f"v{i:04d}": (centres[i % 150] + 0.3 * rng.normal(size=384)).astype(np.float32).tolist() for i in range(3000)}
+    df = spark.createDataFrame(list(rows.items()), "node_id string, vector array<float>")
+    got = defaultdict(list)
+    for r in V.nearest(df, list_size=16, block=100, sample=160).collect():
+        got[r.id].append(r.other)
+    want = brute(rows, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) / (5 * len(want)) >= 0.95
+
+
+def test_ids_with_several_vectors_take_the_first_by_value(spark):
+    rng = np.random.default_rng(10)
+    a, b = (rng.normal(size=384).astype(np.float32).tolist() for _ in range(2))
+    low, high = (a, b) if a < b else (b, a)
+    df = spark.createDataFrame([("x", low), ("y", low), ("y", high), ("z", high)], "node_id string, vector array<float>")
+    got = {r.id: (r.other, round(r.cos, 6)) for r in V.nearest(df, k=1).collect()}
+    assert got["x"] == ("y", 1.0) and got["y"] == ("x", 1.0) and got["z"][0] == "x"
+
+
 def test_nearest_dirty_rows_and_hot_copies(spark):
     rng = np.random.default_rng(6)
     one = rng.normal(size=384).astype(np.float32).tolist()

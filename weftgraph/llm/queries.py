@@ -89,10 +89,15 @@ def p10_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_documents(_t(spark, sf, "documents"))
 
 
+def p10_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """The message templates found in all documents, with their verdicts."""
+    return residue.templates(_t(spark, sf, "documents"))
+
+
 QUERIES = shipped({
     "p1_found": p1_found, "p1_rates": p1_rates, "p5_found": p5_found, "p5_handwritten": p5_handwritten, "p6_found": p6_found, "p6_neighbours": p6_neighbours,
     "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p10_found": p10_found, "p10_reasons": p10_reasons,
+    "p10_found": p10_found, "p10_reasons": p10_reasons, "p10_templates": p10_templates,
 })
 
 _COSINES = """

@@ -2,7 +2,9 @@
 
 Centroids are fitted on a bounded sample and searched by a graph in memory.
 Vectors near a border are stored in several lists; which lists a vector
-searches is pruned by the ratio of its distances to their centroids.
+searches is pruned by the ratio of its distances to their centroids. A list
+that is still too long is cut into lists of its own, with centroids fitted in
+the cluster, so the number of lists grows with the vectors.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import checkpointed
 
-#: The centroids are fitted on at most so many vectors; every vector is indexed.
+#: The centroids of a level are fitted on at most so many vectors (below the first level, for each list); every vector is indexed.
 SAMPLE = 20_000
 #: Sample vectors for each centroid at least, and vectors wanted in a list.
 SAMPLE_PER_LIST, LIST_SIZE = 8, 256
-#: Rows of one side of a block; a list estimated above it is split.
+#: A list with more members is cut into lists of its own; below that level, into blocks that are compared in pairs.
 BLOCK = 8_192
-MEMBER_LISTS, MEMBER_RATIO = 3, 1.20
-SEARCH_LISTS, SEARCH_RATIO = 6, 1.30
+MEMBER_LISTS, MEMBER_RATIO = 2, 1.15
+SEARCH_LISTS, SEARCH_RATIO = 4, 1.25
+#: Up to so many centroids are all entries of the graph; a larger graph is walked.
+ENTRIES = 512
 
 
 def balanced_centroids(x: np.ndarray, n_lists: int, seed: int = 7) -> np.ndarray:
@@ -61,17 +65,20 @@ def balanced_centroids(x: np.ndarray, n_lists: int, seed: int = 7) -> np.ndarray
 class CentroidGraph:
     """Centroids with their nearest neighbours as a graph, searched best first in batches."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24, entries: int = 64, seed: int = 11) -> None:
+    def __init__(self, centroids: np.ndarray, degree: int = 24, entries: int = ENTRIES, seed: int = 11) -> None:
         self.c = centroids
         n = len(centroids)
+        self.whole = n <= entries
+        if self.whole:
+            return
         degree = min(degree, max(1, n - 1))
         near = []
         for i in range(0, n, 1024):
             s = centroids[i : i + 1024] @ centroids.T
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
             near.append(np.argsort(-s, axis=1, kind="stable")[:, :degree])
-        self.near = np.concatenate(near).astype(np.int32) if n > 1 else np.zeros((1, 1), np.int32)
-        self.entry = np.sort(np.random.default_rng(seed).permutation(n)[: min(n, max(entries, int(n**0.5)))]).astype(np.int32)
+        self.near = np.concatenate(near).astype(np.int32)
+        self.entry = np.sort(np.random.default_rng(seed).permutation(n)[: max(entries // 8, int(n**0.5))]).astype(np.int32)
 
     def search(self, q: np.ndarray, k: int, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of about the k nearest centroids of each row of q, best first."""
@@ -81,6 +88,12 @@ class CentroidGraph:
     def _search(self, q: np.ndarray, k: int, beam: int = 48, steps: int = 14, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.c)
         k = min(k, n)
+        if self.whole:
+            s = q @ self.c.T
+            pick = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            sims = np.take_along_axis(s, pick, 1)
+            order = np.argsort(-sims, axis=1, kind="stable")
+            return np.take_along_axis(pick, order, 1).astype(np.int32), np.take_along_axis(sims, order, 1)
         s = q @ self.c[self.entry].T
         start = min(beam, len(self.entry))
         pick = np.argsort(-s, axis=1, kind="stable")[:, :start]
@@ -127,125 +140,203 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """One vector for each key: id, v. Null, other lengths, all zero and not finite ones take no part.
-
-    Of several vectors of a key the first by value stands.
-    """
+    """Rows that take part: id, v. Null, other lengths, all zero and not finite vectors and null keys do not."""
     ok = df.where(F.col(key).isNotNull() & (F.size(vector) == dim)).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    ok = ok.where((norm > 0) & (norm < float("inf")) & ~F.isnan(norm))
-    return ok.groupBy("id").agg(F.min("v").alias("v"))
+    return ok.where((norm > 0) & (norm < float("inf")) & ~F.isnan(norm))
 
 
-def _copies(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors that are equal value for value: (id, key of its vector) and (key, its k + 1 smallest ids with their place).
+def _copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, key of its vector), (key, its k + 1 smallest ids with their place), and whether some ids had several vectors.
 
-    Both stages are top-k by salt, so a vector that a third of all ids share is
-    no single task's work. The first frame is checkpointed; the second and all
-    that follows read it instead of the vectors.
+    Of several vectors of an id the first by value stands; only the vectors of
+    such ids are moved for that. Both stages of the smallest ids are top-k by
+    salt, so a vector that a third of all ids share is no single task's work.
     """
-    members = checkpointed(base.select("id", F.concat_ws(":", F.xxhash64("v"), F.hash("v")).alias("vk")))
-    first = Window.partitionBy("vk", "salt").orderBy("id")
+    vk = F.concat_ws(":", F.xxhash64("v"), F.hash("v"))
+    pairs = checkpointed(rows.select("id", vk.alias("vk")).distinct())
+    several = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    torn = not several.isEmpty()
+    members = pairs
+    if torn:
+        first = rows.join(several, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")).select("id", vk.alias("vk"))
+        members = checkpointed(pairs.join(several, "id", "left_anti").unionByName(first))
+    by_salt = Window.partitionBy("vk", "salt").orderBy("id")
     then = Window.partitionBy("vk").orderBy("id")
-    top = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    top = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(by_salt)).where(F.col("r") <= k + 1)
     top = top.withColumn("r", F.row_number().over(then)).where(F.col("r") <= k + 1).select("vk", "id", "r")
-    return members, checkpointed(top)
+    return members, checkpointed(top), torn
+
+
+_PLACED = "list long, mb int, qb int, searches boolean, stored boolean, vk string, raw binary"
 
 
-def nearest(df: DataFrame, key: str = "node_id", vector: str = "vector", dim: int = 384, k: int = 5, min_cos: float | None = None) -> DataFrame:
+def _assign(graph: CentroidGraph, blocks: np.ndarray, base: int, vk: np.ndarray, raw: np.ndarray, searches: np.ndarray, stored: np.ndarray) -> pa.RecordBatch:
+    """Rows (list, block of members, block of searchers, ...) of vectors: the lists that store and that they search.
+
+    A list of one block gets a vector once. In a list of m blocks a member goes
+    with its own block to every block of searchers, and so do searchers.
+    """
+    u = _unit(raw)
+    lists, sims = graph.search(u, max(SEARCH_LISTS, MEMBER_LISTS))
+    d = np.sqrt(np.maximum(2 - 2 * sims.astype(np.float64), 1e-12))
+    rank = np.arange(lists.shape[1])[None, :]
+    search = (d <= SEARCH_RATIO * d[:, :1] + 1e-9) & (rank < SEARCH_LISTS) & searches[:, None]
+    member = (d <= MEMBER_RATIO * d[:, :1] + 1e-9) & (rank < MEMBER_LISTS) & stored[:, None]
+    a, j = np.nonzero(search | member)
+    at, isq, ism = lists[a, j], search[a, j], member[a, j]
+    m = blocks[at].astype(np.int64)
+    own = np.array([hash_of(x) for x in vk], dtype=np.int64)[a] % m
+    one = np.nonzero(m == 1)[0]
+    cols = [[a[one], at[one], own[one], own[one], isq[one], ism[one]]]
+    for i in np.nonzero(m > 1)[0]:
+        t = np.arange(m[i])
+        mine = np.full(m[i], own[i])
+        if ism[i]:
+            cols.append([np.full(m[i], a[i]), np.full(m[i], at[i]), mine, t, isq[i] & (t == own[i]), np.ones(m[i], bool)])
+        if isq[i]:
+            t = t[t != own[i]] if ism[i] else t
+            cols.append([np.full(len(t), a[i]), np.full(len(t), at[i]), t, np.full(len(t), own[i]), np.ones(len(t), bool), np.zeros(len(t), bool)])
+    who, at, mb, qb, isq, ism = (np.concatenate(c) for c in zip(*cols, strict=True))
+    data = pa.array(np.ascontiguousarray(raw).view(f"V{raw.shape[1] * 4}").ravel().tolist(), pa.binary()).take(pa.array(who))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(at.astype(np.int64) + base), pa.array(mb.astype(np.int32)), pa.array(qb.astype(np.int32)), pa.array(isq), pa.array(ism), pa.array(vk[who], pa.string()), data],
+        names=["list", "mb", "qb", "searches", "stored", "vk", "raw"],
+    )
+
+
+def _fit(x: np.ndarray, n: float, list_size: int, block: int) -> tuple[CentroidGraph, np.ndarray, int]:
+    """A graph of centroids for n vectors of which x are a sample, and the blocks expected of each list."""
+    n_lists = int(max(1, min(round(n / list_size), len(x) // SAMPLE_PER_LIST)))
+    graph = CentroidGraph(balanced_centroids(x, n_lists))
+    near = graph.search(x, 1)[0][:, 0] if n_lists > 1 else np.zeros(len(x), np.int32)
+    expected = np.bincount(near, minlength=n_lists) * (n / len(x)) * MEMBER_LISTS
+    return graph, np.maximum(1, np.ceil(expected / block)).astype(np.int32), n_lists
+
+
+def _raws(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
+
+
+def _cut_long_lists(placed: DataFrame, dim: int, list_size: int, block: int, sample: int) -> DataFrame:
+    """Lists of more than ``block`` members are cut into lists of their own.
+
+    For each of them centroids are fitted on at most ``sample`` of its members,
+    in the cluster; its vectors, spread by salt, then find their lists among
+    those. Nothing but the numbers of the long lists comes to the driver.
+    """
+    placed = checkpointed(placed)
+    sizes = placed.groupBy("list").agg(F.count_if("stored").alias("n")).where(F.col("n") > block)
+    if sizes.isEmpty():
+        return placed
+    wide = 1 << 24
+    share = F.least(F.lit(1.0), F.lit(0.9 * sample) / F.col("n"))
+    drawn = placed.where("stored").join(sizes, "list").where(F.pmod(F.xxhash64("vk", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000).select("list", "n", "raw")
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = _unit(_raws(table.column("raw"), dim)[:sample])
+        graph, blocks, _ = _fit(x, table.column("n")[0].as_py(), list_size, block)
+        return pa.table({"list": pa.array([table.column("list")[0].as_py()] * len(graph.c), pa.int64()), "sub": pa.array(range(len(graph.c)), pa.int32()), "blocks": pa.array(blocks), "c": pa.array([c.tobytes() for c in graph.c], pa.binary())})
+
+    centroids = checkpointed(drawn.groupBy("list").applyInArrow(fit, "list long, sub int, blocks int, c binary"))
+    salts = F.ceil(F.col("n") / F.lit(4 * block)).cast("int")
+    many = sizes.select("list", salts.alias("salts"))
+    left = placed.join(many, "list").withColumn("salt", F.pmod(F.xxhash64("vk"), F.col("salts")).cast("int"))
+    right = centroids.join(many, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+    def place(rows: pa.Table, cents: pa.Table) -> pa.Table:
+        schema = pa.schema([("list", pa.int64()), ("mb", pa.int32()), ("qb", pa.int32()), ("searches", pa.bool_()), ("stored", pa.bool_()), ("vk", pa.string()), ("raw", pa.binary())])
+        if not rows.num_rows or not cents.num_rows:
+            return schema.empty_table()
+        cents = cents.sort_by("sub")
+        graph, blocks = CentroidGraph(_raws(cents.column("c"), dim)), cents.column("blocks").to_numpy()
+        vk = np.array(rows.column("vk").to_pylist(), dtype=object)
+        base = (rows.column("list")[0].as_py() + 1) * wide
+        out = _assign(graph, blocks, base, vk, _raws(rows.column("raw"), dim), rows.column("searches").to_numpy(zero_copy_only=False), rows.column("stored").to_numpy(zero_copy_only=False))
+        return pa.Table.from_batches([out], schema)
+
+    cut = left.select("list", "salt", "searches", "stored", "vk", "raw").groupBy("list", "salt").cogroup(right.select("list", "salt", "sub", "blocks", "c").groupBy("list", "salt")).applyInArrow(place, _PLACED)
+    return placed.join(many, "list", "left_anti").unionByName(cut)
+
+
+def nearest(
+    df: DataFrame, key: str = "node_id", vector: str = "vector", dim: int = 384, k: int = 5, min_cos: float | None = None,
+    list_size: int = LIST_SIZE, block: int = BLOCK, sample: int = SAMPLE,
+) -> DataFrame:
     """The k most similar other keys of every key by cosine: id, other, cos, place (1..k).
 
     Ties go to the smaller key. ``min_cos`` leaves out less similar ones as
     early as they are found. Equal vectors are searched once and all their
     keys get results; those with the k + 1 smallest keys can be results, which
-    is exact. A table with fewer than two usable vectors gives no rows.
+    is exact. A table with fewer than two usable vectors gives no rows. The
+    centroids of the first level, at most ``sample`` / SAMPLE_PER_LIST, are
+    broadcast; if the lists they give are longer than ``block``, a second level
+    is fitted and searched in the cluster.
     """
     spark = df.sparkSession
-    base = usable_vectors(df, key, vector, dim)
-    members, smallest = _copies(base, k)
-    reps_ids = smallest.where("r = 1").select("id", "vk")
-    reps = base.join(reps_ids, "id")
-    n = reps_ids.count()
+    rows = usable_vectors(df, key, vector, dim)
+    members, smallest, torn = _copies(rows, k)
+    n = smallest.where("r = 1").count()
     if n == 0:
         return spark.createDataFrame([], "id string, other string, cos double, place int")
-    share = min(1.0, 1.2 * SAMPLE / n)
-    sample = reps.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(SAMPLE) if share < 1 else reps.select("v")
-    x = _unit(_matrix(sample.toArrow().column("v"), dim))
-    n_lists = int(max(1, min(round(n / LIST_SIZE), len(x) // SAMPLE_PER_LIST)))
-    graph = CentroidGraph(balanced_centroids(x, n_lists))
-    ids, _ = graph.search(x, 1) if n_lists > 1 else (np.zeros((len(x), 1), np.int32), None)
-    expected = np.bincount(ids[:, 0], minlength=n_lists) * (n / len(x)) * 2.0
-    blocks = np.maximum(1, np.ceil(expected / BLOCK)).astype(np.int32)
-    shared = spark.sparkContext.broadcast((graph, blocks))  # bounded by SAMPLE / SAMPLE_PER_LIST centroids
+    # one row for each distinct vector: equal ones meet on the map side already
+    reps = rows.groupBy(F.concat_ws(":", F.xxhash64("v"), F.hash("v")).alias("vk")).agg(F.min("v").alias("v"))
+    if torn:
+        reps = reps.join(smallest.where("r = 1").select("vk"), "vk", "left_semi")
+    share = min(1.0, 1.2 * sample / n)
+    drawn = rows.where(F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(sample) if share < 1 else rows.select("v").limit(sample)
+    x = np.unique(_unit(_matrix(drawn.toArrow().column("v"), dim)), axis=0)
+    graph, blocks, n_lists = _fit(x, n, list_size, block)
+    deep = n / n_lists > 2 * list_size and n * MEMBER_LISTS / n_lists > block
+    if deep:
+        blocks = np.ones(n_lists, np.int32)
+    shared = spark.sparkContext.broadcast((graph, blocks))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, nb = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                raw = _matrix(batch.column("v"), dim)
-                if not len(raw):
-                    continue
-                u = _unit(raw)
-                lists, sims = g.search(u, SEARCH_LISTS)
-                d = np.sqrt(np.maximum(2 - 2 * sims.astype(np.float64), 1e-12))
-                search = d <= SEARCH_RATIO * d[:, :1] + 1e-9
-                member = (d <= MEMBER_RATIO * d[:, :1] + 1e-9) & (np.arange(lists.shape[1])[None, :] < MEMBER_LISTS)
-                r, j = np.nonzero(search | member)
-                hash_ = np.array([hash_of(s) for s in batch.column("vk").to_pylist()], dtype=np.int64)
-                rows, ls, mb, qb, isq, ism = [], [], [], [], [], []
-                for a, b in zip(r, j, strict=True):
-                    l = lists[a, b]
-                    m = int(nb[l])
-                    own = int(hash_[a] % m)
-                    for t in range(m):
-                        if member[a, b]:  # as a member: own block against every block of searchers
-                            rows.append(a), ls.append(l), mb.append(own), qb.append(t), ism.append(True), isq.append(bool(search[a, b]) and t == own)
-                        if search[a, b] and not (member[a, b] and t == own):
-                            rows.append(a), ls.append(l), mb.append(t), qb.append(own), ism.append(False), isq.append(True)
-                take = np.array(rows, dtype=np.int64)
-                bytes_ = [x.tobytes() for x in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ls, np.int32)), pa.array(np.array(mb, np.int32)), pa.array(np.array(qb, np.int32)), pa.array(isq, pa.bool_()), pa.array(ism, pa.bool_()),
-                     batch.column("vk").take(pa.array(take)).cast(pa.string()), pa.array([bytes_[a] for a in rows], pa.binary())],
-                    names=["list", "mb", "qb", "searches", "stored", "vk", "raw"],
-                )
-
-    placed = reps.select("vk", "v").mapInArrow(assign, "list int, mb int, qb int, searches boolean, stored boolean, vk string, raw binary")
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                vk = np.array(batch.column("vk").to_pylist(), dtype=object)
+                yes = np.ones(len(vk), bool)
+                if len(vk):
+                    yield _assign(g, nb, 0, vk, _matrix(batch.column("v"), dim), yes, yes)
+
+    placed = reps.select("vk", "v").mapInArrow(assign, _PLACED)
+    if deep:
+        placed = _cut_long_lists(placed, dim, list_size, block, sample)
 
     def join(table: pa.Table) -> pa.Table:
         keys = np.array(table.column("vk").to_pylist(), dtype=object)
-        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), dtype=np.float32).reshape(-1, dim)
+        number = np.unique(keys.astype(str), return_inverse=True)[1].astype(np.int32)
+        raw = _raws(table.column("raw"), dim)
         u = _unit(raw)
         q = np.nonzero(table.column("searches").to_numpy(zero_copy_only=False))[0]
         m = np.nonzero(table.column("stored").to_numpy(zero_copy_only=False))[0]
-        out_a, out_b = [], []
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         floor = -2.0 if min_cos is None else min_cos - 1e-5
         um = u[m]
         for at in range(0, len(q), 1024) if len(m) else ():
             qi = q[at : at + 1024]
             s = u[qi] @ um.T
-            s[keys[qi][:, None] == keys[m][None, :]] = -3
+            s[number[qi][:, None] == number[m][None, :]] = -3
             take = min(k + 1, s.shape[1])
-            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            ok = np.take_along_axis(s, top, 1) > floor
-            r, c = np.nonzero(ok)
+            top = np.argpartition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take :]
+            r, c = np.nonzero(np.take_along_axis(s, top, 1) > floor)
             out_a.append(qi[r])
             out_b.append(m[top[r, c]])
             take = min(k + 1, s.shape[0])  # the members' best among these searchers, too
-            top = np.argpartition(-s, take - 1, axis=0)[:take]
-            ok = np.take_along_axis(s, top, 0) > floor
-            r, c = np.nonzero(ok)
+            top = np.argpartition(s, s.shape[0] - take, axis=0)[s.shape[0] - take :]
+            r, c = np.nonzero(np.take_along_axis(s, top, 0) > floor)
             out_a.append(m[c])
             out_b.append(qi[top[r, c]])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        a, b = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
+        norm = np.sqrt(np.einsum("nd,nd->n", raw, raw, dtype=np.float64))
         cos = np.zeros(len(a))
-        for at in range(0, len(a), 8192):  # in double precision
-            x, y = raw[a[at : at + 8192]].astype(np.float64), raw[b[at : at + 8192]].astype(np.float64)
-            cos[at : at + 8192] = np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-        keep = cos >= (-2.0 if min_cos is None else min_cos)
-        keep &= keys[a] != keys[b]
+        for at in range(0, len(a), 2048):  # in double precision
+            i, j = a[at : at + 2048], b[at : at + 2048]
+            cos[at : at + 2048] = np.einsum("nd,nd->n", raw[i].astype(np.float64), raw[j].astype(np.float64)) / (norm[i] * norm[j])
+        keep = (cos >= (-2.0 if min_cos is None else min_cos)) & (number[a] != number[b])
         return pa.table({"a": pa.array(keys[a[keep]], pa.string()), "b": pa.array(keys[b[keep]], pa.string()), "cos": pa.array(cos[keep])})
 
     cand = placed.groupBy("list", "mb", "qb").applyInArrow(join, "a string, b string, cos double")
