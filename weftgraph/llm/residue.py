@@ -146,24 +146,34 @@ _INLINE = re.compile(r"``.+?``|`[^`\n]*`")
 _QUOTED = re.compile(r"\"[^\"\n]{2,160}\"|“[^”\n]{2,160}”|„[^“”\n]{2,160}[“”]|«[^»\n]{2,160}»|「[^」\n]{2,160}」|『[^』\n]{2,160}』|(?<!\w)'[^'\n]{2,160}'(?!\w)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", re.U)
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\s*\n\s*|\s{2,}| \| |(?<=\S) [-–—] (?=\S)|[;:] (?=\S)")
+_SENTENCE = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\s*|\s+|\|\s+|(?<=\S\s)[-–—]\s(?=\S))")
+_CJK_SENTENCE = re.compile(r"(?<=[。！？])\s*")
+_CLAUSE = re.compile(r"[;:] (?=\S)")
+#: Customary phrases that count as one word.
 _PHRASES = [
-    (re.compile(a, re.I), b)
-    for a, b in (
-        (r"(?<![\w/])/[\w.-]+(?:/[\w.-]*)*", " url "), (r"\bhttps?://\S+", " url "), (r"\btoo (?:long|slow)\b", "toolong"), (r"\btoo many\b", "toomany"), (r"\btim(?:ed|e|ing)[ -]?out\b", "timeout"), (r"\bno longer\b", "no_longer"), (r"\bnot found\b", "notfound"), (r"\bout of (?:service|order)\b", "unavailable"),
-        (r"\bunder (?:construction|maintenance)\b", "construction"), (r"\bdoes(?:n't| not) exist\b", "nonexistent"), (r"\bbranch view\b", "view"), (r"[’]", "'"), (r"\bclient-side\b", "client-side"), (r"\b(?:file|page) not found\b", "page notfound"),
-    )
+    (r"(?<![\w/])/[\w.-]+(?:/[\w.-]*)*|\bhttps?://\S+", " url "), (r"\btoo (?:long|slow)\b", "toolong"), (r"\btoo many\b", "toomany"), (r"\btim(?:ed|e|ing)[ -]?out\b", "timeout"), (r"\bno longer\b", "no_longer"),
+    (r"\b(?:(?:file|page) )?not found\b", "notfound"), (r"\bout of (?:service|order)\b", "unavailable"), (r"\bunder (?:construction|maintenance)\b", "construction"), (r"\bdoes(?:n't| not) exist\b", "nonexistent"), (r"\bbranch view\b", "view"), (r"’", "'"),
 ]
+_PHRASE = re.compile("|".join(f"(?P<p{i}>{a})" for i, (a, _) in enumerate(_PHRASES)))
 _CJK_OF = {w: k for k, ws in CJK.items() for w in ws}
 _TOKEN = re.compile("|".join(sorted(map(re.escape, _CJK_OF), key=len, reverse=True)) + r"|[぀-ヿ一-鿿]|[\ue000\ue001]|[^\W\d぀-ヿ一-鿿]+(?:['-][^\W\d]+)*|\d[\w.,]*", re.U)
 
 _THINGS, _FAILS, _NOTS, _DOES, _ERRORS, _ASKS, _SCRIPTS, _SWITCHES, _PLAIN, _TELLS = map(frozenset, (THINGS, FAILS, NOTS, DOES, ERRORS, ASKS, SCRIPTS, SWITCHES, PLAIN, TELLS))
 LEXICON = _THINGS | _FAILS | _NOTS | _DOES | _ERRORS | _ASKS | _SCRIPTS | _SWITCHES | _PLAIN | _TELLS | STORY | frozenset(_CJK_OF)
 _LOOSE = STORY - _PLAIN
-#: A sentence with none of these can be no notice, filler or form.
-CORE = _FAILS | _NOTS | _ERRORS | _SCRIPTS | FILLER_CORE | LOREM | frozenset("long many time timed out longer human captcha goes here todo tbd fixme tba wip xxx soon describe replace insert enter put type write fill add delete ausfüllen done human robot parked sale test testing".split())
+#: Words of which a sentence needs one to be a notice; negations count beside the second group.
+_SAYS = _FAILS | _ERRORS | _SCRIPTS | frozenset("long slow many timed human captcha robot".split())
+_OF_NOTS = _THINGS | _DOES | _SCRIPTS | frozenset("we you found exist longer".split())
+_FILLS = FILLER_CORE | LOREM
+#: How a form's line begins.
+_FORM_START = re.compile(r"(?:[\w *#-]{2,40}:\s+(?=[<(\[_]))?[\W_]*(?:(?<=[<(\[_])|(?<=\.{4})|(?i:to ?do|tbd|fixme|tba|wip|xxx|coming|to be|write|put|type|insert|enter|add|describe|explain|replace|fill)\b|(?i:your|the|some|text)\b(?=.{0,40}\bhere\b))")
+_STATUS = re.compile(r"\b[45]\d\d\b")
+#: Words of navigation and ids, beside which there may be a title in the same line.
+_NAVS = frozenset(NAV) | frozenset("incident ray httpd nginx skip main".split())
+_AROUND = _NAVS | frozenset("request ray incident reference trace error event ticket apache caddy iis openresty varnish edge proxy cache cdn back return go contact write tell if sign log c".split())
+_ASK_LINE = _ASKS | _PLAIN | _THINGS
+_COVERED = LEXICON | frozenset(NAV) | frozenset("request id ray incident ticket trace logged been reported httpd nginx edge node explore topics skip main keeps happening write sign register menu branch".split())
 _CJK_CORE = re.compile("|".join(sorted(map(re.escape, CJK["fail"] + CJK["switch"] + CJK["script"]), key=len, reverse=True)))
-_FORM_SIGN = re.compile(r"[<\[(_]|\.{4}|!--")
 _SPACED = str.maketrans({c: " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~–—•·“”„«»…。！？、，；："})
 
 
@@ -192,9 +202,8 @@ def is_filler(words: list[str]) -> bool:
 
 def masked(sentence: str) -> list[str]:
     """Tokens of a sentence, lower case: statuses and other numbers masked, customary phrases as one word."""
-    for rx, to in _PHRASES:
-        sentence = rx.sub(to, sentence)
-    return [("<status>" if re.fullmatch(r"[45]\d\d\W*", t) else "<n>") if t[0].isdigit() else {"\ue000": "<code>", "\ue001": "<quoted>"}.get(t, t) for t in _TOKEN.findall(sentence.lower())]
+    sentence = _PHRASE.sub(lambda m: _PHRASES[int(m.lastgroup[1:])][1], sentence.lower())
+    return [("<status>" if re.fullmatch(r"[45]\d\d\W*", t) else "<n>") if t[0].isdigit() else {"\ue000": "<code>", "\ue001": "<quoted>"}.get(t, t) for t in _TOKEN.findall(sentence)]
 
 
 def notice(tokens: list[str]) -> str:
@@ -265,7 +274,7 @@ def classify(tokens: list[str], sentence: str) -> tuple[str, int, int]:
 
 def slot_lines(line: str) -> bool:
     """Whether an unresolved template field stands in a line: not in inline code or quotes, not in a line of code, and not in one that speaks of slots."""
-    if not _SLOT_SIGN.search(line):
+    if not any(map(line.__contains__, _SLOT_CHARS)) or not _SLOT_SIGN.search(line):
         return False
     plain = _QUOTED.sub(lambda m: m[0] if m[0][0] == "«" else " ", _INLINE.sub(" ", line))
     rest, n = SLOTS.subn(" ", plain)
@@ -274,22 +283,56 @@ def slot_lines(line: str) -> bool:
 
 #: Subjects of commits are content; only slots are looked for in them.
 _COMMIT = re.compile(r"(?:feat|fix|docs|chore|perf|refactor|tests?|build|ci|style|revert)(?:\([^)]*\))?!?: ")
-_SLOT_SIGN = re.compile(r"[{<$%@_«\[]|REPLACE|CHANGE|FILL", re.I)
+_SLOT_CHARS = ("{", "<", "%", "$", "@", "__", "[", "«", "ME", "THIS")
+_SLOT_SIGN = re.compile(r"\{[{%]|<%|[$#]\{|%%|@@|\$\w+\$|__\w|«|\[(?:your|insert|enter|add|fill|replace|put)|here[\]>]|<(?:your|insert|enter|add|replace)|(?:replace|change|fill)_?(?:me|this)|\{(?:your|insert)", re.I)
+
+
+_QUOTE_SIGNS = ('"', " '", "“", "„", "«", "「", "『")
+
+
+def unquoted(line: str) -> str:
+    """A line without markup; quotations and inline code are masked."""
+    if "<" in line:
+        line = _TAGS.sub("\n", line)
+    if "`" in line:
+        line = _INLINE.sub("\ue000", line)
+    return _QUOTED.sub("\ue001", line) if any(map(line.__contains__, _QUOTE_SIGNS)) or line[:1] == "'" else line
+
 
+def sentences(line: str) -> Iterator[tuple[str, int, bool]]:
+    """Sentences of a line, their words, and whether they can be notices or of a form; without navigation and ids.
 
-def sentences(line: str) -> list[str]:
-    """Sentences of a line without markup, navigation and ids; quotations and inline code are masked."""
-    line = _TAGS.sub("\n", line)
-    line = CHROME.sub("\n", _QUOTED.sub("\ue001", _INLINE.sub("\ue000", line)))
-    out = []
-    for part in _SENTENCE.split(line):
-        part = part.strip()
-        if "  " not in part and n_words(part) > 1:  # a page flattened into a line: navigation before and behind
-            while (cut := _NAV_AT_END.sub("", part).strip()) != part:
-                part = cut
-        if part:
-            out.append(part)
-    return out
+    What has none of the words that say that something is wrong can be none, nor
+    what the lexicon does not cover nearly throughout; navigation beside a title
+    in the same line leaves more room.
+    """
+    cjk_line = not line.isascii() and bool(_CJK.search(line))
+    for part in (x for y in _SENTENCE.split(line) for x in _CJK_SENTENCE.split(y)) if cjk_line else _SENTENCE.split(line):
+        words = part.lower().translate(_SPACED).split()
+        kinds = set(words)
+        form = _FORM_START.match(part)
+        if not form:
+            if cjk := cjk_line and bool(_CJK.search(part)):
+                able = bool(_CJK_CORE.search(part)) or not kinds.isdisjoint(_SCRIPTS)
+            else:
+                able = not kinds.isdisjoint(_SAYS) or not kinds.isdisjoint(_NOTS) and not kinds.isdisjoint(_OF_NOTS) or len(words) <= 3 and bool(_STATUS.search(part))
+                if able and (loose := len(words) - sum(map(_COVERED.__contains__, words))) > 0.2 * len(words) + 2:
+                    # numbers, ids and paths are no words
+                    loose -= len(words) - sum(map(str.isalpha, words)) + 4 * part.count("/")
+                    able = loose <= 0.2 * len(words) + (2 if kinds.isdisjoint(_NAVS) else 8)
+            if not able:
+                if not kinds.isdisjoint(_AROUND) and len(part) <= 80:
+                    part = CHROME.sub(" ", part)
+                    words = part.lower().translate(_SPACED).split()
+                if words and (len(words) > 10 or kinds.isdisjoint(_ASKS) or not _ASK_LINE.issuperset(words)):
+                    yield part, n_words(part) if cjk else len(words), False
+                continue
+        for p in (c for q in (CHROME.split(part) if form or not kinds.isdisjoint(_AROUND) else (part,)) if q for c in _CLAUSE.split(q)):
+            p = p.strip(" |·•\t")
+            while p and " " in p and (cut := _NAV_AT_END.sub("", p).strip()) != p:
+                p = cut
+            if p:
+                yield p, 0, True
 
 
 def prose_lines(text: str) -> list[str]:
@@ -317,12 +360,37 @@ def prose_lines(text: str) -> list[str]:
     return [line for _, line in (flush if prose else sorted(flush + indented))]
 
 
-def candidate(low: str) -> bool:
-    """Whether a line, in lower case, can hold a notice, a form, filler or a slot at all."""
-    if not low.isascii() and _CJK.search(low):
-        return bool(_CJK_CORE.search(low)) or any(w in low for w in _SCRIPTS)
-    words = set(low.translate(_SPACED).split())
-    return not words.isdisjoint(CORE) or words.isdisjoint(FUNCTION) or any(len(w) == 3 and w[0] in "45" and w.isdigit() for w in words)
+def parts_of(text: str) -> tuple[dict[tuple, int], int]:
+    """What of a text can be residue, with the times it stands there, and the number of its other words."""
+    plain, found = 0, {}
+
+    def note(*key) -> None:
+        found[key] = found.get(key, 0) + 1
+
+    for line in prose_lines(text):
+        if slot := slot_lines(line):
+            note("", "", "slot", 0)
+        if _COMMIT.match(line):
+            plain += 0 if slot else len(line.split())
+            continue
+        words = line.lower().split()
+        kinds = set(words)
+        bare = unquoted(line)
+        function = not kinds.isdisjoint(FUNCTION)
+        if not function or len(kinds) <= len(words) // 3 or not kinds.isdisjoint(_FILLS):
+            plain_words = _WORD.findall(bare)
+            if is_filler(plain_words):
+                low = {w.lower() for w in plain_words}
+                note("", " ".join(sorted(low)) if not low.isdisjoint(LOREM) else "", "filler", len(plain_words))
+                continue
+            if len(plain_words) >= 4 and not function and line.isascii():
+                note("", " ".join(w.lower() for w in plain_words), "bare", len(plain_words))
+        for s, n, able in sentences(bare):
+            if able:
+                note(tree_path(masked(s)), s, "sentence", 0)
+            elif not (n <= 4 and LABEL.fullmatch(s)):
+                plain += n
+    return found, plain
 
 
 def document_parts(docs: DataFrame) -> DataFrame:
@@ -339,33 +407,7 @@ def document_parts(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                plain, found = 0, {}
-                for line in prose_lines(text or ""):
-                    slot = slot_lines(line)
-                    if slot:
-                        found["", "", "slot", 0] = 1
-                    low = line.lower()
-                    if not slot and not candidate(low) and not _FORM_SIGN.match(line):
-                        plain += (len(low.split()) if low.isascii() else n_words(low)) if len(low) > 80 else n_words(CHROME.sub(" ", line))
-                        continue
-                    if _COMMIT.match(line) and not slot:
-                        plain += n_words(line)
-                        continue
-                    text_line = _QUOTED.sub(" ", _INLINE.sub(" ", _TAGS.sub(" ", line)))
-                    words = _WORD.findall(text_line)
-                    if is_filler(words):
-                        key = ("", " ".join(sorted({w.lower() for w in words} if any(w.lower() in LOREM for w in words) else ())), "filler", len(words))
-                        found[key] = found.get(key, 0) + 1
-                        continue
-                    if len(words) >= 4 and text_line.isascii() and FUNCTION.isdisjoint(w.lower() for w in words):
-                        key = ("", " ".join(w.lower() for w in words), "bare", len(words))
-                        found[key] = found.get(key, 0) + 1
-                    for s in sentences(line):
-                        if candidate(s.lower()) or _FORM_SIGN.search(s) or LABEL.fullmatch(s):
-                            key = (tree_path(masked(s)), s, "sentence", 0)
-                            found[key] = found.get(key, 0) + 1
-                        else:
-                            plain += n_words(s)
+                found, plain = parts_of(text or "")
                 if found:
                     rows += [(doc, *k, n) for k, n in found.items()]
                     rows.append((doc, "", "", "plain", plain, 1))
@@ -388,7 +430,8 @@ def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     A sentence joins the template with which it shares every fixed word in its
     place; words outside the lexicon become variable. No two sentences of a
     template can differ in the verdict, which reads fixed words only, so a
-    template is classified when it is founded, wherever its leaf is mined.
+    template is classified when it is founded, wherever its leaf is mined. Lines
+    that begin like a form's are judged each, as signs are no words.
     """
     known: dict[tuple, tuple] = {}
     leaf = None
@@ -399,8 +442,7 @@ def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 leaf, known = path, {}
             tokens = masked(sentence)
             template = tuple(t if t in LEXICON or t[0] == "<" else "<*>" for t in tokens)
-            signs = bool(_FORM_SIGN.search(sentence)) or not CORE.isdisjoint(tokens)
-            key = (template, sentence if signs and len(tokens) <= 12 and _FORMISH.search(sentence) else LABEL.fullmatch(sentence) is not None)
+            key = (template, sentence if _FORM_START.match(sentence) else LABEL.fullmatch(sentence) is not None)
             verdict = known.get(key)
             if verdict is None:
                 verdict = known[key] = classify(list(template), sentence)
@@ -410,10 +452,6 @@ def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["part", "template", "verdict", "bad", "other"])
 
 
-#: A sentence that a form's sign or verb may begin: it is judged by itself, as the signs are no words.
-_FORMISH = re.compile(r"[<\[(_]|\.{4}|(?i:\b(?:to ?do|tbd|fixme|tba|wip|xxx|goes here|coming soon|to be|describe|explain|insert|add|write|replace|fill|put|type|enter)\b)")
-
-
 def judged_sentences(parts: DataFrame) -> DataFrame:
     """part, template, verdict, bad, other: each distinct sentence, mined in its leaf of the tree.
 
