@@ -2928,23 +2928,58 @@ REMEMBER = 200_000
 _memory: dict[tuple, list | None] = {}
 
 
+def _parsed(lang: str, mode: str, piece: list, last: bool) -> list[tuple[int, str]]:
+    parser = _GRAMMAR[lang][0](piece, mode)
+    parser.run()
+    if not parser.end():
+        raise Bad(f"unexpected {parser.c!r}")
+    if lang == "rust" and mode == "stmts" and not last and parser.t[parser.n - 1] not in (";", "{"):
+        raise Bad("; expected")
+    return parser.owes
+
+
+def _parsed_or_none(*args) -> list[tuple[int, str]] | None:
+    try:
+        return _parsed(*args)
+    except Bad:
+        return None
+
+
+def _deep(f, n_tokens: int, *args):
+    """Runs a parser on a piece that nests deeper than the usual limit of calls: each token can cost some tens of them.
+
+    Calls between Python functions take no room on the C stack, and the thread
+    that runs this has a large one for what else is called.
+    """
+    import sys
+    import threading
+
+    before, out = sys.getrecursionlimit(), []
+    old = threading.stack_size(256 << 20)
+    sys.setrecursionlimit(before + 60 * n_tokens + 1000)
+    try:
+        t = threading.Thread(target=lambda: out.append(f(*args)))
+        t.start()
+        t.join()
+    finally:
+        sys.setrecursionlimit(before)
+        threading.stack_size(old)
+    if not out:
+        raise RecursionError("nested too deep to be parsed")
+    return out[0]
+
+
 def _parse_piece(lang: str, mode: str, piece: list, last: bool) -> list[tuple[Group, str]]:
     """Parses one piece, or looks up its shape; the groups in it and their modes."""
     shape = (lang, mode, last, " ".join(["{}" if isinstance(x, Group) else x for x in piece]))
     owes = _memory.get(shape, 0)
     if owes == 0:
-        parser = _GRAMMAR[lang][0](piece, mode)
         try:
-            parser.run()
-            if not parser.end():
-                raise Bad(f"unexpected {parser.c!r}")
-            if lang == "rust" and mode == "stmts" and not last and parser.t[parser.n - 1] not in (";", "{"):
-                raise Bad("; expected")
-            owes = parser.owes
+            owes = _parsed(lang, mode, piece, last)
         except Bad:
             owes = None
         except RecursionError:
-            owes = parser.owes
+            owes = _deep(_parsed_or_none, len(piece), lang, mode, piece, last)
         if len(_memory) >= REMEMBER:
             _memory.clear()
         _memory[shape] = owes
@@ -2979,7 +3014,24 @@ def parse_python(text: str) -> None:
         except (SyntaxError, ValueError) as e:
             raise Bad(str(e)) from None
         except (RecursionError, MemoryError):
-            return
+            _parse_deep_python(text)
+
+
+def _parse_deep_python(text: str) -> None:
+    """A file that the interpreter's compiler cannot hold: its parser alone decides, or where that gives up too, its tokenizer."""
+    import io
+    import tokenize as tk
+
+    try:
+        ast.parse(text.lstrip("\ufeff"))
+    except (SyntaxError, ValueError) as e:
+        raise Bad(str(e)) from None
+    except (RecursionError, MemoryError):
+        try:
+            for _ in tk.generate_tokens(io.StringIO(text.lstrip("\ufeff")).readline):
+                pass
+        except (tk.TokenError, SyntaxError) as e:
+            raise Bad(str(e)) from None
 
 
 def valid(text: str | None, lang: str | None) -> bool:
@@ -2993,6 +3045,4 @@ def valid(text: str | None, lang: str | None) -> bool:
             parse(tokenize(text, lang), lang)
     except Bad:
         return False
-    except RecursionError:
-        return True
     return True

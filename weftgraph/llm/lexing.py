@@ -27,14 +27,18 @@ class Bad(Exception):
 
 
 CODE = "code"
-#: States in which a line can begin, by language. Rust comments nest, so a depth follows the name.
+#: The state of a chunk that begins in a state of which the map before has no entry.
+UNKNOWN = "?"
+#: States in which a line can begin, by language. Rust comments nest, so a depth follows the name. In ECMAScript "`" is the text of a
+#: template and "`{n" the code of an expression in it with n braces open since; they nest. States nested deeper than these are not mapped.
 STATES = {
     "python": [CODE, '"""', "'''"],
-    "js": [CODE, "/*", "`"], "ts": [CODE, "/*", "`"], "tsx": [CODE, "/*", "`"],
+    "js": [CODE, "/*", "`", "`{0", "`{1", "`{0`"],
     "go": [CODE, "/*", "`"],
     "rust": [CODE, "/*1", "/*2", '"', 'r"', 'r#"', 'r##"'],
     "java": [CODE, "/*", '"""'],
 }
+STATES["ts"] = STATES["tsx"] = STATES["js"]
 
 _PAIR = {")": "(", "]": "[", "}": "{"}
 _SCAN = {
@@ -76,25 +80,64 @@ def _skip(text: str, at: int, state: str) -> tuple[int, str]:
     return (len(text), state) if end < 0 else (end + len(mark), CODE)
 
 
+def _context(state: str) -> tuple[list[str], bool]:
+    """Brackets open around a place in templates, and whether the place is in a template's text."""
+    stack: list[str] = []
+    for level in state.split("`")[1:]:
+        if level:
+            stack += ["$", *["{"] * int(level[1:])]
+    return stack, state.endswith("`")
+
+
+def _named(stack: list[str], text: bool) -> str:
+    depths: list[int] = []
+    for t in stack:
+        if t == "$":
+            depths.append(0)
+        elif t == "{" and depths:
+            depths[-1] += 1
+    return "".join(f"`{{{d}" for d in depths) + ("`" if text else "") or CODE
+
+
+_TEXT_END = re.compile(r"\\.|`|\$\{", re.S)
+
+
 def chunk_map(text: str, lang: str, start: str) -> tuple[str, str, str, bool]:
     """(end state, unmatched closers, unmatched openers, valid) of a chunk that begins in ``start``."""
-    scan, raw_template = _SCAN[lang], lang == "go"
-    at, state = (0, CODE) if start == CODE else _skip(text, 0, start)
+    scan, script = _SCAN[lang], lang in ("js", "ts", "tsx")
+    around, in_text = _context(start) if start[0] == "`" and script else ([], False)
+    at, state = (0, CODE) if start == CODE or around or in_text else _skip(text, 0, start)
     closers: list[str] = []
     openers: list[str] = []
     if state != CODE:
         return state, "", "", True
-    while m := scan.search(text, at):
+    while True:
+        if in_text:
+            while (e := _TEXT_END.search(text, at)) and e[0][0] == "\\":
+                at = e.end()
+            if not e:
+                return _named(around + openers, True), "".join(closers), "".join(openers), True
+            at, in_text = e.end(), False
+            if e[0] == "${":
+                openers.append("$")
+        m = scan.search(text, at)
+        if not m:
+            break
         t = m[0]
         at = m.end()
         if t in ("(", "[", "{"):
             openers.append(t)
         elif t in _PAIR:
             if openers:
-                if openers.pop() != _PAIR[t]:
+                top = openers.pop()
+                if top == "$" and t == "}":
+                    in_text = True
+                elif top != _PAIR[t]:
                     return CODE, "", "", False
             else:
                 closers.append(t)
+                if t == "}" and around:
+                    in_text = around.pop() == "$"
         elif t.startswith("//") or t.startswith("#"):
             continue
         elif t == "/*":
@@ -111,7 +154,10 @@ def chunk_map(text: str, lang: str, start: str) -> tuple[str, str, str, bool]:
             if len(q) == 3:
                 at, state = _skip(text, at, q)
             elif q == "`":
-                at, state = _skip(text, at, "`") if raw_template else _template(text, at)
+                if script:
+                    in_text = True
+                else:
+                    at, state = _skip(text, at, "`")
             elif lang == "rust":
                 at, state = _skip(text, at, '"')
             else:
@@ -120,8 +166,9 @@ def chunk_map(text: str, lang: str, start: str) -> tuple[str, str, str, bool]:
                     return CODE, "", "", False
                 at = s.end()
         if state != CODE:
-            return state, "".join(closers), "".join(openers), True
-    return CODE, "".join(closers), "".join(openers), True
+            inside = _named(around + openers, False) if script else CODE
+            return (state if inside == CODE else inside + state), "".join(closers), "".join(openers), True
+    return (_named(around + openers, False) if script else CODE), "".join(closers), "".join(openers), True
 
 
 def _template(text: str, at: int) -> tuple[int, str]:
@@ -155,18 +202,25 @@ def _template(text: str, at: int) -> tuple[int, str]:
 
 
 def compose(left: dict[str, tuple], right: dict[str, tuple]) -> dict[str, tuple]:
-    """The map of two adjoining pieces. Associative."""
+    """The map of two adjoining pieces. Associative. A state that the right one does not map leads to UNKNOWN."""
     out = {}
     for start, (mid, closers, openers, ok) in left.items():
-        end, c2, o2, ok2 = right.get(mid, (CODE, "", "", False))
-        if not (ok and ok2):
+        if not ok:
             out[start] = (CODE, "", "", False)
             continue
+        if mid not in right:
+            out[start] = (UNKNOWN, "", "", True)
+            continue
+        end, c2, o2, ok2 = right[mid]
+        if not ok2 or end == UNKNOWN:
+            out[start] = (end, "", "", ok2)
+            continue
         stack = list(openers)
         valid, extra = True, []
         for c in c2:
             if stack:
-                if stack.pop() != _PAIR[c]:
+                top = stack.pop()
+                if top != _PAIR[c] and not (top == "$" and c == "}"):
                     valid = False
                     break
             else:
@@ -175,10 +229,10 @@ def compose(left: dict[str, tuple], right: dict[str, tuple]) -> dict[str, tuple]
     return out
 
 
-def balanced(m: tuple) -> bool:
-    """Whether a whole file's map, begun in code, ends in code with no bracket open."""
+def balanced(m: tuple) -> bool | None:
+    """Whether a whole file's map, begun in code, ends in code with no bracket open; None if the map does not tell."""
     end, closers, openers, ok = m
-    return ok and end == CODE and not closers and not openers
+    return None if ok and end == UNKNOWN else ok and end == CODE and not closers and not openers
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------------

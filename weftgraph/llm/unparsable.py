@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from weftgraph.llm import grammars, lexing
 from weftgraph.llm.provenance import current_files
 
-#: Characters of a chunk. Only longer files are cut and spread over tasks.
-CHUNK = 65_536
-#: Maps that one task composes in one round of the reduction.
+#: Characters of a chunk.
+CHUNK = 2_048
+#: Neighbouring maps that are composed in one step of the reduction.
 FAN_IN = 16
+#: Languages whose maps are exact: what they find unbalanced is invalid. Markup and nested formats can mislead the maps of the others.
+EXACT = frozenset(["go", "rust", "java"])
 
 
 def cut(text: str, size: int = CHUNK) -> list[str]:
@@ -46,91 +48,92 @@ def _unpack(s: str) -> dict[str, tuple]:
     return {k: tuple(v) for k, v in json.loads(s).items()}
 
 
-def _compose_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("chunk_no")
-    maps = [_unpack(s) for s in pdf["map"]]
-    out = maps[0]
-    for m in maps[1:]:
-        out = lexing.compose(out, m)
-    return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "chunk_no": [pdf["chunk_no"].iloc[0] // FAN_IN], "map": [_pack(out)]})
+def _composed(keys: list, numbers: list, maps: list[dict], fan_in: int) -> list[tuple]:
+    """(key, number, map) of runs of neighbours: in order of key and number, those of one key and number // fan_in together."""
+    out: list[tuple] = []
+    for key, no, m in sorted(zip(keys, numbers, maps, strict=True), key=lambda x: x[:2]):
+        if out and out[-1][:2] == (key, no // fan_in):
+            out[-1] = (key, no // fan_in, lexing.compose(out[-1][2], m))
+        else:
+            out.append((key, no // fan_in, m))
+    return out
 
 
 _MAPS = "file_id bigint, chunk_no bigint, map string"
 
 
-def large_file_balance(files: DataFrame) -> DataFrame:
-    """file_id, balanced for files of several chunks: maps by chunk, composed round by round.
+def balances(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """file_id, balanced of every file (file_id, lang, source_text): its chunks' maps, composed associatively.
 
-    Chunks are spread over all tasks; each round composes up to ``FAN_IN``
-    neighbours, so a file of any length is no single task's work.
+    Chunks go to tasks in runs of ``FAN_IN`` neighbours, so a file of any
+    length is no single task's work; each round composes up to ``FAN_IN``
+    neighbours again, until one map is left of each file. balanced is null
+    where templates or comments nest deeper than the maps tell.
     """
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for fid, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["source_text"], strict=True):
-                parts = cut(_normal(text))
-                yield pd.DataFrame({"file_id": [fid] * len(parts), "lang": [lang] * len(parts), "chunk_no": range(len(parts)), "chunk": parts})
+            rows = [(fid, lang, no, part) for fid, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["source_text"], strict=True) for no, part in enumerate(cut(_normal(text), chunk))]
+            yield pd.DataFrame(rows, columns=["file_id", "lang", "chunk_no", "chunk"])
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [_pack(chunk_maps(c, lang, no == 0)) for c, lang, no in zip(pdf["chunk"], pdf["lang"], pdf["chunk_no"], strict=True)]
-            yield pd.DataFrame({"file_id": pdf["file_id"], "chunk_no": pdf["chunk_no"], "map": made})
-
-    spread = files.mapInPandas(chunks, "file_id bigint, lang string, chunk_no bigint, chunk string").repartition("file_id", "chunk_no")
-    m = spread.mapInPandas(maps, _MAPS)
+            made = [chunk_maps(c, lang, no == 0) for c, lang, no in zip(pdf["chunk"], pdf["lang"], pdf["chunk_no"], strict=True)]
+            runs = _composed(pdf["file_id"].tolist(), pdf["chunk_no"].tolist(), made, FAN_IN)
+            yield pd.DataFrame([(k, no, _pack(m)) for k, no, m in runs], columns=["file_id", "chunk_no", "map"])
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Runs that a batch's end had cut lie side by side again."""
+        out = None
+        for m in map(_unpack, pdf.sort_values(["chunk_no", "part"])["map"]):
+            out = m if out is None else lexing.compose(out, m)
+        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "chunk_no": [int(pdf["chunk_no"].iloc[0]) // FAN_IN], "map": [_pack(out)]})
+
+    spread = files.mapInPandas(chunks, "file_id bigint, lang string, chunk_no bigint, chunk string").repartition("file_id", F.expr(f"chunk_no div {FAN_IN}"))
+    m = spread.sortWithinPartitions("file_id", "chunk_no").mapInPandas(maps, _MAPS)
     longest = files.agg(F.max(F.length("source_text"))).first()[0] or 0
-    rounds, width = 0, max(1, longest // CHUNK + 2)
-    while FAN_IN**rounds < width:
-        rounds += 1
-    for _ in range(rounds):
-        m = m.groupBy("file_id", F.expr(f"chunk_no div {FAN_IN}").alias("part")).applyInPandas(_compose_group, _MAPS)
+    runs = longest // chunk // FAN_IN + 2  # a chunk ends at a line's end, so there are at most so many
+    while True:
+        m = m.withColumn("part", F.monotonically_increasing_id()).groupBy("file_id", F.expr(f"chunk_no div {FAN_IN}").alias("run")).applyInPandas(again, _MAPS)
+        runs = -(-runs // FAN_IN)
+        if runs <= 1:
+            break
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [lexing.balanced(_unpack(s)[lexing.CODE]) for s in pdf["map"]]
-            yield pd.DataFrame({"file_id": pdf["file_id"], "balanced": ok})
+            yield pd.DataFrame({"file_id": pdf["file_id"], "balanced": pd.array(ok, dtype="boolean")})
 
     return m.mapInPandas(judge, "file_id bigint, balanced boolean")
 
 
-def unparsable_files(files: DataFrame) -> DataFrame:
+def unparsable_files(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Files whose text is not valid syntax: file_id and reason ('brackets' or 'statement').
 
-    Lexer maps settle first which files end in code with every bracket closed.
-    Those are parsed statement by statement with the local grammars. A file
-    that does not balance is flagged once the exact grammar has rejected it
-    too. Null, blank and comment-only texts are valid; files of unknown
-    extension are not judged; of files delivered twice the last stands.
+    The composed lexer maps settle which files end in code with every bracket
+    closed. In Go, Rust and Java a file that does not is flagged by that alone;
+    in the other languages once the grammar has rejected it too. Files that
+    balance are parsed statement by statement with the local grammars; each
+    distinct shape of a statement is parsed once in a worker. Null, blank and
+    comment-only texts are valid; files of unknown extension are not judged; of
+    files delivered twice the last stands. The size of a chunk does not change
+    the result.
     """
     cur = current_files(files.select("file_id", "file", "source_text", "parsed_at"))
     ext = F.lower(F.regexp_extract("file", r"\.([A-Za-z]+)$", 1))
     known = F.create_map([x for k, v in lexing.LANGUAGE.items() for x in (F.lit(k), F.lit(v))])
     src = cur.select("file_id", known[ext].alias("lang"), "source_text").where("lang is not null and trim(source_text) <> ''")
-    small = src.where(F.length("source_text") <= CHUNK)
-    large = src.where(F.length("source_text") > CHUNK)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for fid, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["source_text"], strict=True):
-                text = _normal(text)
-                balanced = lexing.balanced(chunk_maps(text, lang, True)[lexing.CODE])
-                if not grammars.valid(text, lang):
-                    rows.append((fid, "statement" if balanced else "brackets"))
-            yield pd.DataFrame(rows, columns=["file_id", "reason"])
-
-    def run_large(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (fid, "statement" if balanced else "brackets")
-                for fid, lang, text, balanced in zip(pdf["file_id"], pdf["lang"], pdf["source_text"], pdf["balanced"], strict=True)
-                if not grammars.valid(_normal(text), lang)
-            ]
+            for fid, lang, text, ok in zip(pdf["file_id"], pdf["lang"], pdf["source_text"], pdf["balanced"], strict=True):
+                bad = ok is not None and not pd.isna(ok) and not ok
+                if bad and lang in EXACT or not grammars.valid(_normal(text), lang):
+                    rows.append((fid, "brackets" if bad else "statement"))
             yield pd.DataFrame(rows, columns=["file_id", "reason"])
 
-    out = small.mapInPandas(run, "file_id bigint, reason string")
-    joined = large.join(large_file_balance(large), "file_id").select("file_id", "lang", "source_text", "balanced")
-    return out.unionByName(joined.mapInPandas(run_large, "file_id bigint, reason string"))
+    return src.join(balances(src, chunk), "file_id").select("file_id", "lang", "source_text", "balanced").mapInPandas(run, "file_id bigint, reason string")
 
 
 def unparsable_rates(files: DataFrame) -> DataFrame:
