@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -48,15 +49,23 @@ def _unpack(s: str) -> dict[str, tuple]:
     return {k: tuple(v) for k, v in json.loads(s).items()}
 
 
-def _composed(keys: list, numbers: list, maps: list[dict], fan_in: int) -> list[tuple]:
-    """(key, number, map) of runs of neighbours: in order of key and number, those of one key and number // fan_in together."""
-    out: list[tuple] = []
-    for key, no, m in sorted(zip(keys, numbers, maps, strict=True), key=lambda x: x[:2]):
-        if out and out[-1][:2] == (key, no // fan_in):
-            out[-1] = (key, no // fan_in, lexing.compose(out[-1][2], m))
-        else:
-            out.append((key, no // fan_in, m))
-    return out
+def _runs(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(key, number, map) in order of key and number: neighbours of one key and number // FAN_IN are composed."""
+    key, run, out = None, -1, None
+    for k, no, m in rows:
+        if (k, no // FAN_IN) == (key, run):
+            out = lexing.compose(out, m)
+            continue
+        if out is not None:
+            yield key, run, out
+        key, run, out = k, no // FAN_IN, m
+    if out is not None:
+        yield key, run, out
+
+
+def _frames(rows: Iterator[tuple], size: int = 4_096) -> Iterator[pd.DataFrame]:
+    while block := list(itertools.islice(rows, size)):
+        yield pd.DataFrame([(k, no, _pack(m)) for k, no, m in block], columns=["file_id", "chunk_no", "map"])
 
 
 _MAPS = "file_id bigint, chunk_no bigint, map string"
@@ -77,27 +86,19 @@ def balances(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "lang", "chunk_no", "chunk"])
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [chunk_maps(c, lang, no == 0) for c, lang, no in zip(pdf["chunk"], pdf["lang"], pdf["chunk_no"], strict=True)]
-            runs = _composed(pdf["file_id"].tolist(), pdf["chunk_no"].tolist(), made, FAN_IN)
-            yield pd.DataFrame([(k, no, _pack(m)) for k, no, m in runs], columns=["file_id", "chunk_no", "map"])
-
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Runs that a batch's end had cut lie side by side again."""
-        out = None
-        for m in map(_unpack, pdf.sort_values(["chunk_no", "part"])["map"]):
-            out = m if out is None else lexing.compose(out, m)
-        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "chunk_no": [int(pdf["chunk_no"].iloc[0]) // FAN_IN], "map": [_pack(out)]})
-
-    spread = files.mapInPandas(chunks, "file_id bigint, lang string, chunk_no bigint, chunk string").repartition("file_id", F.expr(f"chunk_no div {FAN_IN}"))
+        yield from _frames(_runs((k, no, chunk_maps(c, lang, no == 0)) for pdf in batches for k, no, lang, c in zip(pdf["file_id"], pdf["chunk_no"], pdf["lang"], pdf["chunk"], strict=True)))
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(_runs((k, no, _unpack(m)) for pdf in batches for k, no, m in zip(pdf["file_id"], pdf["chunk_no"], pdf["map"], strict=True)))
+
+    run = F.expr(f"chunk_no div {FAN_IN}")
+    spread = files.mapInPandas(chunks, "file_id bigint, lang string, chunk_no bigint, chunk string").repartition("file_id", run)
     m = spread.sortWithinPartitions("file_id", "chunk_no").mapInPandas(maps, _MAPS)
     longest = files.agg(F.max(F.length("source_text"))).first()[0] or 0
-    runs = longest // chunk // FAN_IN + 2  # a chunk ends at a line's end, so there are at most so many
-    while True:
-        m = m.withColumn("part", F.monotonically_increasing_id()).groupBy("file_id", F.expr(f"chunk_no div {FAN_IN}").alias("run")).applyInPandas(again, _MAPS)
+    runs = longest // chunk // FAN_IN + 1  # a chunk ends at a line's end, so there are at most so many of a file
+    while runs > 1:
+        m = m.repartition("file_id", run).sortWithinPartitions("file_id", "chunk_no").mapInPandas(again, _MAPS)
         runs = -(-runs // FAN_IN)
-        if runs <= 1:
-            break
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
