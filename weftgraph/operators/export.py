@@ -41,14 +41,21 @@ def _framed(g: Graph, head: str, body: DataFrame, tail: str) -> DataFrame:
     return ends.unionByName(body.withColumn("seq", F.col("seq").cast("int"))).orderBy("seq", "line")
 
 
+GRAPHML_KEYS = ["name", "kind", "qualified_name", "file", "start_line"]
+GRAPHML_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(f'<key id="{k}" for="node" attr.name="{k}" attr.type="string"/>' for k in GRAPHML_KEYS)
+    + '<key id="relation" for="edge" attr.name="relation" attr.type="string"/><graph edgedefault="directed">'
+)
+
+
 def graphml_lines(g: Graph) -> DataFrame:
     """GraphML with five node keys and one edge key: seq, line."""
     x = lambda c: C.escape_xml(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    keys = ["name", "kind", "qualified_name", "file", "start_line"]
+    keys = GRAPHML_KEYS
     data = F.concat(*[F.concat(F.lit(f'<data key="{k}">'), x(k), F.lit("</data>")) for k in keys])
     n = g.nodes.select(F.lit(1).alias("seq"), F.concat(F.lit('<node id="'), x("id"), F.lit('">'), data, F.lit("</node>")).alias("line"))
     e = g.edges.select(F.lit(2).alias("seq"), F.concat(F.lit('<edge source="'), x("src"), F.lit('" target="'), x("dst"), F.lit('"><data key="relation">'), x("kind"), F.lit("</data></edge>")).alias("line"))
-    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(f'<key id="{k}" for="node" attr.name="{k}" attr.type="string"/>' for k in keys) + '<key id="relation" for="edge" attr.name="relation" attr.type="string"/><graph edgedefault="directed">'
+    head = GRAPHML_HEAD
     return _framed(g, head, n.unionByName(e), "</graph></graphml>")
 
 

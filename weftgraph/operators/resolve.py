@@ -76,6 +76,11 @@ def diff_nodes(base: DataFrame, head: DataFrame) -> DataFrame:
     return b.join(a, "id", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "id", "left_anti").withColumn("change", F.lit("removed")))
 
 
+def removed_nodes(base: DataFrame, head: DataFrame) -> DataFrame:
+    """The nodes of ``base`` whose ids ``head`` lacks: id, kind, name, qualified_name, file, start_line."""
+    return base.join(head.select("id").distinct(), "id", "left_anti").select("id", "kind", "name", "qualified_name", "file", "start_line")
+
+
 def diff_edges(base: DataFrame, head: DataFrame) -> DataFrame:
     """Edges that one branch lacks or has with another line or confidence: src, dst, kind, change. A changed edge is added and removed."""
     cols = ["src", "dst", "kind", "line", "confidence"]

@@ -14,11 +14,34 @@ from weftgraph.functions import columns as C
 from weftgraph.schema import RRF_K, SIMILARITY_FLOOR
 
 
+#: Shorter tokens of a query fetch no candidates.
+MIN_TOKEN = 3
+
+
+def candidates(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes worth a score: name or qualified name holds the query or one of its tokens.
+
+    For a query of 4 to 20 characters every node of a branch that has no such
+    node is one, so that misspelt queries can be matched by edit distance. The
+    plain filter reaches the scan; nothing else is scored where there are
+    candidates. There is no cap on their number.
+    """
+    low = query.strip().lower()
+    parts = dict.fromkeys([low, *(t for t in C.query_tokens(query.strip()) if len(t) >= MIN_TOKEN)])
+    has = F.lit(False)
+    for t in parts:
+        has = has | F.lower("name").contains(t) | F.lower("qualified_name").contains(t)
+    found = nodes.where(has)
+    if not 4 <= len(low) <= 20:
+        return found
+    return found.unionByName(nodes.join(found.select("branch").distinct(), "branch", "left_anti").select(nodes.columns))
+
+
 def lexical(nodes: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
-    """Nodes that match a query with their score, best first: by score, length of name and qualified name."""
+    """Candidates that match a query with their score, best first: by score, length of name and qualified name."""
     if not query.strip():
         return nodes.withColumn("score", F.lit(0)).limit(0)
-    hits = nodes.withColumn("score", C.lexical_score(query)).where(F.col("score").isNotNull())
+    hits = candidates(nodes, query).withColumn("score", C.lexical_score(query)).where(F.col("score").isNotNull())
     return hits if limit is None else hits.orderBy(F.desc("score"), F.length("name"), "qualified_name", "branch", "id").limit(min(limit, 200))
 
 

@@ -256,6 +256,33 @@ def resolve_symbol(g: Graph, query: str, candidates: int = 5) -> tuple[str, list
     return "not_found", [r.asDict() for r in near]
 
 
+def resolve_names(g: Graph) -> DataFrame:
+    """``resolve_symbol`` for every name among code nodes: branch, name, status ('exact' or 'ambiguous'), candidates, id of the first.
+
+    The best is the minimum of a struct, which combines on the map side.
+    """
+    n = g.nodes.where(C.is_code(F.col("kind")) & F.col("name").isNotNull())
+    best = F.min(F.struct(C.is_test_file(F.col("file")).alias("t"), C.visibility_rank(F.col("visibility")).alias("v"), "file", "qualified_name", "id"))
+    out = n.groupBy("branch", "name").agg(F.count(F.lit(1)).alias("candidates"), best["id"].alias("id"))
+    return out.select("branch", "name", F.when(F.col("candidates") == 1, "exact").otherwise("ambiguous").alias("status"), "candidates", "id")
+
+
+def name_seeds(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """The node from which a subgraph by name (branch, name) starts: one that is no section before one that is, then the first by file and id."""
+    n = nodes.join(names.select("branch", "name").distinct(), ["branch", "name"], "left_semi")
+    best = F.min(F.struct((F.col("kind") == "section").alias("s"), "file", "id"))
+    return n.groupBy("branch", "name").agg(best["id"].alias("id"))
+
+
+def change_risk(base: Graph, head: Graph, depth: int = 2) -> DataFrame:
+    """What a branch changes against another, in one row: changed and affected nodes and the risk by their number."""
+    new = head.nodes.select("id").distinct().join(base.nodes.select("id").distinct(), "id", "left_anti").select(F.lit(1).alias("c"), F.lit(0).alias("a"))
+    hit = blast_radius(base, head, depth).select(F.lit(0).alias("c"), F.lit(1).alias("a"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    n = new.unionByName(hit).agg(zero("c").alias("changed"), zero("a").alias("affected"))
+    return n.withColumn("risk", C.risk_changes(F.col("affected")))
+
+
 def induced_nodes_edges(g: Graph, ids: DataFrame) -> Graph:
     n = g.nodes.join(ids, ["branch", "id"], "left_semi")
     return Graph(n, induced_edges(g.edges, n))

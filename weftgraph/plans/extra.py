@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import export as X
 from weftgraph.operators import search as S
 from weftgraph.operators.snapshots import row_digests
-from weftgraph.plans.graph import _BASE, _RANK
+from weftgraph.plans.graph import _BASE, _RANK, _lex
 from weftgraph.session import ensure_checkpoint_dir
 from weftgraph.sources import files as FS
 from weftgraph.sources import parsers as P
@@ -31,12 +31,13 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """The same windows by a stream over the events that are there, without the last ones, which a watermark holds back."""
+    """The same windows by a stream over all events that are there; the last windows, too, as the stream is complete."""
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    one = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf) if not sf.endswith("/") else spark.readStream.schema(schema).parquet(sf)
-    one = one.withColumn("ts", F.col("ts").cast("timestamp"))
-    return I.run_to_table(I.windowed_counts(one), f"{base}/out", f"{base}/state")
+    one = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/events.parquet*")
+    one = one.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null")
+    out = I.run_to_table(I.windowed_counts(one), f"{base}/out", f"{base}/state", "complete")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
 def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +64,7 @@ def source_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Changes between the files of the branches 'release/3' and 'main' of the archived nodes, by digest of all they declare in the last snapshot of each.
 
     Of several rows for an id within the snapshot the one loaded last stands;
-    of several loaded at once, the one with the greatest digest. The SQL
-    compares the greatest id over all snapshots instead.
+    of several loaded at once, the one with the greatest digest.
     """
     s = spark.read.parquet(f"{sf}/node_snapshots.parquet").where("id is not null")
     s = s.withColumn("digest", row_digests(s, ["branch", "snap_no"], ["annotations"], ["loaded_at"]))
@@ -108,7 +108,7 @@ def ring_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    return S.search_envelope(S.lexical(Graph.load(spark, sf).nodes, "policy table", None))
+    return S.search_envelope(S.lexical(Graph.load(spark, sf, texts=True).nodes, "policy table", None))
 
 
 def search_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,6 +131,7 @@ QUERIES = {
     )
 }
 
+_X = "replace(replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 _CQ = "replace(replace(coalesce({c}, ''), '\\', '\\\\'), '''', '\\''')"
 _DQ = "replace(replace(coalesce({c}, ''), '\\', '\\\\'), '\"', '\\\"')"
 
@@ -139,8 +140,19 @@ ORACLE = {
     "event_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as s from events where ts is not null)
 select user_id, cast(sum(s) as bigint) as n_sessions, count(*) as n_events from g group by 1""",
     "stream_deduplicated": "select event_type, count(distinct coalesce(cast(user_id as varchar), '-')) as n_users from events group by 1",
-    "source_changes": """with a as (select file as path, max(id) as blob from node_snapshots where branch = 'release/3' and file is not null group by 1), b as (select file as path, max(id) as blob from node_snapshots where branch = 'main' and file is not null group by 1)
+    "source_changes": """with s as (select * from node_snapshots where id is not null),
+last as (select s.* from s join (select branch, max(snap_no) as snap_no from s group by 1) m on m.branch = s.branch and m.snap_no = s.snap_no),
+one as (select * from (select *, row_number() over (partition by branch, id order by loaded_at desc) as rn from last where branch in ('release/3', 'main')) where rn = 1 and file is not null),
+f as (select branch, file as path, string_agg(concat_ws('|', id, coalesce(kind, '~'), coalesce(name, '~'), coalesce(qualified_name, '~'), coalesce(cast(start_line as varchar), '~'), coalesce(cast(end_line as varchar), '~'), coalesce(cast(loc as varchar), '~'),
+  coalesce(visibility, '~'), coalesce(def_signature, '~'), coalesce(cast(complexity as varchar), '~'), coalesce(cast(list_sort(list_distinct(annotations)) as varchar), '~')), chr(10) order by id) as blob from one group by 1, 2),
+a as (select * from f where branch = 'release/3'), b as (select * from f where branch = 'main')
 select * from (select coalesce(a.path, b.path) as path, case when a.blob is null then 'Added' when b.blob is null then 'Deleted' when a.blob <> b.blob then 'Modified' end as change from a full join b on a.path = b.path) where change is not null""",
+    "stream_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2",
+    "search_coverage": _lex("policy table") + "select count(*) as total, least(count(*), 10) as returned, count(distinct file) as files from sc where score is not null",
+    "graphml_export": _BASE + f"""select 0 as seq, '{X.GRAPHML_HEAD}' as line
+union all select 9, '</graph></graphml>'
+union all select 1, '<node id="' || {_X.format(c='id')} || '">' || {" || ".join(f"'<data key={chr(34)}{k}{chr(34)}>' || " + _X.format(c=f"cast({k} as varchar)") + " || '</data>'" for k in X.GRAPHML_KEYS)} || '</node>' from n
+union all select 2, '<edge source="' || {_X.format(c='src')} || '" target="' || {_X.format(c='dst')} || '"><data key="relation">' || {_X.format(c='kind')} || '</data></edge>' from e""",
     "top_symbols": _BASE + "select branch, cast(place as int) as place, id, name, in_degree from (select n.branch, n.id, n.name, d.in_degree, row_number() over (partition by n.branch order by d.in_degree desc, n.qualified_name nulls first, n.id) as place from n join deg d using (branch, id) where n.kind in ('function','method','struct','trait','interface','enum')) where place <= 20",
     "cypher_export": _BASE + f"""select 1 as seq, 'CREATE (:Symbol {{id: ''' || {_CQ.format(c='id')} || ''', name: ''' || {_CQ.format(c='name')} || ''', kind: ''' || {_CQ.format(c='kind')} || ''', file: ''' || {_CQ.format(c='file')} || '''}});' as line from n
 union all select 2, 'MATCH (a:Symbol {{id: ''' || src || '''}}), (b:Symbol {{id: ''' || dst || '''}}) CREATE (a)-[:' || upper(kind) || ']->(b);' from e""",

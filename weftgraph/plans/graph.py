@@ -11,6 +11,7 @@ from weftgraph.operators import lookup as L
 from weftgraph.operators import resolve as R
 from weftgraph.operators import search as S
 from weftgraph.operators import traverse as T
+from weftgraph.schema import NON_CODE_KINDS
 from weftgraph.sources import graph as G
 from weftgraph.sources.graph import Graph
 
@@ -19,14 +20,17 @@ QUERY = "session table"
 
 _BASE = """
 with recursive n as (
-  select * exclude (rn) from (select *, row_number() over (partition by branch, id order by indexed_at desc nulls last, def_doc desc nulls last, def_body desc nulls last,
-    def_signature desc nulls last, name desc nulls last, start_line desc nulls last) rn from nodes where id is not null) where rn = 1),
+  select * exclude (rn) from (select *, row_number() over (partition by branch, id order by indexed_at desc nulls last, name desc nulls last, qualified_name desc nulls last, file desc nulls last,
+    start_line desc nulls last, end_line desc nulls last, loc desc nulls last, complexity desc nulls last, def_signature desc nulls last, def_body desc nulls last, def_doc desc nulls last) rn from nodes where id is not null) where rn = 1),
 e as (
   select branch, src, dst, kind, line, confidence from (select *, row_number() over (partition by branch, src, dst, kind order by seen_at nulls first, loaded_at nulls first,
     line is null, line nulls first, confidence is null, confidence nulls first) rn from edges where src is not null and dst is not null) where rn = 1),
 deg as (select branch, dst as id, count(*) as in_degree from e where kind = 'calls' group by 1, 2)
 """
 _HUBS = _BASE + ", hub as (select d.branch, d.id from deg d join n on n.branch = d.branch and n.id = d.id where d.in_degree >= 10)"
+#: Every node is a seed.
+_ALL = _BASE + ", hub as (select branch, id from n)"
+_NONCODE = ", ".join(f"'{k}'" for k in NON_CODE_KINDS)
 _RANK = "case when {k} in ('struct','trait','interface','enum','type_alias') then 0 when {k} in ('function','method') then 1 when {k} in ('macro','constant','property','annotation','enum_member') then 2 else 5 end"
 _CONF = "case {c} when 'resolved' then 1 when 'inferred' then 2 else 0 end"
 _TEST = f"coalesce(regexp_matches({{f}}, '{C.TEST_FILE}'), false)"
@@ -53,8 +57,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _g(spark: SparkSession, sf: str) -> Graph:
-    return Graph.load(spark, sf)
+def _g(spark: SparkSession, sf: str, texts: bool = False) -> Graph:
+    return Graph.load(spark, sf, texts)
 
 
 def _hubs(g: Graph) -> DataFrame:
@@ -228,9 +232,9 @@ def unused(spark, sf):
     return L.unused_symbols(_g(spark, sf)).select("branch", "id", "kind")
 
 
-@query(_HUBS + "select distinct e.branch, e.src, e.dst, e.kind from e join hub h on h.branch = e.branch and (h.id = e.src or h.id = e.dst)")
+@query(_ALL + "select distinct e.branch, e.src, e.dst, e.kind from e join hub h on h.branch = e.branch and (h.id = e.src or h.id = e.dst)")
 def neighbourhood(spark, sf):
-    """Edges at every node. The SQL has those at hubs only."""
+    """Edges at every node."""
     g = _g(spark, sf)
     return L.neighbourhood(g, g.nodes.select("branch", "id"), "both", None).select("branch", "src", "dst", "kind")
 
@@ -301,27 +305,27 @@ def _hub_names(g: Graph) -> DataFrame:
     return A.hubs(g, 10, None).select("branch", "name").where("name is not null").distinct()
 
 
-@query(_HUBS + _BYNAME.format(a="dst", b="src", depth=3))
+@query(_HUBS + _BYNAME.format(a="dst", b="src", depth=5))
 def callers_deep(spark, sf):
-    """Callers of hub names (10 callers and more) over up to MAX_DEPTH hops. The SQL stops after 3."""
+    """Callers of hub names (10 callers and more) over up to MAX_DEPTH hops."""
     g = _g(spark, sf)
     return T.reach_by_name(g, _hub_names(g), direction="in")
 
 
-@query(_HUBS + _BYNAME.format(a="src", b="dst", depth=3))
+@query(_HUBS + _BYNAME.format(a="src", b="dst", depth=5))
 def callees_deep(spark, sf):
-    """Callees of hub names over up to MAX_DEPTH hops. The SQL stops after 3."""
+    """Callees of hub names over up to MAX_DEPTH hops."""
     g = _g(spark, sf)
     return T.reach_by_name(g, _hub_names(g), direction="out")
 
 
-@query(_HUBS + _REACH.format(step=_UP, depth=2) + f""", best as (select r.branch, r.seed, r.id, r.hop, min({_CONF.format(c='e.confidence')}) as cr from reached r join e on e.branch = r.branch and e.src = r.id and e.kind = 'calls'
+@query(_ALL + _REACH.format(step=_UP, depth=2) + f""", best as (select r.branch, r.seed, r.id, r.hop, min({_CONF.format(c='e.confidence')}) as cr from reached r join e on e.branch = r.branch and e.src = r.id and e.kind = 'calls'
   join reached p on p.branch = r.branch and p.seed = r.seed and p.id = e.dst and p.hop = r.hop - 1 where r.hop > 0 group by 1, 2, 3, 4)
 select b.branch, b.seed, b.id, b.hop, case b.cr when 0 then 'extracted' when 1 then 'resolved' else 'inferred' end as confidence, {_TEST.format(f='n.file')} as is_test,
   cast(row_number() over (partition by b.branch, b.seed, b.hop order by b.cr, {_TEST.format(f='n.file')}, case n.visibility when 'pub' then 0 when 'pub_crate' then 1 else 2 end, n.file nulls first, n.qualified_name nulls first, b.id) as int) as place
 from best b join n on n.branch = b.branch and n.id = b.id""")
 def callers_exact(spark, sf):
-    """Callers of every node over two hops. The SQL has those of hubs only."""
+    """Callers of every node over two hops."""
     g = _g(spark, sf)
     return T.callers_exact(g, g.nodes.select("branch", "id"))
 
@@ -338,23 +342,23 @@ def affected_by_id(spark, sf):
     return T.affected_by_id(g, _hubs(g))
 
 
-@query(_HUBS + _REACH.format(step=_ANY, depth=1) + "select r.branch, r.seed, r.id, r.hop from reached r join n on n.branch = r.branch and n.id = r.id")
+@query(_HUBS + _REACH.format(step=_ANY, depth=2) + "select r.branch, r.seed, r.id, r.hop from reached r join n on n.branch = r.branch and n.id = r.id")
 def subgraph_nodes(spark, sf):
-    """Nodes within two hops of hubs. The SQL stops after one."""
+    """Nodes within two hops of hubs."""
     g = _g(spark, sf)
     return T.subgraph(g, _hubs(g))[0]
 
 
-@query(_HUBS + _REACH.format(step=_ANY, depth=1) + ", k as (select r.branch, r.seed, r.id from reached r join n on n.branch = r.branch and n.id = r.id) select e.branch, a.seed, e.src, e.dst, e.kind from e join k a on a.branch = e.branch and a.id = e.src join k b on b.branch = e.branch and b.id = e.dst and b.seed = a.seed")
+@query(_HUBS + _REACH.format(step=_ANY, depth=2) + ", k as (select r.branch, r.seed, r.id from reached r join n on n.branch = r.branch and n.id = r.id) select e.branch, a.seed, e.src, e.dst, e.kind from e join k a on a.branch = e.branch and a.id = e.src join k b on b.branch = e.branch and b.id = e.dst and b.seed = a.seed")
 def subgraph_edges(spark, sf):
-    """Edges between the nodes within two hops of each hub. The SQL stops after one."""
+    """Edges between the nodes within two hops of each hub."""
     g = _g(spark, sf)
     return T.subgraph(g, _hubs(g))[1].select("branch", "seed", "src", "dst", "kind")
 
 
 _LABEL = "case " + " ".join(f"when kind = '{k}' and dir = '{d}' then '{v}'" for (k, d), v in T.RELATIONS.items()) + " else 'related' end"
 _LRANK = "case relation " + " ".join(f"when '{k}' then {v}" for k, v in T.RELATION_RANKS.items()) + " else 5 end"
-_RELATIONS = _HUBS + f""", raw as (
+_RELATIONS = _ALL + f""", raw as (
   select h.branch, h.id as seed, 'out' as dir, e.dst as other_id, e.kind, e.confidence from e join hub h on h.branch = e.branch and h.id = e.src
   union all select h.branch, h.id, 'in', e.src, e.kind, e.confidence from e join hub h on h.branch = e.branch and h.id = e.dst where e.src <> e.dst),
 lab as (select branch, seed, {_LABEL} as relation, other_id, min({_CONF.format(c='confidence')}) as cr from raw group by 1, 2, 3, 4),
@@ -364,27 +368,21 @@ rel as (select l.*, n.file, n.qualified_name, {_TEST.format(f='n.file')} as is_t
 
 @query(_RELATIONS + f"select branch, seed, relation, other_id, case cr when 0 then 'extracted' when 1 then 'resolved' else 'inferred' end as confidence, is_test, cast(row_number() over (partition by branch, seed order by {_LRANK}, cr, is_test, file nulls first, qualified_name nulls first, relation, other_id) as int) as place from rel")
 def relation_digest(spark, sf):
-    """Direct relations of every node. The SQL has those of hubs only."""
+    """Direct relations of every node."""
     g = _g(spark, sf)
     return T.relations(g, g.nodes.select("branch", "id"))
 
 
 @query(_RELATIONS + "select branch, seed, relation, count(*) as n from rel group by 1, 2, 3")
 def relation_counts(spark, sf):
-    """Numbers of direct relations of every node. The SQL has those of hubs only."""
+    """Numbers of direct relations of every node."""
     g = _g(spark, sf)
     return T.relations(g, g.nodes.select("branch", "id")).groupBy("branch", "seed", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_HUBS + """, names as (select distinct h.branch, n.name from hub h join n on n.branch = h.branch and n.id = h.id where n.name is not null),
-st as (select distinct e.branch, a.name as a, b.name as b from e join n a on a.branch = e.branch and a.id = e.src join n b on b.branch = e.branch and b.id = e.dst where e.kind = 'calls' and a.name is not null and b.name is not null),
-pairs as (select x.branch, x.name as from_name, y.name as to_name from names x join names y on y.branch = x.branch where substr(x.name, 1, 1) = substr(y.name, 1, 1)),
-walk as (select branch, from_name, to_name, from_name as at_name, [from_name] as path from pairs
-  union select w.branch, w.from_name, w.to_name, st.b, list_append(w.path, st.b) from walk w join st on st.branch = w.branch and st.a = w.at_name where len(w.path) <= 4 and not (len(w.path) > 1 and w.at_name = w.to_name)),
-hit as (select branch, from_name, to_name, path, len(path) - 1 as hops from walk where len(path) > 1 and at_name = to_name)
-select branch, from_name, to_name, cast(hops as int) as hops, array_to_string(path, ' ') as path from (select *, row_number() over (partition by branch, from_name, to_name order by hops, path) rn from hit) where rn = 1""")
+@query()
 def trace_path(spark, sf):
-    """Shortest call paths of up to TRACE_MAX_HOPS hops for all pairs of hub names (10 callers and more) of a branch. The SQL holds those with equal first letters, up to 4 hops."""
+    """Shortest call paths of up to TRACE_MAX_HOPS hops for all pairs of hub names (10 callers and more) of a branch. Tested against brute force: SQL that holds all paths is too slow on whole tables."""
     g = _g(spark, sf)
     h = _hub_names(g)
     pairs = h.select("branch", F.col("name").alias("from_name")).join(h.select("branch", F.col("name").alias("to_name")), "branch")
@@ -567,15 +565,26 @@ def _score_sql(text: str) -> str:
     + (case when name = '{text}' then 8 else 0 end) + (case when {_TEST.format(f='file')} then -45 else 0 end) end"""
 
 
-_LEX = _BASE + f", tn as (select *, lower(name) as ln, {_TOKENS.format(x='name')} as tk from n), sc as (select branch, id, name, qualified_name, {{score}} as score from tn) "
+def _candidates_sql(text: str) -> str:
+    words = dict.fromkeys([text.lower(), *(t for t in C.query_tokens(text) if len(t) >= 3)])
+    return "coalesce(" + " or ".join(f"contains(lower(name), '{w}') or contains(lower(qualified_name), '{w}')" for w in words) + ", false)"
+
 
+def _lex(text: str) -> str:
+    """Candidates hold the query or one of its tokens; in a branch without any, all nodes are candidates."""
+    has = _candidates_sql(text)
+    return _BASE + (
+        f", hits as (select branch from n group by 1 having bool_or({has})), tn as (select *, lower(name) as ln, {_TOKENS.format(x='name')} as tk from n where {has} or branch not in (select branch from hits)), "
+        f"sc as (select branch, id, name, qualified_name, file, {_score_sql(text)} as score from tn) "
+    )
 
-@query(_LEX.format(score=_score_sql(QUERY)) + "select branch, id, cast(score as int) as score from sc where score is not null")
+
+@query(_lex(QUERY) + "select branch, id, cast(score as int) as score from sc where score is not null")
 def lexical_scores(spark, sf):
     return S.lexical(_g(spark, sf).nodes, QUERY, None).select("branch", "id", F.col("score").cast("int").alias("score"))
 
 
-@query(_LEX.format(score=_score_sql("PolicyTable")) + "select branch, id, cast(score as int) as score from sc where score is not null order by score desc, length(name), qualified_name, branch, id limit 10")
+@query(_lex("PolicyTable") + "select branch, id, cast(score as int) as score from sc where score is not null order by score desc, length(name), qualified_name, branch, id limit 10")
 def lexical_search(spark, sf):
     return S.lexical(_g(spark, sf).nodes, "PolicyTable").select("branch", "id", F.col("score").cast("int").alias("score"))
 
@@ -601,24 +610,75 @@ def rrf(spark, sf):
 
 @query()
 def hybrid_search(spark, sf):
-    g = _g(spark, sf).branch("main")
+    g = _g(spark, sf, texts=True).branch("main")
     return S.hybrid(g.nodes, S.embed(S.node_text(g.nodes)), "policy table")
 
 
-@query()
+@query(_BASE + "select branch, count(distinct id) as indexed from n group by 1")
 def vector_maintenance(spark, sf):
-    """The semantic index after a refresh: dead ids pruned, missing ones embedded."""
-    g = _g(spark, sf)
+    """The semantic index after a refresh: dead ids pruned, missing ones embedded, so that every node is in it."""
+    g = _g(spark, sf, texts=True)
     idx = S.maintain(spark.read.parquet(f"{sf}/node_vectors.parquet").where("size(vector) = 384"), g.nodes)
     return idx.groupBy("branch").agg(F.count_distinct("node_id").alias("indexed"))
 
 
 @query(_BASE + "select branch, id as node_id, concat_ws(' ', kind, qualified_name, def_signature, def_doc, array_to_string(" + _TOKENS.format(x="name") + ", ' '), array_to_string(" + _TOKENS.format(x="list_last(string_split(replace(qualified_name, '::', '.'), '.'))") + ", ' ')) as text from n where name is not null and qualified_name is not null")
 def node_text(spark, sf):
-    return S.node_text(_g(spark, sf).nodes.where("name is not null and qualified_name is not null"))
+    return S.node_text(_g(spark, sf, texts=True).nodes.where("name is not null and qualified_name is not null"))
 
 
 @query()
 def budget_truncate(spark, sf):
-    n = _g(spark, sf).nodes.select("branch", "file", "start_line", "id", "name", "def_signature")
+    n = _g(spark, sf, texts=True).nodes.select("branch", "file", "start_line", "id", "name", "def_signature")
     return S.within_budget(n, ["branch", "file"], [F.col("start_line"), F.col("id")], 400).select("branch", "file", "id")
+
+
+@query(_lex("PolicyTabel") + "select branch, id, cast(score as int) as score from sc where score is not null")
+def misspelt_search(spark, sf):
+    """A query that nothing holds: all nodes are scored, and edit distance finds them."""
+    return S.lexical(_g(spark, sf).nodes, "PolicyTabel", None).select("branch", "id", F.col("score").cast("int").alias("score"))
+
+
+# ---- symbols by name, changes, clusters -------------------------------------------------------------------------------
+
+
+@query(_BASE + f"""select branch, name, case when count(*) = 1 then 'exact' else 'ambiguous' end as status, count(*) as candidates, arg_min(id, r) as id
+from (select branch, name, id, row_number() over (partition by branch, name order by {_TEST.format(f='file')}, case visibility when 'pub' then 0 when 'pub_crate' then 1 else 2 end, file nulls first, qualified_name nulls first, id) as r
+  from n where kind not in ({_NONCODE}) and name is not null) group by 1, 2""")
+def resolve_names(spark, sf):
+    return T.resolve_names(_g(spark, sf))
+
+
+@query(_BASE + """, nm as (select distinct n.branch, n.name from n join deg d on d.branch = n.branch and d.id = n.id where d.in_degree >= 10 and n.name is not null),
+hub as (select branch, id from (select n.branch, n.id, row_number() over (partition by n.branch, n.name order by n.kind = 'section', n.file nulls first, n.id) as r from n join nm on nm.branch = n.branch and nm.name = n.name) where r = 1)"""
+       + _REACH.format(step=_ANY, depth=2) + "select r.branch, r.seed, r.id, r.hop from reached r join n on n.branch = r.branch and n.id = r.id")
+def subgraph_by_name(spark, sf):
+    """Nodes within two hops of the node that each name of a hub stands for."""
+    g = _g(spark, sf)
+    return T.subgraph(g, T.name_seeds(g.nodes, _hub_names(g)))[0]
+
+
+@query(_BASE + f"select id, kind, name, qualified_name, file, start_line from n where branch = '{BASE}' and id not in (select id from n where branch = '{HEAD}')")
+def removed_nodes(spark, sf):
+    g = _g(spark, sf)
+    return R.removed_nodes(g.branch(BASE).nodes, g.branch(HEAD).nodes)
+
+
+@query(_BASE + f""", ch as (select distinct id from n where branch = '{HEAD}' and id not in (select id from n where branch = '{BASE}')),
+walk as (select id, 0 as hop from ch union select e.src, w.hop + 1 from walk w join e on e.dst = w.id and e.branch = '{HEAD}' and e.kind = 'calls' where w.hop < 2 and e.src not in (select id from ch)),
+hit as (select distinct id from walk where hop > 0 and id in (select id from n where branch = '{HEAD}'))
+select c.changed, h.affected, case when h.affected <= 5 then 'LOW' when h.affected <= 20 then 'MEDIUM' when h.affected <= 50 then 'HIGH' else 'CRITICAL' end as risk from (select count(*) as changed from ch) c, (select count(*) as affected from hit) h""")
+def change_risk(spark, sf):
+    g = _g(spark, sf)
+    return T.change_risk(g.branch(BASE), g.branch(HEAD), 2)
+
+
+@query(_BASE + "select b.branch, n.branch is null as empty from (select branch from e union select branch from n) b left join (select distinct branch from n) n on n.branch = b.branch")
+def empty_branches(spark, sf):
+    return A.empty_branches(_g(spark, sf))
+
+
+@query()
+def cluster_members(spark, sf):
+    g = _g(spark, sf)
+    return A.cluster_members(g, A.label_propagation(g))

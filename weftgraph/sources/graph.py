@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The stored texts of a node; only loads that ask for them read them.
+TEXTS = ("def_signature", "def_body", "def_doc")
+
+
 def current_nodes(nodes: DataFrame) -> DataFrame:
     """Of rows delivered again for a (branch, id), the latest stands. Rows without an id are left out.
 
-    Rows delivered at the same time are told apart by their documentation,
-    body, signature, name and line, so the choice does not depend on order.
+    Rows delivered at the same time are told apart by name, lines, size and
+    complexity and then by their stored texts, if these are there; so the
+    choice does not depend on order, and is the same with and without texts.
     """
-    w = Window.partitionBy("branch", "id").orderBy(
-        F.col("indexed_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in ("def_doc", "def_body", "def_signature", "name", "start_line")]
-    )
+    told = [c for c in ("name", "qualified_name", "file", "start_line", "end_line", "loc", "complexity", *TEXTS) if c in nodes.columns]
+    w = Window.partitionBy("branch", "id").orderBy(F.col("indexed_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in told])
     return nodes.where("id is not null").withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
@@ -41,8 +45,10 @@ class Graph:
     edges: DataFrame
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Graph:
-        return Graph(current_nodes(spark.read.parquet(f"{path}/nodes.parquet")), current_edges(spark.read.parquet(f"{path}/edges.parquet")))
+    def load(spark: SparkSession, path: str, texts: bool = False) -> Graph:
+        """The graph of the tables in a folder. Signatures, bodies and documentation are read only if ``texts`` are wanted."""
+        nodes = spark.read.parquet(f"{path}/nodes.parquet")
+        return Graph(current_nodes(nodes if texts else nodes.drop(*TEXTS)), current_edges(spark.read.parquet(f"{path}/edges.parquet")))
 
     def branch(self, name: str) -> Graph:
         """The graph of one branch; the filter reaches the scans."""
@@ -66,7 +72,10 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def nodes_page(nodes: DataFrame, offset: int, limit: int) -> DataFrame:
+def nodes_page(nodes: DataFrame, offset: int, limit: int, after: tuple[str, str] | None = None) -> DataFrame:
+    """A page in order of branch and id. ``after`` is the last key of the page before: the filter reaches the scan, and only the first rows of each task are sorted."""
+    if after is not None:
+        nodes = nodes.where((F.col("branch") > after[0]) | (F.col("branch") == after[0]) & (F.col("id") > after[1]))
     return nodes.orderBy("branch", "id").offset(offset).limit(limit)
 
 

@@ -18,13 +18,18 @@ def write_state(spark: SparkSession, path: str, branch: str, sha: str) -> None:
     spark.createDataFrame([(branch, sha, SCHEMA_VERSION)], INDEX_STATE).coalesce(1).write.mode("append").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def last_indexed(spark: SparkSession, path: str, branch: str) -> str | None:
-    """The last recorded commit of a branch; states of another schema version are errors, none is None."""
-    try:
-        rows = spark.read.schema(INDEX_STATE).parquet(path).where(F.col("branch") == branch)
-        found = rows.withColumn("m", F.col("_metadata.file_modification_time")).orderBy(F.desc("m")).limit(1).collect()
-    except Exception:  # noqa: BLE001  no state yet
+    """The last recorded commit of a branch; None if nothing was recorded. A state of another schema version, or one that cannot be read, is an error."""
+    if not exists(spark, path):
         return None
+    rows = spark.read.schema(INDEX_STATE).parquet(path).where(F.col("branch") == branch)
+    found = rows.withColumn("m", F.col("_metadata.file_modification_time")).orderBy(F.desc("m")).limit(1).collect()
     if found and found[0]["schema_version"] != SCHEMA_VERSION:
         raise ValueError("the index has another schema version; rebuild it")
     return found[0]["last_indexed_sha"] if found else None
@@ -72,25 +77,83 @@ class GraphStore:
         return Graph(self.spark.read.schema(NODES).parquet(self.path("nodes")), self.spark.read.schema(EDGES).parquet(self.path("edges")))
 
     def refs(self) -> DataFrame | None:
-        return self.spark.read.schema(REFS).parquet(self.path("refs")) if os.path.exists(self.path("refs").replace("file://", "")) else None
+        return self.spark.read.schema(REFS).parquet(self.path("refs")) if exists(self.spark, self.path("refs")) else None
 
     def apply(self, nodes: DataFrame, edges: DataFrame, files: DataFrame, refs: DataFrame | None = None) -> None:
-        """Replaces all nodes of changed files (branch, file) and resolves references anew, then swaps the tables."""
+        """Replaces all nodes of changed files (branch, file) and resolves references anew, then swaps the folders of the branches that changed.
+
+        Other branches are neither read nor written.
+        """
+        touched = sorted(r[0] for r in files.select("branch").union(nodes.select("branch")).distinct().collect())  # a batch touches few branches
+        mine = F.col("branch").isin(touched)
         old = self.refs()
-        every = old
+        every = old = None if old is None else old.where(mine)
         if refs is not None:
             gone = files.select("branch", F.col("file").alias("src_file"))
             every = refs if old is None else old.join(gone, ["branch", "src_file"], "left_anti").select(refs.columns).unionByName(refs)
-        g = apply_diff(self.read(), nodes, files, edges, every)
-        tables = {self.path("nodes"): g.nodes, self.path("edges"): g.edges}
+        now = self.read()
+        g = apply_diff(Graph(now.nodes.where(mine), now.edges.where(mine)), nodes, files, edges, every)
+        tables = {"nodes": g.nodes, "edges": g.edges}
         if every is not None and refs is not None:
-            tables[self.path("refs")] = every
-        swap(tables, "branch")
+            tables["refs"] = every
+        self.replace(tables, touched)
+
+    def _folder(self, table: str, branch: str):
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/branch={escape(branch)}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def replace(self, tables: dict[str, DataFrame], branches: list[str]) -> None:
+        """Puts new rows in the place of those of some branches: all are staged first, then each branch's folder is renamed."""
+        for t, df in tables.items():
+            df.write.mode("overwrite").partitionBy("branch").parquet(f"{self.path(t)}.staged")
+        for t in tables:
+            for b in branches:
+                (new, fs), (here, _) = self._folder(f"{t}.staged", b), self._folder(t, b)
+                fs.mkdirs(here.getParent())
+                fs.delete(here, True)
+                if fs.exists(new):
+                    fs.rename(new, here)
+            fs.delete(new.getParent(), True)
+
+    def wipe(self, branch: str, state: str | None = None) -> None:
+        """Drops one branch: its nodes, edges and references, and its index state at ``state``."""
+        for t in ("nodes", "edges", "refs"):
+            here, fs = self._folder(t, branch)
+            fs.delete(here, True)
+        if state is not None and exists(self.spark, state):
+            swap({state: self.spark.read.schema(INDEX_STATE).parquet(state).where(F.col("branch") != branch)})
+
+
+Parse = Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]
+
+
+def apply_changes(changes: DataFrame, parse: Parse, store: GraphStore) -> None:
+    """Indexes changed files (branch, path, change, source_text), committed or not."""
+    df = changes.persist()
+    try:
+        if df.isEmpty():
+            return
+        files = df.select("branch", F.col("path").alias("file")).distinct()
+        nodes, edges, refs = parse(df.where("change <> 'Deleted'"))
+        store.apply(nodes, edges, files, refs)
+    finally:
+        df.unpersist()
+
 
-    def wipe(self, branch: str) -> None:
-        """Drops one branch."""
-        keep = lambda t: self.spark.read.schema(NODES if t == "nodes" else EDGES).parquet(self.path(t)).where(F.col("branch") != branch)
-        swap({self.path(t): keep(t) for t in ("nodes", "edges")}, "branch")
+def update(store: GraphStore, state: str, branch: str, head: str, changes: Callable[[str | None], DataFrame], parse: Parse) -> bool:
+    """Brings the index of a branch from the last recorded commit to ``head``; False if it is there already.
+
+    ``changes`` gives the files (branch, path, change, source_text) that differ
+    between a commit, or nothing, and ``head``. The commit is recorded last, so
+    a run that fails is done again.
+    """
+    last = last_indexed(store.spark, state, branch)
+    if last == head:
+        return False
+    apply_changes(changes(last), parse, store)
+    write_state(store.spark, state, branch, head)
+    return True
 
 
 def index_stream(changes: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], store: GraphStore, checkpoint: str):
@@ -102,15 +165,7 @@ def index_stream(changes: DataFrame, parse: Callable[[DataFrame], tuple[DataFram
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        df = df.persist()
-        try:
-            if df.isEmpty():
-                return
-            files = df.select("branch", F.col("path").alias("file")).distinct()
-            nodes, edges, refs = parse(df.where("change <> 'Deleted'"))
-            store.apply(nodes, edges, files, refs)
-        finally:
-            df.unpersist()
+        apply_changes(df, parse, store)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -144,8 +199,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now into Parquet and reads the result."""
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    if mode == "complete":  # files can only be appended to; each batch stands for all before it
+        w = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    else:
+        w = stream.writeStream.outputMode(mode).format("parquet").option("path", path)
+    w.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
