@@ -32,11 +32,15 @@ def test_function_pairs(spark):
         ("m", "5", "struct", "g", "a.ts", "g", "x", "Keeps the lock for long.", 1), ("m", "6", "method", "g", "a.ts", None, "", "Keeps the lock for long.", 1), ("m", "7", "method", "g", "a.ts", None, None, "Keeps the lock for long.", 1),
         ("m", "8", "method", None, None, None, "g() {}", "Keeps the lock for long.", 1), ("m", "9", "function", "f", "a.py", "def f(x):", body.format(doc='"""Keeps the lock for long."""'), "TODO", 1),
         ("m", "10", "function", "f", "a.go", None, "func f() {}", "Keeps the lock for long.", 1), ("m", "10", "function", "f", "a.go", None, "func f() {}", "TODO", 2), (None, "11", "function", "f", "a.go", None, "// Keeps the lock for long.\nfunc f() {}", None, 2),
+        ("m", "13", "function", "f", "a.go", None, "// Keeps the lock for long.\n\n// nolint\nfunc f() {}", None, 1),  # the nearer comment says nothing
+        ("m", "14", "function", "f", "a.go", None, "// Keeps the lock for long.\nvar x = 1\n\nfunc f() {}", None, 1),  # a statement stands between
+        ("m", "15", "function", "f", "a.go", None, "var x = 1\n\n// Keeps the lock for long.\nfunc f() {}", None, 1),
+        ("m", "16", "function", "f", "a.rs", None, "// nothing\n#[inline]\nfn f() {}", "Keeps the lock for long.", 1), ("m", "17", "method", "f", "a.ts", None, "f() { // Keeps the lock for long.\n}", None, 1),
         ("m", "12", "function", "f", "a.py", "def f(x):", body.format(doc='"""Keeps ' + "the lock " * 50_000), None, 1),
     ]
     df = spark.createDataFrame(rows, NODES).selectExpr("*", "1 as at", "2 as text", "3 as code")
     got = {(r.branch, r.id): r.doc_from for r in D.function_pairs(df).collect()}
-    assert got == {("m", "1"): "docstring", ("m", "4"): "comment", ("m", "8"): "comment", ("m", "9"): "docstring", (None, "11"): "comment", ("m", "12"): "docstring"}
+    assert got == {("m", "1"): "docstring", ("m", "4"): "comment", ("m", "8"): "comment", ("m", "9"): "docstring", (None, "11"): "comment", ("m", "12"): "docstring", ("m", "13"): "comment", ("m", "15"): "comment", ("m", "16"): "comment"}
     assert D.function_pairs(df.limit(0)).count() == 0
 
 
@@ -146,3 +150,26 @@ def test_templates_join_sentences_that_differ_in_free_words(spark):
     docs = [(i, f"The {w} waits as long as the server has failed.") for i, w in enumerate(("lexer", "ledger", "digest"))] + [(9, "This page could not be loaded.")]
     got = {r.template: (r.verdict, r.n_sentences) for r in R.templates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == {"the <*> <*> as long as the server has failed": ("content", 3), "this page could not be loaded": ("error", 1)}
+
+
+def test_notices_of_other_wordings():
+    a = P.automaton()
+    yes = [
+        "// Code generated by stringer; DO NOT EDIT.", "# This file was automatically generated with buildtool 3.2", "/* AUTO-GENERATED FILE. DO NOT MODIFY. */", "// @generated SignedSource<<abc>>", "# Generated from schema.proto", "// THIS FILE IS MACHINE GENERATED - changes will be lost",
+        "# Please do not edit this file by hand.", "// Diese Datei wurde automatisch generiert.", "# Do not modify: all changes will be overwritten", "// Compiled from main.coffee by the build",
+    ]
+    no = [
+        "// Names are generated by the server and sent back.", "# Do not edit the entries between the two marks", "// Do not change without asking the owners.", "# Auto-generated keys are kept for a week.", "// The banner says 'do not edit' in generated files.", "# Generated files are written to build/",
+        "// Checks that the code generated by the tool compiles.", "# Formerly generated from a schema, now maintained by hand. Do not edit the header.", "// The cache is overwritten by each run.", "# Reports generated by users are listed below.",
+    ]
+    assert [x for x in yes if not P.generation_notice(x + "\nf(1)\n", a)] == []
+    assert [x for x in no if P.generation_notice(x + "\nf(1)\n", a)] == []
+
+
+def test_short_files_are_no_copies(spark):
+    body = "\n".join(f"def f{i}(a, b):\n    return g{i}(a) + h{i}(b)" for i in range(40))
+    lib = spark.createDataFrame([("l", "1", "l.py", "from .core import main, helper, run\n" + body), ("l", "1", "tiny.py", "x = one(two, three)\n")], "lib string, lib_version string, file string, source_text string")
+    mine = "\n".join(f"def q{i}(z):\n    return p{i}(z)" for i in range(40))
+    rows = [(1, "from .core import main, helper, run\n"), (2, mine + "\nx = one(two, three)\n"), (3, "x = one(two, three)\n"), (4, "# local\n" + body)]
+    got = {r.file_id for r in P.library_copies(spark.createDataFrame(rows, "file_id bigint, source_text string"), lib).collect()}
+    assert got == {3, 4}

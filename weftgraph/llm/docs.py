@@ -168,48 +168,79 @@ def header_end(body: str, python: bool) -> int:
 
 
 _DOCSTRING = re.compile(r"\s*([rRuU]{0,2}(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))", re.S)
-_LEADING = re.compile(r"\s*((?:(?://[^\n]*|#(?!\[)[^\n]*)(?:\n\s*|\Z))+|/\*.*?(?:\*/|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\s*(?:@[\w.]+(?:\([^)]*\))?|#\[[^\]]*\])", re.S)
 
-def function_start(body: str) -> int:
-    """Offset of a captured function behind its leading comments and attributes."""
-    at = 0
-    while m := _ATTRIBUTE.match(body, at) or _LEADING.match(body, at):
-        at = m.end()
-    return at
-
-
 def header_of(code: str) -> str:
     """The header of a captured function."""
-    body = code[function_start(code) :]
-    return body[: header_end(body, False)]
+    start, end = function_span(code, False)
+    return code[start:end]
 
 
 SPANS = "branch string, id string, at int, span string, text string"
+_COMMENT = re.compile(r"(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<h>#(?!\[)[^\n]*))|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)'|`[^`]*`?", re.S)
+#: The head of a function in a text without comments and literals, at the start of a line.
+_HEAD = re.compile(r"^[ \t]*(?:(?:pub(?:\([\w ]+\))?|export|default|async|static|const|unsafe|extern|public|private|protected|final|abstract|override|synchronized|inline)\s+)*(?:def|func|fn|function\*?)\b", re.M)
+
+
+def _blank(m: re.Match) -> str:
+    return re.sub(r"[^\n]", " ", m[0])
+
+
+def comment_spans(body: str, python: bool) -> list[tuple[int, int, str]]:
+    """(start, end, text) of all comments of a text; lines of comments that directly follow each other are one."""
+    out: list[tuple[int, int, str]] = []
+    for m in _COMMENT.finditer(body):
+        if m["c"] is None or m["h"] is not None and not python:
+            continue
+        if out and m[0][:2] != "/*" and out[-1][2][:2] != "/*" and re.fullmatch(r"[ \t]*\n[ \t]*", body[out[-1][1] : m.start()]):
+            out[-1] = (out[-1][0], m.end(), body[out[-1][0] : m.end()])
+        else:
+            out.append((m.start(), m.end(), m[0]))
+    return out
+
+
+def function_span(body: str, python: bool) -> tuple[int, int]:
+    """Where the function's head begins and ends in a captured text, whatever comments stand around it."""
+    code = _COMMENT.sub(lambda m: _blank(m) if m["c"] is not None and (m["h"] is None or python) else m[0], body)
+    bare = _COMMENT.sub(_blank, code)
+    head = _HEAD.search(bare)
+    if head:
+        start = head.start() + len(head[0]) - len(head[0].lstrip())
+    else:
+        start = 0
+        while m := _ATTRIBUTE.match(bare, start):
+            start = m.end()
+        start += len(bare[start:]) - len(bare[start:].lstrip())
+    return start, start + header_end(body[start:], python)
+
+
+def statement_spans(body: str, python: bool, upto: int, since: int) -> list[int]:
+    """Where statements begin: lines of code before ``upto`` that are no attributes, and the first code from ``since`` on."""
+    code = _COMMENT.sub(lambda m: _blank(m) if m["c"] is not None and (m["h"] is None or python) else m[0], body)
+    head, out = code[:upto], []
+    bare = _ATTRIBUTE.sub(_blank, _COMMENT.sub(_blank, head)) if head.strip() else ""
+    out += [m.start() for m in re.finditer(r"(?m)^[ \t]*\S", bare)]
+    rest = code[since:]
+    if rest.strip():
+        out.append(since + len(rest) - len(rest.lstrip()))
+    return out
 
 
 def _spans_of(branch: str, key: str, body: str, doc: str | None, file: str | None) -> Iterator[tuple]:
-    """Spans of one captured function. The stored documentation lies before offset 0."""
+    """Spans of one captured function, each kind found by itself. The stored documentation lies before offset 0."""
     if doc is not None:
         yield branch, key, -1, "comment", doc
-    at = 0
-    while True:
-        if m := _ATTRIBUTE.match(body, at):
-            at = m.end()
-        elif m := _LEADING.match(body, at):
-            yield branch, key, m.start(1), "comment", m[1]
-            at = m.end()
+    python = (file or "").endswith((".py", ".pyi")) or bool(re.match(r"\s*(?:async\s+)?def\s+\w+\s*\(", body))
+    start, end = function_span(body, python or not re.search(r"\.\w+$", file or ""))
+    yield branch, key, start, "function", None
+    for at, to, text in comment_spans(body, python or bool(re.match(r"\s*#", body))):
+        if to <= start:
+            yield branch, key, at, "comment", text
+    for at in statement_spans(body, python, start, end):
+        if at >= end and python and (m := _DOCSTRING.match(body, at)):
+            yield branch, key, at, "docstring", m[1]
         else:
-            break
-    yield branch, key, at + 1, "function", None
-    python = (file or "").endswith(".py") or bool(re.match(r"\s*(?:async\s+)?def\s+\w+\s*\(", body[at:]))
-    if python:
-        end = at + header_end(body[at:], True)
-        rest = re.match(r"(?:[ \t]*#[^\n]*|\s)*", body[end:]).end() + end
-        if m := _DOCSTRING.match(body, rest):
-            yield branch, key, rest + 2, "docstring", m[1]
-        elif body[rest:].strip():
-            yield branch, key, rest + 2, "statement", None
+            yield branch, key, at, "statement", None
 
 
 def node_spans(nodes: DataFrame) -> DataFrame:
@@ -230,18 +261,22 @@ def node_spans(nodes: DataFrame) -> DataFrame:
 def attach(spans: DataFrame, keys: list[str]) -> DataFrame:
     """As-of join of functions with comments: keys, at, before, after.
 
-    The spans of a key lie in order of position. ``before`` is the text of the
-    comment that directly precedes a function, ``after`` the docstring that
-    directly follows; any other span in between rejects it.
+    The spans of a key lie in order of position. ``before`` has the texts of
+    the comments that precede a function, the nearest first, as far as no
+    statement stands between; ``after`` is the docstring that directly follows
+    its head, unless a statement comes first.
     """
     w = Window.partitionBy(*keys).orderBy("at")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
     near = spans.select(
         *keys, "at", "span",
-        F.lag(F.struct("span", "text")).over(w).alias("p"), F.lead(F.struct("span", "text")).over(w).alias("n"),
+        F.max(F.when(F.col("span") == "statement", F.col("at"))).over(past).alias("stop"),
+        F.collect_list(F.when(F.col("span") == "comment", F.struct("at", "text"))).over(past).alias("c"),
+        F.lead(F.struct("span", "text")).over(w).alias("n"),
     )
+    free = F.filter("c", lambda x: F.col("stop").isNull() | (x["at"] > F.col("stop")))
     return near.where(F.col("span") == "function").select(
-        *keys, "at",
-        F.when(F.col("p")["span"] == "comment", F.col("p")["text"]).alias("before"),
+        *keys, "at", F.transform(F.reverse(free), lambda x: x["text"]).alias("before"),
         F.when(F.col("n")["span"] == "docstring", F.col("n")["text"]).alias("after"),
     )
 
@@ -263,8 +298,9 @@ def function_pairs(nodes: DataFrame) -> DataFrame:
     """Code and description of each function or method whose documentation tells something.
 
     Functions with a null or blank body, and with no, empty or trivial
-    documentation are dropped. The stored documentation goes before the
-    docstring; if it is trivial the docstring may still serve. A null name or
+    documentation are dropped. The nearest comment goes first; if it is trivial,
+    the next one before it that no statement parts from the function, the
+    stored documentation last, and then the docstring may serve. A null name or
     signature only means that there are fewer words to repeat. Rows delivered
     twice count once. Columns: branch, id, name, def_signature, code,
     description, doc_from ('comment' or 'docstring').
@@ -273,7 +309,7 @@ def function_pairs(nodes: DataFrame) -> DataFrame:
     near = attach(node_spans(f), ["branch", "id"])
     joined = (
         f.select("branch", "id", "name", "def_signature", F.col("def_body").alias("code"))
-        .join(near.where(F.col("before").isNotNull() | F.col("after").isNotNull()).select(
+        .join(near.where((F.size("before") > 0) | F.col("after").isNotNull()).select(
             F.coalesce("branch", F.lit("\0")).alias("__b"), F.col("id").alias("__i"), "before", "after"),
             (F.coalesce("branch", F.lit("\0")) == F.col("__b")) & (F.col("id") == F.col("__i")))
         .drop("__b", "__i")
@@ -283,7 +319,7 @@ def function_pairs(nodes: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                for doc, where in ((r.before, "comment"), (r.after, "docstring")):
+                for doc, where in (*((d, "comment") for d in r.before), (r.after, "docstring")):
                     if isinstance(doc, str) and informative(doc, r.name, r.def_signature or header_of(r.code)):
                         rows.append((r.branch, r.id, r.name, r.def_signature, r.code, comment_text(doc), where))
                         break

@@ -15,25 +15,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Phrases of generation notices, lower case.
-NOTICES = [
-    "code generated by", "autogenerated by", "auto-generated by", "automatically generated", "autogenerated file", "auto-generated file", "autogenerated from", "auto-generated from",
-    "autogenerated code", "auto-generated code", "this file is generated", "this file was generated", "this file is auto", "this file was auto", "file generated by", "generated by the", "generated by",
-    "generated from", "generated using", "generated with", "generated file", "generated code", "@generated", "<auto-generated", "<autogenerated", "produced automatically", "automatically produced", "automatically created",
-    "machine-written", "machine written", "machine-generated", "machine generated", "compiled from", "manual changes will be lost", "changes will be lost", "changes will be overwritten", "overwritten at the next", "overwritten by the next", "overwritten on the next", "will be overwritten",
-    "do not edit", "do not modify", "don't edit", "do not change this file", "edits will be lost", "any change here is", "automatisch erzeugt", "automatisch generiert", "nicht von hand", "nicht manuell", "généré automatiquement", "ne pas modifier", "généré par",
-    "generado automáticamente", "no editar", "gerado automaticamente", "não edite", "自动生成", "自動生成", "请勿修改", "请勿编辑", "编集しない", "編集しない", "output, sha", "regenerate with",
+# Phrases of generation notices, lower case: those that a tool writes of its own work, and warnings that follow from it.
+MADE = [
+    "generated by", "generated from", "generated using", "generated with", "generated via", "generated file", "generated code", "generated source", "generated automatically", "automatically generated", "file is generated", "file was generated", "code is generated", "code was generated",
+    "auto-generated", "autogenerated", "machine-generated", "machine generated", "machine-written", "machine written", "produced automatically", "automatically produced", "automatically created", "produced by", "created automatically", "compiled from", "compiled by", "transpiled from", "emitted by",
+    "regenerate with", "to regenerate", "re-run the generator", "output, sha", "automatisch erzeugt", "automatisch generiert", "généré automatiquement", "généré par", "generado automáticamente", "generado por", "gerado automaticamente", "gerado por", "自动生成", "自動生成",
 ]
-# Phrases that tell that a header only speaks of generation.
-VETOES = [
-    "used to be generated", "was generated", "were generated", "once generated", "originally generated", "no longer generated", "not generated", "edited by hand", "by hand since", "maintained by hand", "hand-maintained", "hand maintained", "hand-written", "hand written", "handwritten",
-    "this module generates", "this file generates", "this script generates", "this package generates", "this class generates", "generates ", "generator for", "writes the", "write the", "adds the", "emits the", "checks the", "prints the", "inserts the", "looks for", "searches for", "detects", "recogni",
-    "is marked", "are marked", "output is", "banner", "'@generated'", '"@generated"', "`@generated`", "'do not edit'", '"do not edit"', "`do not edit`", "edit the order", "modify the order", "change the order", "twin lives", "ids are", "generated ids", "generated names", "generated keys", "generated code is", "generated file is", "generated files are", "generated twin",
-    "below", "without asking", "unless",
+MARKS = ["@generated", "<auto-generated", "<autogenerated"]
+WARNINGS = [
+    "do not edit", "do not modify", "do not change", "don't edit", "don't modify", "don't change", "never edit", "not edit by hand", "edits will be lost", "changes will be lost", "changes will be overwritten", "any change here is", "any changes here", "will be overwritten", "is overwritten", "are overwritten",
+    "nicht von hand", "nicht manuell", "nicht bearbeiten", "nicht ändern", "ne pas modifier", "ne pas éditer", "no editar", "no modificar", "não edite", "não editar", "请勿修改", "请勿编辑", "不要修改", "编集しない", "編集しない", "編集しないで",
 ]
-# Of these only the first group vetoes a plain warning such as "do not edit"; a notice that names its source or tool stands.
-_STRONG = ("code generated by", "autogenerated by", "auto-generated by", "automatically generated by", "autogenerated file", "auto-generated file", "produced automatically from", "machine-written by", "@generated by", "automatisch erzeugt aus", "compiled from", "<auto-generated", "<autogenerated", "output, sha")
-_HARD_VETOES = ("used to be generated", "once generated", "originally generated", "no longer generated", "not generated", "edited by hand", "by hand since", "maintained by hand", "hand-maintained", "hand maintained", "hand-written", "hand written", "handwritten")
+#: Phrases that tell that a file is written by hand now, whatever else its header says.
+BY_HAND = [
+    "used to be generated", "once generated", "originally generated", "formerly generated", "no longer generated", "not generated", "edited by hand", "by hand since", "maintained by hand", "hand-maintained", "hand maintained", "hand-written", "hand written", "handwritten", "written by hand", "hand-edited",
+]
+#: What may stand before a phrase of making in its clause: the file itself, not a thing that the code makes.
+_ITSELF = frozenset(
+    "this the a an file files code source sources module class package document output script header content contents of is was has been be are were it entirely whole entire fully automatically auto and warning note notice attention caution important please bitte diese dieser datei wurde ist wird von ce fichier a été est "
+    "este archivo arquivo fue foi es é generated do not edit modify change don't by hand danger achtung any manual your local or because since so as never change changes edit edits here stub stubs bindings binding all here copyright".split()
+)
+#: What may follow a phrase of making that does not name its tool: the file or nothing; anything else is what the code makes.
+_OF_FILE = re.compile(r"\s*(?:$|[.!;:,)*/\]>—–-]|(?:files?|code|sources?|stubs?|bindings?|by|from|using|with|via|on|at|for|contents?|output|and|do|don't|please)\b|[^\x00-\x7f])")
+#: What may follow a warning in its clause: the file, or how; anything else is what must not be edited.
+_AFTER = re.compile(
+    r"\s*(?:$|[.!;:,)*/\]>—–-]|(?:(?:this|the|it|any|its)\s+)?(?:generated\s+)?(?:file|code|source|output|it|this|contents?|here)\b(?!\s+(?:of|in|for|order))|(?:it\s+)?(?:by hand|manually|directly|anything)\b|(?:as|because|since|instead|changes|edits|all|your)\b|[^\x00-\x7f])"
+)
 
 # Directories and file names of vendored and generated code.
 VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|external|externals|deps|godeps|pods|carthage|site-packages|jspm_packages|extern|contrib/vendor)/[^/]+(?:/|$)", re.I)
@@ -46,11 +53,11 @@ LOCK_NAME = re.compile(r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml
 
 
 def automaton():
-    """One automaton for notices and vetoes; it is built once in each worker."""
+    """One automaton for all phrases; it is built once in each worker."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, phrases in (("veto", VETOES), ("notice", NOTICES)):
+    for kind, phrases in (("made", MADE), ("mark", MARKS), ("warning", WARNINGS), ("hand", BY_HAND)):
         for p in phrases:
             a.add_word(p, (kind, p))
     a.make_automaton()
@@ -83,22 +90,45 @@ def header(text: str) -> list[str]:
     return out
 
 
+_QUOTES = re.compile(r"'[^'\n]{1,60}'(?!\w)|\"[^\"\n]{1,60}\"|`[^`\n]{1,60}`|“[^”\n]{1,60}”")
+_CLAUSE = re.compile(r"(?<=[.!?;:])\s+|\s[—–-]\s")
+_WORDS = re.compile(r"[^\W\d_]+(?:'[a-z]+)?")
+
+
 def generation_notice(text: str, auto) -> bool:
-    """Whether the header says that a tool made this file; a header about generation is none."""
+    """Whether the header says that a tool made this file; a header about generation is none.
+
+    Quoted phrases are talked about. A phrase of making counts if its clause
+    says it of the file itself; a warning counts if it is against edits of the
+    file as a whole. A header that says that the file is kept by hand has none.
+    """
+    found = False
     for line in header(text):
-        low = line.lower()
-        hits = [v for _, v in auto.iter(low)]
-        notices = [p for k, p in hits if k == "notice"]
-        if not notices:
-            continue
-        vetoes = [p for k, p in hits if k == "veto"]
-        if any(p in _HARD_VETOES for p in vetoes):
+        low = _QUOTES.sub(" ", line.lower())
+        hits = [(end - len(p) + 1, end + 1, k, p) for end, (k, p) in auto.iter(low)]
+        if not hits:
             continue
-        strong = any(p in low for p in _STRONG)
-        if vetoes and not (strong and not any(q in low for q in ("'@generated'", '"@generated"', "`@generated`", "banner", "this module generates", "is marked"))):
+        if any(k == "hand" for *_, k, _ in hits):
+            return False
+        if found:
             continue
-        return True
-    return False
+        starts = [0, *(m.end() for m in _CLAUSE.finditer(low))]
+        for at, end, kind, phrase in hits:
+            if phrase[0].isascii() and phrase[0].isalpha() and at and (low[at - 1].isalnum()):
+                continue
+            before = low[max(x for x in starts if x <= at) : at]
+            if not _ITSELF.issuperset(_WORDS.findall(before)) and phrase.isascii():
+                continue
+            if kind == "made":
+                found = not phrase.endswith(("generated", "automatically", "written", "produced", "created")) or bool(_OF_FILE.match(low, end))
+                found = found and not re.match(r"s?\s*(?:code|files?|sources?)? ?(?:are|were|has|have|must|may|can)\b", low[end:])
+            elif kind == "warning" and not phrase.endswith(("lost", "overwritten", "here is", "here", "build")):
+                found = bool(_AFTER.match(low, end))
+            else:
+                found = True
+            if found:
+                break
+    return found
 
 
 _NOISE = re.compile(
@@ -186,9 +216,16 @@ def _shingled(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 BROADCAST_SHINGLES = 1_000_000
 
 
-def library_copies(files: DataFrame, libraries: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+#: Shingles that the contained side has at least: fewer lines come about by chance.
+LEAST_SHINGLES = 12
+
+
+def library_copies(files: DataFrame, libraries: DataFrame, size: int = 5, least: float = 0.8, at_least: int = LEAST_SHINGLES) -> DataFrame:
     """file_id of files whose shingles agree with those of a library file: containment either way of at least ``least``.
 
+    The side that is contained must have ``at_least`` shingles, unless the texts
+    have all of theirs in common.
+
     A copy of the whole file with lines added or changed keeps most of its
     shingles. Identical texts are compared once. Shingles of the library are
     counted first and broadcast only below a bound. Empty texts match nothing.
@@ -201,7 +238,8 @@ def library_copies(files: DataFrame, libraries: DataFrame, size: int = 5, least:
     if theirs.count() <= BROADCAST_SHINGLES:
         theirs = F.broadcast(theirs)
     hits = mine.join(theirs, "s").groupBy("k", "lk").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("ln").alias("ln"))
-    alike = hits.where(F.greatest(F.col("c") / F.col("n"), F.col("c") / F.col("ln")) >= least).select("k").distinct()
+    side = lambda n: (F.col("c") / F.col(n) >= least) & (F.col(n) >= at_least)
+    alike = hits.where(side("n") | side("ln") | (F.col("c") == F.col("n")) & (F.col("c") == F.col("ln"))).select("k").distinct()
     return texts.select("file_id", "k").join(alike, "k", "left_semi").select("file_id").distinct()
 
 
