@@ -8,25 +8,45 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.skew import grouped_rank
 
-#: The exact fit takes on the last so many times the longest length; what the budget has beyond is filled in proportion.
+#: The exact fit first takes on the last so many times the longest length; what the budget has beyond is filled in proportion.
 LAST = 2
+#: Where that leaves a gap the fit takes on more, up to so many tokens.
+MOST = 1 << 19
 
 
-def fit(counts: dict[int, int], budget: int, last: int = LAST) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many items of each length to take so that their lengths add up to ``budget`` or as little below as possible.
 
     All but the last few lengths of the budget are taken in proportion to the
-    counts: going from short to long, the tokens left over by rounding carry on
-    to the next length. So the items taken look like those there are, whatever
-    the size. The rest is fitted exactly by bounded knapsack over what is left.
+    counts, and the rest is fitted exactly; so the items taken look like those
+    there are, whatever the size. If the fit leaves a gap, it is done again
+    with twice as much left to it, until there is none or all of the budget (at
+    most ``MOST`` tokens of it) was left to the fit.
     """
     counts = {k: v for k, v in counts.items() if k > 0 and v > 0}
+    if not counts or budget <= 0:
+        return {}
+    last, best = LAST * max(counts), None
+    while True:
+        take = _fit(counts, budget, last)
+        got = sum(k * v for k, v in take.items())
+        if best is None or got > best[0]:
+            best = got, take
+        if got == budget or last >= min(budget, MOST) or len(take) == len(counts) and take == counts:
+            return best[1]
+        last *= 2
+
+
+def _fit(counts: dict[int, int], budget: int, last: int) -> dict[int, int]:
+    """The bulk of the budget in proportion, the last tokens of it by bounded knapsack.
+
+    Going from short to long, the tokens left over by rounding carry on to the
+    next length.
+    """
     total = sum(k * v for k, v in counts.items())
     if budget >= total:
         return dict(counts)
-    if budget <= 0:
-        return {}
-    bulk = max(0, budget - last * max(counts))
+    bulk = max(0, budget - last)
     take, seen, took = {}, 0, 0
     for k in sorted(counts):
         seen += k * counts[k]
