@@ -123,8 +123,21 @@ def test_update_equals_full_build(spark, tmp_path):
     code = lambda df: {(x.name, x.kind) for x in df.where("kind not in ('file', 'folder')").collect()}
     assert code(g.nodes) == code(want_n)
     assert links(g, "calls") == links(Graph(want_n, want_e), "calls") == {("run", "compute_total"), ("run_guarded", "compute_total"), ("work", "helper")}
-    store.wipe("main")
-    assert store.read().nodes.count() == 0
+    other = P.build(spark.createDataFrame([("dev/x y", "a.py", "def f():\n    pass\n")], "branch string, path string, source_text string"))
+    files = spark.createDataFrame([("dev/x y", "a.py")], "branch string, file string")
+    store.apply(other[0], other[1], files, other[2])
+    assert {r.branch for r in store.read().nodes.select("branch").distinct().collect()} == {"main", "dev/x y"} and code(store.read().branch("main").nodes) == code(want_n)
+    state = "file://" + str(tmp_path / "state")
+    assert I.last_indexed(spark, state, "main") is None
+    seen = []
+    changes = lambda last: seen.append(last) or change.withColumn("change", F.lit("Modified"))
+    again = lambda df: P.split_parsed(P.parse_files(df))
+    assert I.update(store, state, "main", "c1", changes, again) and not I.update(store, state, "main", "c1", changes, again) and I.update(store, state, "main", "c2", changes, again)
+    assert seen == [None, "c1"] and I.last_indexed(spark, state, "main") == "c2" and code(store.read().branch("main").nodes) == code(want_n)
+    assert links(store.read().branch("main"), "calls") == links(Graph(want_n, want_e), "calls")
+    store.wipe("main", state)
+    assert store.read().branch("main").nodes.count() == 0 and store.refs().where("branch = 'main'").count() == 0 and I.last_indexed(spark, state, "main") is None
+    assert store.read().branch("dev/x y").nodes.count() > 0
 
 
 def test_index_stream(spark, tmp_path):

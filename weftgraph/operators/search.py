@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,11 +100,9 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     kind = vectors.schema[key].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
     out = None
-    rows = [(r["query_id"], np.array(r["vector"], np.float64)) for r in queries.where("vector is not null").toLocalIterator()]
-    for at in range(0, len(rows), block):
-        part = [(i, v) for i, v in rows[at : at + block] if np.linalg.norm(v) > 0]
-        if not part:
-            continue
+    rows = ((r["query_id"], np.array(r["vector"], np.float64)) for r in queries.where("vector is not null").toLocalIterator())
+    rows = (x for x in rows if np.linalg.norm(x[1]) > 0)
+    while part := list(itertools.islice(rows, block)):  # the driver holds one block at a time
         ids = [i for i, _ in part]
         dim = max(len(v) for _, v in part)
         q = np.stack([v / np.linalg.norm(v) if len(v) == dim else np.zeros(dim) for _, v in part])

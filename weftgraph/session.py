@@ -31,14 +31,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "we
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The session's ``spark.checkpoint.dir`` is used when it is set. A folder of
-    our own is made only where it is unset, which is the case in local tests.
+    The session's ``spark.checkpoint.dir`` is used when it is set. Where it is
+    unset, as in local tests, a temporary folder is made; on a cluster that is
+    an error, as its executors would not share the folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
     sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="weftgraph-checkpoint-"))
     return sc.getCheckpointDir()
 
