@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import columns as C
+from weftgraph.operators import bitreach as B
 from weftgraph.schema import MAX_DEPTH, TRACE_MAX_HOPS
 from weftgraph.session import checkpointed
 from weftgraph.sources.graph import Graph, induced_edges
@@ -114,10 +115,31 @@ def callers_exact(g: Graph, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return shown.select("branch", "seed", "id", "hop", label.alias("confidence"), "is_test", F.row_number().over(w).alias("place"))
 
 
+def subgraph_nodes(g: Graph, seeds: DataFrame, depth: int = 2, direction: str = "both", most: int = B.STEPS) -> DataFrame:
+    """Nodes reached from seeds (branch, id) over all kinds of edges: branch, seed, id, hop.
+
+    Ends of edges that are no nodes are passed through and left out. Up to
+    ``most`` steps are searched by bits in memory, more by joins of the frontier.
+    """
+    depth = max(1, min(depth, MAX_DEPTH))
+    own = checkpointed(seeds.select("branch", F.col("id").alias("seed"), "id").where("id is not null").distinct())
+    e = checkpointed(g.edges.select("branch", "src", "dst").where("src is not null and dst is not null"))
+    if e.count() > most:
+        return reach(e, own, depth, direction).join(g.nodes.select("branch", "id"), ["branch", "id"], "left_semi").select("branch", "seed", "id", "hop")
+    there = lambda df, c, node: df.select("branch", F.col(c).alias("id"), F.lit(node).alias("node"))
+    u = there(g.nodes, "id", True).unionByName(there(own, "id", False)).unionByName(there(e, "src", False)).unionByName(there(e, "dst", False))
+    u = B.numbered(u.where("branch is not null and id is not null").groupBy("branch", "id").agg(F.max("node").alias("node")), "x")
+    at = lambda c, x: u.select("branch", F.col("id").alias(c), F.col("x").alias(x))
+    a, b = ("dst", "src") if direction == "in" else ("src", "dst")
+    steps = e.join(at(a, "__a"), ["branch", a]).join(at(b, "__b"), ["branch", b]).select("branch", F.col("__a").alias("x"), F.col("__b").alias("y"))
+    nodes = u.select("branch", "x", F.lit(None).cast("int").alias("y"), F.when(F.col("node"), F.col("id")).alias("s"))
+    own = own.join(u, ["branch", "id"]).select("branch", "x", F.col("seed").alias("s"))
+    return B.search(steps, nodes, own, depth, both_ways=direction == "both")
+
+
 def subgraph(g: Graph, seeds: DataFrame, depth: int = 2, direction: str = "both") -> tuple[DataFrame, DataFrame]:
     """Nodes reached over all kinds of edges, and the edges between the nodes of each seed."""
-    r = checkpointed(reach(g.edges, seeds.select("branch", F.col("id").alias("seed"), "id"), max(1, min(depth, MAX_DEPTH)), direction))
-    r = r.join(g.nodes.select("branch", "id"), ["branch", "id"], "left_semi").select("branch", "seed", "id", "hop")
+    r = checkpointed(subgraph_nodes(g, seeds, depth, direction))
     a = r.select("branch", "seed", F.col("id").alias("src"))
     b = r.select("branch", "seed", F.col("id").alias("dst"))
     e = g.edges.join(a, ["branch", "src"]).join(b, ["branch", "seed", "dst"]).select("branch", "seed", "src", "dst", "kind", "line", "confidence")

@@ -346,7 +346,7 @@ def affected_by_id(spark, sf):
 def subgraph_nodes(spark, sf):
     """Nodes within two hops of hubs."""
     g = _g(spark, sf)
-    return T.subgraph(g, _hubs(g))[0]
+    return T.subgraph_nodes(g, _hubs(g))
 
 
 @query(_HUBS + _REACH.format(step=_ANY, depth=2) + ", k as (select r.branch, r.seed, r.id from reached r join n on n.branch = r.branch and n.id = r.id) select e.branch, a.seed, e.src, e.dst, e.kind from e join k a on a.branch = e.branch and a.id = e.src join k b on b.branch = e.branch and b.id = e.dst and b.seed = a.seed")
