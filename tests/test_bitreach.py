@@ -24,6 +24,22 @@ def some(df):
     return set(got)
 
 
+@pytest.mark.parametrize("direction", ["out"])
+def test_reach_by_name_in_blocks_equals_joins(spark, direction):
+    from weftgraph.operators import bitreach, traverse
+
+    g, label, _ = random_graph(spark)
+    seeds = g.nodes.where("name is not null").select("branch", "name").union(spark.createDataFrame([("b", "none")], "branch string, name string"))
+    joined = some(traverse.reach_by_name(g, seeds, 5, direction, most=0))
+    assert joined and some(traverse.reach_by_name(g, seeds, 5, direction)) == joined
+    rows = bitreach.BATCH
+    try:
+        bitreach.BATCH = 64
+        assert some(traverse.reach_by_name(g, seeds, 5, direction)) == joined
+    finally:
+        bitreach.BATCH = rows
+
+
 @pytest.mark.parametrize("direction", ["in", "out", "both"])
 def test_subgraph_nodes_in_blocks(spark, direction):
     from collections import defaultdict
@@ -42,7 +58,7 @@ def test_subgraph_nodes_in_blocks(spark, direction):
     assert some(traverse.subgraph_nodes(g, g.nodes.select("branch", "id"), 2, direction, most=0)) == want
 
 
-@pytest.mark.parametrize("way", ["subgraph_nodes"])
+@pytest.mark.parametrize("way", ["subgraph_nodes", "reach_by_name"])
 def test_reached_pairs_are_not_stored(spark, way):
     """Neither checkpoints nor anything else there holds a row for each pair of seed and node."""
     import os

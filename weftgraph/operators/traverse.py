@@ -51,15 +51,39 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "in",
     return seen
 
 
-def reach_by_name(g: Graph, seeds: DataFrame, depth: int = MAX_DEPTH, direction: str = "in") -> DataFrame:
+def reach_by_name(g: Graph, seeds: DataFrame, depth: int = MAX_DEPTH, direction: str = "in", most: int = B.STEPS) -> DataFrame:
     """Breadth-first search whose frontier holds names: branch, seed, id, hop.
 
     seeds: branch, name. A hop leads from all nodes that share a name of the
     frontier; visited are ids. So nodes of one name are never told apart, which
     differs from ``reach`` where names collide. The seed's own nodes may be
-    reached again and then count. Depth is at most 5.
+    reached again and then count. Depth is at most 5. Up to ``most`` steps are
+    searched by bits in memory, more by joins of the frontier.
     """
     depth = max(1, min(depth, MAX_DEPTH))
+    steps, nodes, names = _numbered_calls(g, direction)
+    if steps.count() > most:
+        return _reach_by_name_joined(g, seeds, depth, direction)
+    own = seeds.select("branch", "name").distinct().join(names, ["branch", "name"]).select("branch", "x", F.col("name").alias("s"))
+    return B.search(steps, nodes.select("branch", "x", "y", F.col("id").alias("s")), own, depth, named=True)
+
+
+def _numbered_calls(g: Graph, direction: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps (branch, x of a name, y of a node), nodes (branch, id, x, y of its name) and names (branch, name, x)."""
+    n = B.numbered(g.nodes.select("branch", "id", "name"), "x")
+    names = B.numbered(n.where("name is not null").select("branch", "name").distinct(), "x")
+    n = checkpointed(n.join(names.withColumnRenamed("x", "y"), ["branch", "name"], "left").select("branch", "id", "x", "y"))
+    a, b = ("dst", "src") if direction == "in" else ("src", "dst")
+    steps = (
+        g.kind("calls").select("branch", "src", "dst")
+        .join(n.where("y is not null").select("branch", F.col("id").alias(a), F.col("y").alias("__a")), ["branch", a])
+        .join(n.select("branch", F.col("id").alias(b), F.col("x").alias("__b")), ["branch", b])
+        .select("branch", F.col("__a").alias("x"), F.col("__b").alias("y")).distinct()
+    )
+    return checkpointed(steps), n, names
+
+
+def _reach_by_name_joined(g: Graph, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
     n = g.nodes.select("branch", "id", "name")
     e = g.kind("calls").select("branch", "src", "dst")
     a, b = ("dst", "src") if direction == "in" else ("src", "dst")
