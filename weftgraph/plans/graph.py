@@ -655,7 +655,7 @@ hub as (select branch, id from (select n.branch, n.id, row_number() over (partit
 def subgraph_by_name(spark, sf):
     """Nodes within two hops of the node that each name of a hub stands for."""
     g = _g(spark, sf)
-    return T.subgraph(g, T.name_seeds(g.nodes, _hub_names(g)))[0]
+    return T.subgraph_nodes(g, T.name_seeds(g.nodes, _hub_names(g)))
 
 
 @query(_BASE + f"select id, kind, name, qualified_name, file, start_line from n where branch = '{BASE}' and id not in (select id from n where branch = '{HEAD}')")
