@@ -24,7 +24,7 @@ def some(df):
     return set(got)
 
 
-@pytest.mark.parametrize("direction", ["out"])
+@pytest.mark.parametrize("direction", ["in", "out"])
 def test_reach_by_name_in_blocks_equals_joins(spark, direction):
     from weftgraph.operators import bitreach, traverse
 
