@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from test_whole import graph_of, within
+from test_whole import graph_of, shortest, within
 
 
 def random_graph(spark, n=150, m=420, names=60):
@@ -58,7 +58,25 @@ def test_subgraph_nodes_in_blocks(spark, direction):
     assert some(traverse.subgraph_nodes(g, g.nodes.select("branch", "id"), 2, direction, most=0)) == want
 
 
-@pytest.mark.parametrize("way", ["subgraph_nodes", "reach_by_name"])
+def test_paths_among_all_names_equal_brute_force(spark):
+    from collections import defaultdict
+
+    from weftgraph.operators import traverse
+
+    g, label, links = random_graph(spark)
+    steps = defaultdict(set)
+    for a, b in links:
+        if label.get(a) and label.get(b):
+            steps[label[a]].add(label[b])
+    ends = sorted({x for x in label.values() if x})[::2]
+    df = spark.createDataFrame([("b", x) for x in [*ends, "none"]], "branch string, name string")
+    want = {(a, t, len(p) - 1, p) for a in ends for t, p in shortest(steps, a, 6).items() if t in ends}
+    for most in (10**6, 0):
+        got = [(r.from_name, r.to_name, r.hops, tuple(r.path)) for r in traverse.paths_among(g, df, most=most).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("way", ["subgraph_nodes", "reach_by_name", "paths_among"])
 def test_reached_pairs_are_not_stored(spark, way):
     """Neither checkpoints nor anything else there holds a row for each pair of seed and node."""
     import os

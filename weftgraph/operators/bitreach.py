@@ -252,3 +252,82 @@ def search(steps: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, bot
     """
     found = _blocks(steps, nodes, seeds).mapInArrow(_search(depth, both_ways, named), "branch string, id string, hop int, seeds array<string>")
     return found.select("branch", F.explode("seeds").alias("seed"), "id", "hop")
+
+
+def _trace(most: int):
+    """Rows branch, from_name, to_name, hops, path for the blocks of a partition: seeds are sources, nodes with y = 1 are targets.
+
+    A queue in order of the paths and lists in order of the names make the
+    first way to a name its smallest shortest path.
+    """
+
+    def block(branch, steps, nodes, seeds) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = pa.schema([("branch", pa.string()), ("from_name", pa.string()), ("to_name", pa.string()), ("hops", pa.int32()), ("path", pa.list_(pa.string()))])
+        nodes = nodes.take(pc.sort_indices(nodes["s"].cast(pa.binary())))
+        number, n, names = _column(nodes, "x"), nodes.num_rows, nodes["s"].combine_chunks()
+        target = _column(nodes, "y") == 1
+        place = np.full(int(number.max()) + 1, -1, np.int32)
+        place[number] = np.arange(n, dtype=np.int32)
+        lists = _Lists(place[_column(steps, "x")], place[_column(steps, "y")])
+        start, size = lists.ranges(n)
+        held, rows, first = [], 0, np.zeros(n, np.int64)
+
+        def flushed() -> pa.RecordBatch:
+            flat, hops = np.concatenate([p.ravel() for p in held]), np.concatenate([np.full(len(p), p.shape[1] - 1, np.int32) for p in held])
+            offsets = np.r_[0, np.cumsum(hops + 1)].astype(np.int32)
+            take = lambda at: names.take(pa.array(at))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([branch] * len(hops), pa.string()), take(flat[offsets[:-1]]), take(flat[offsets[1:] - 1]), pa.array(hops), pa.ListArray.from_arrays(pa.array(offsets), take(flat))], schema=out
+            )
+
+        for source in place[np.unique(_column(seeds, "x"))]:
+            unseen, missing = np.ones(n, bool), int(target.sum())
+            levels = [(np.array([source], np.int32), None)]
+            for hop in range(1, most + 1):
+                at = levels[-1][0]
+                ways = size[at]
+                to, parent = lists.other[_spans(start[at], ways)], np.repeat(np.arange(len(at)), ways)
+                fresh = np.flatnonzero(unseen[to] & target[to] if hop == most else unseen[to])
+                to = to[fresh]
+                order = np.arange(len(to))
+                first[to[::-1]] = order[::-1]
+                kept = first[to] == order
+                to, parent = to[kept], parent[fresh][kept]
+                if not len(to):
+                    break
+                unseen[to] = False
+                levels.append((to, parent))
+                hit = np.flatnonzero(target[to])
+                if len(hit):
+                    path, back = np.empty((len(hit), hop + 1), np.int32), hit
+                    for k in range(hop, -1, -1):
+                        path[:, k] = levels[k][0][back]
+                        back = levels[k][1][back] if k else back
+                    held.append(path)
+                    rows, missing = rows + len(hit), missing - len(hit)
+                    if rows * 6 >= BATCH:
+                        yield flushed()
+                        held.clear()
+                        rows = 0
+                if not missing:
+                    break
+        if held:
+            yield flushed()
+
+    def run(batches: Iterator) -> Iterator:
+        for own in _gather(batches):
+            yield from block(*own)
+
+    return run
+
+
+def paths(steps: DataFrame, names: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """The smallest of the shortest paths of at most so many steps from every source to every target of its branch.
+
+    steps: branch, x, y; names: branch, x, y (1: a target), s; sources: branch, x, s.
+    """
+    return _blocks(steps, names, sources).mapInArrow(_trace(most), "branch string, from_name string, to_name string, hops int, path array<string>")
