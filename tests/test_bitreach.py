@@ -74,6 +74,7 @@ def test_paths_among_all_names_equal_brute_force(spark):
     for most in (10**6, 0):
         got = [(r.from_name, r.to_name, r.hops, tuple(r.path)) for r in traverse.paths_among(g, df, most=most).collect()]
         assert len(got) == len(want) and set(got) == want
+        assert {r.path for r in traverse.paths_among(g, df, most=most, sep=" ").collect()} == {" ".join(p) for *_, p in want}
 
 
 @pytest.mark.parametrize("way", ["subgraph_nodes", "reach_by_name", "paths_among"])

@@ -254,7 +254,7 @@ def search(steps: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, bot
     return found.select("branch", F.explode("seeds").alias("seed"), "id", "hop")
 
 
-def _trace(most: int):
+def _trace(most: int, sep: str | None):
     """Rows branch, from_name, to_name, hops, path for the blocks of a partition: seeds are sources, nodes with y = 1 are targets.
 
     A queue in order of the paths and lists in order of the names make the
@@ -266,7 +266,7 @@ def _trace(most: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        out = pa.schema([("branch", pa.string()), ("from_name", pa.string()), ("to_name", pa.string()), ("hops", pa.int32()), ("path", pa.list_(pa.string()))])
+        out = pa.schema([("branch", pa.string()), ("from_name", pa.string()), ("to_name", pa.string()), ("hops", pa.int32()), ("path", pa.list_(pa.string()) if sep is None else pa.string())])
         nodes = nodes.take(pc.sort_indices(nodes["s"].cast(pa.binary())))
         number, n, names = _column(nodes, "x"), nodes.num_rows, nodes["s"].combine_chunks()
         target = _column(nodes, "y") == 1
@@ -280,8 +280,9 @@ def _trace(most: int):
             flat, hops = np.concatenate([p.ravel() for p in held]), np.concatenate([np.full(len(p), p.shape[1] - 1, np.int32) for p in held])
             offsets = np.r_[0, np.cumsum(hops + 1)].astype(np.int32)
             take = lambda at: names.take(pa.array(at))
+            path = pa.ListArray.from_arrays(pa.array(offsets), take(flat))
             return pa.RecordBatch.from_arrays(
-                [pa.array([branch] * len(hops), pa.string()), take(flat[offsets[:-1]]), take(flat[offsets[1:] - 1]), pa.array(hops), pa.ListArray.from_arrays(pa.array(offsets), take(flat))], schema=out
+                [pa.array([branch] * len(hops), pa.string()), take(flat[offsets[:-1]]), take(flat[offsets[1:] - 1]), pa.array(hops), path if sep is None else pc.binary_join(path, sep)], schema=out
             )
 
         for source in place[np.unique(_column(seeds, "x"))]:
@@ -325,9 +326,11 @@ def _trace(most: int):
     return run
 
 
-def paths(steps: DataFrame, names: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+def paths(steps: DataFrame, names: DataFrame, sources: DataFrame, most: int, sep: str | None = None) -> DataFrame:
     """The smallest of the shortest paths of at most so many steps from every source to every target of its branch.
 
-    steps: branch, x, y; names: branch, x, y (1: a target), s; sources: branch, x, s.
+    steps: branch, x, y; names: branch, x, y (1: a target), s; sources: branch,
+    x, s. With ``sep`` a path is one text, joined by it, and no array.
     """
-    return _blocks(steps, names, sources).mapInArrow(_trace(most), "branch string, from_name string, to_name string, hops int, path array<string>")
+    kind = "array<string>" if sep is None else "string"
+    return _blocks(steps, names, sources).mapInArrow(_trace(most, sep), f"branch string, from_name string, to_name string, hops int, path {kind}")

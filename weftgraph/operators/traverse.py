@@ -253,10 +253,11 @@ def call_paths(g: Graph, pairs: DataFrame, max_hops: int = TRACE_MAX_HOPS) -> Da
     return found
 
 
-def paths_among(g: Graph, ends: DataFrame, max_hops: int = TRACE_MAX_HOPS, most: int = B.STEPS) -> DataFrame:
+def paths_among(g: Graph, ends: DataFrame, max_hops: int = TRACE_MAX_HOPS, most: int = B.STEPS, sep: str | None = None) -> DataFrame:
     """``call_paths`` for all pairs of the names ``ends`` (branch, name) of a branch, without a row for each pair in advance.
 
-    Up to ``most`` steps are searched in memory, more by joins of the frontier.
+    With ``sep`` a path is one text, joined by it. Up to ``most`` steps are
+    searched in memory, more by joins of the frontier.
     """
     ends = checkpointed(ends.select("branch", "name").distinct())
     steps, nodes, names = _numbered_calls(g, "out")
@@ -264,11 +265,12 @@ def paths_among(g: Graph, ends: DataFrame, max_hops: int = TRACE_MAX_HOPS, most:
     steps = checkpointed(steps.join(named, ["branch", "y"]).select("branch", "x", F.col("to").alias("y")).distinct())
     if steps.count() > most:
         pairs = ends.select("branch", F.col("name").alias("from_name")).join(ends.select("branch", F.col("name").alias("to_name")), "branch")
-        return call_paths(g, pairs, max_hops)
+        found = call_paths(g, pairs, max_hops)
+        return found if sep is None else found.withColumn("path", F.concat_ws(sep, "path"))
     own = ends.join(names, ["branch", "name"])
     is_end = own.select("branch", "x", F.lit(1).alias("y"))
     nodes = names.join(is_end, ["branch", "x"], "left").select("branch", "x", "y", F.col("name").alias("s"))
-    return B.paths(steps, nodes, own.select("branch", "x", F.col("name").alias("s")), max_hops)
+    return B.paths(steps, nodes, own.select("branch", "x", F.col("name").alias("s")), max_hops, sep)
 
 
 def blast_radius(base: Graph, head: Graph, depth: int = 2) -> DataFrame:

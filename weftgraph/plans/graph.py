@@ -384,8 +384,7 @@ def relation_counts(spark, sf):
 def trace_path(spark, sf):
     """Shortest call paths of up to TRACE_MAX_HOPS hops for all pairs of hub names (10 callers and more) of a branch. Tested against brute force: SQL that holds all paths is too slow on whole tables."""
     g = _g(spark, sf)
-    p = T.paths_among(g, _hub_names(g))
-    return p.select("branch", "from_name", "to_name", "hops", F.concat_ws(" ", "path").alias("path"))
+    return T.paths_among(g, _hub_names(g), sep=" ")
 
 
 @query(_BASE + f""", ch as (select distinct id from n where branch = '{HEAD}' and id not in (select id from n where branch = '{BASE}')),
