@@ -91,3 +91,29 @@ def test_reached_pairs_are_not_stored(spark, way):
     size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(at) for f in fs)
     before = size()
     assert getattr(traverse, way)(g, seeds, 2).count() > 90_000 and size() - before < 1_000_000
+
+
+def test_copies_of_the_graph_do_not_grow_with_partitions(spark):
+    """A graph goes to two tasks a core at most, and the seeds are found once; the rows stay whole."""
+    from weftgraph.operators import bitreach
+
+    found = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            found.add(b.num_rows)
+            yield b
+
+    n = 64 * 64
+    ids = spark.range(n, numPartitions=1).selectExpr("'b' branch", "cast(id as int) x", "concat('n', id) s")
+    steps = ids.selectExpr("branch", "x", "cast((x + 1) % 4096 as int) y")
+    nodes, seeds = ids.selectExpr("branch", "x", "cast(null as int) y", "s"), ids.mapInArrow(counted, ids.schema)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        copies = bitreach._blocks(steps, nodes, ids).where(f"what = {bitreach.STEP}").count()
+        assert 1 < copies <= 2 * spark.sparkContext.defaultParallelism
+        want = {("b", f"n{i}", f"n{(i + k) % n}", k) for i in range(n) for k in range(3)}
+        assert some(bitreach.search(steps, nodes, seeds, 2).select("branch", "seed", "id", "hop")) == want and found.value == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

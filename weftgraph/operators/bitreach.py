@@ -78,11 +78,15 @@ def _blocks(steps: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
 
     steps: branch, x, y (numbers); nodes: branch, x, y, s; seeds: branch, x, s.
     A branch has a block for each 64 seeds, as many as partitions at most, each
-    in another partition.
+    in another partition. Every block takes a copy of the graph, so there are no
+    more than two partitions a core: shuffle partitions grow with the input, and
+    copies of a growing graph for each of them would grow with its square.
     """
-    width = shuffle_width(steps.sparkSession)
+    spark = steps.sparkSession
+    width = min(shuffle_width(spark), 2 * spark.sparkContext.defaultParallelism)
+    seeds = checkpointed(seeds.where("branch is not null"))
     one, none = F.lit(0), F.lit(None).cast("string").alias("s")
-    per = checkpointed(seeds.where("branch is not null").groupBy("branch").agg(F.least(F.lit(width), F.ceil(F.count_distinct("s") / 64)).cast("int").alias("blocks")))
+    per = checkpointed(seeds.groupBy("branch").agg(F.least(F.lit(width), F.ceil(F.count_distinct("s") / 64)).cast("int").alias("blocks")))
     rows = steps.select("branch", one.alias("block"), F.lit(STEP).alias("what"), "x", "y", none).unionByName(nodes.select("branch", one.alias("block"), F.lit(NODE).alias("what"), "x", "y", "s"))
     graph = rows.where("branch is not null").mapInArrow(_pack, _PIECES)
     graph = checkpointed(graph).join(per, "branch").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
