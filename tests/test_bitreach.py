@@ -117,3 +117,23 @@ def test_copies_of_the_graph_do_not_grow_with_partitions(spark):
         assert some(bitreach.search(steps, nodes, seeds, 2).select("branch", "seed", "id", "hop")) == want and found.value == n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tables_of_a_block_are_freed_while_it_is_searched():
+    """The rows of steps and nodes are not held beside the lists made of them."""
+    import pyarrow as pa
+
+    from weftgraph.operators import bitreach
+
+    n = 400_000
+    s = pa.array([f"{i:016x}" for i in range(n)])
+    rows = lambda what, x, y, s: pa.RecordBatch.from_pydict({"branch": ["b"] * len(x), "block": pa.array([0] * len(x), pa.int32()), "what": pa.array([what] * len(x), pa.int32()), "x": pa.array(x, pa.int32()), "y": pa.array(y, pa.int32()), "s": s})
+    ids = range(n)
+    given = [rows(bitreach.NODE, ids, ids, s), rows(bitreach.STEP, ids, [*range(1, n), 0], pa.nulls(n, pa.string())), rows(bitreach.SEED, [5], [0], pa.array(["n5"]))]
+    packed = [p for b in given for p in bitreach._pack(iter([b]))]
+    del given
+    before = pa.total_allocated_bytes()
+    found = bitreach._search(3, False, True)(iter(packed))
+    first = next(found)
+    assert pa.total_allocated_bytes() - before < 1.5 * s.nbytes  # the ids and little more
+    assert [r for b in [first, *found] for r in b.to_pylist()] == [{"branch": "b", "id": f"{5 + k:016x}", "hop": k, "seeds": ["n5"]} for k in (1, 2, 3)]

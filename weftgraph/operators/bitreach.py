@@ -96,8 +96,16 @@ def _blocks(steps: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return both.repartitionById(width, F.pmod(F.hash("branch").cast("bigint") + F.col("block"), F.lit(width)).cast("int"))
 
 
+def _read(pieces: list):
+    """The rows x, y, s of packed pieces."""
+    import pyarrow as pa
+
+    read = [pa.ipc.open_stream(x).read_all() for x in pieces]
+    return pa.concat_tables(read) if read else pa.table({"x": pa.array([], pa.int32()), "y": pa.array([], pa.int32()), "s": pa.array([], pa.string())})
+
+
 def _gather(batches: Iterator) -> Iterator:
-    """(branch, steps, nodes, seeds) for each block of a partition."""
+    """[branch, steps, nodes, seeds] for each block of a partition. Nothing here holds the tables, so who empties the list may free them."""
     import pyarrow as pa
 
     held: dict = {}
@@ -107,9 +115,7 @@ def _gather(batches: Iterator) -> Iterator:
     for key in sorted(held):
         own = held.pop(key)
         if NODE in own and SEED in own:
-            read = lambda k: pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in own.pop(k)])  # noqa: E731, B023
-            nodes, seeds = read(NODE), read(SEED)
-            yield key[0], read(STEP) if STEP in own else nodes.slice(0, 0), nodes, seeds
+            yield [key[0], *(_read(own.pop(k, [])) for k in (STEP, NODE, SEED))]
 
 
 def _column(t, name: str):
@@ -125,11 +131,15 @@ class _Lists:
     def __init__(self, key, other):
         import numpy as np
 
-        both = (key.astype(np.int64) << 32) | other
+        both = key.astype(np.int64)
+        both <<= 32
+        both |= other
         both.sort()
-        self.key, self.other = (both >> 32).astype(np.int32), (both & 0x7FFFFFFF).astype(np.int32)
-        self.starts = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(both) else np.zeros(0, np.int64)
-        self.keys = self.key[self.starts]
+        self.other = both.astype(np.int32)  # the lower half
+        both >>= 32
+        key = both.astype(np.int32)
+        self.starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(both) else np.zeros(0, np.int64)
+        self.keys = key[self.starts]
         self.sizes = np.diff(np.r_[self.starts, len(both)])
 
     def ranges(self, n: int):
@@ -168,10 +178,12 @@ def _search(depth: int, both_ways: bool, named: bool):
     names and no rows. Else x is a node as well, and seeds are rows of hop 0.
     """
 
-    def block(branch, steps, nodes, seeds) -> Iterator:
+    def block(given: list) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        branch, steps, nodes, seeds = given
+        given.clear()
         out = pa.schema([("branch", pa.string()), ("id", pa.string()), ("hop", pa.int32()), ("seeds", pa.list_(pa.string()))])
         number, name_of = _column(nodes, "x"), _column(nodes, "y")
         n, ids = len(number), nodes["s"].combine_chunks()
@@ -179,19 +191,22 @@ def _search(depth: int, both_ways: bool, named: bool):
         place = np.full(int(number.max()) + 1, -1, np.int32)
         place[number] = np.arange(n, dtype=np.int32)
         x, y, seed_at = _column(steps, "x"), place[_column(steps, "y")], _column(seeds, "x")
+        del steps, nodes, number
         if named:
             names = np.unique(np.concatenate([x, name_of[name_of >= 0], seed_at]))
-            m, x, seed_at = len(names), np.searchsorted(names, x), np.searchsorted(names, seed_at)
-            by_name = np.argsort(name_of, kind="stable")
+            ranked = lambda a: np.searchsorted(names, a).astype(np.int32)
+            m, x, seed_at = len(names), ranked(x), ranked(seed_at)
+            by_name = np.argsort(name_of, kind="stable").astype(np.int32)
             by_name = by_name[name_of[by_name] >= 0]
-            names_of = np.searchsorted(names, name_of[by_name])
+            names_of = ranked(name_of[by_name])
             first = np.flatnonzero(np.r_[True, names_of[1:] != names_of[:-1]]) if len(names_of) else np.zeros(0, np.int64)
         else:
             m, x, seed_at = n, place[x], place[seed_at]
         into = _Lists(*((np.r_[y, x], np.r_[x, y]) if both_ways else (y, x)))
         back = into if both_ways else _Lists(x, y)
         outof, (start, size) = back.other, back.ranges(m)
-        del x, y, steps, nodes
+        del x, y, place, name_of, back
+        pa.default_memory_pool().release_unused()
         coded = seeds["s"].combine_chunks().dictionary_encode()
         labels, code = coded.dictionary, coded.indices.to_numpy()
 
@@ -202,7 +217,8 @@ def _search(depth: int, both_ways: bool, named: bool):
                 _ored(np.repeat(front[act], size[act]), outof[_spans(start[act], size[act])], new)
             else:
                 new[into.keys] = np.bitwise_or.reduceat(front[into.other], into.starts)
-            return new & ~seen
+            new &= ~seen
+            return new
 
         def rows(new, hop, own):
             """The nodes with the seeds of their bits."""
@@ -228,7 +244,9 @@ def _search(depth: int, both_ways: bool, named: bool):
                 seen |= front
                 yield from rows(front, 0, own)
             for hop in range(1, depth + 1):
-                new = np.stack([reached(f, s) for f, s in zip(front, seen, strict=True)])
+                new = np.empty((words, n), np.uint64)
+                for w in range(words):
+                    new[w] = reached(front[w], seen[w])
                 if not new.any():
                     break
                 yield from rows(new, hop, own)
@@ -243,7 +261,7 @@ def _search(depth: int, both_ways: bool, named: bool):
 
     def run(batches: Iterator) -> Iterator:
         for own in _gather(batches):
-            yield from block(*own)
+            yield from block(own)
 
     return run
 
@@ -265,11 +283,13 @@ def _trace(most: int, sep: str | None):
     first way to a name its smallest shortest path.
     """
 
-    def block(branch, steps, nodes, seeds) -> Iterator:
+    def block(given: list) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        branch, steps, nodes, seeds = given
+        given.clear()
         out = pa.schema([("branch", pa.string()), ("from_name", pa.string()), ("to_name", pa.string()), ("hops", pa.int32()), ("path", pa.list_(pa.string()) if sep is None else pa.string())])
         nodes = nodes.take(pc.sort_indices(nodes["s"].cast(pa.binary())))
         number, n, names = _column(nodes, "x"), nodes.num_rows, nodes["s"].combine_chunks()
@@ -325,7 +345,7 @@ def _trace(most: int, sep: str | None):
 
     def run(batches: Iterator) -> Iterator:
         for own in _gather(batches):
-            yield from block(*own)
+            yield from block(own)
 
     return run
 
